@@ -7,13 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (a local session, as in tests) a new temporary folder is set."""
+    """``spark.checkpoint.dir``; where it is unset (a local session, as in tests) one temporary folder a session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tesserae-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="tesserae-")
+        folder = _local[app]
     return folder.rstrip("/")
 
 
