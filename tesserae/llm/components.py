@@ -1,0 +1,30 @@
+"""Connected components of an undirected link table, as an iteration of Spark joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tesserae.sources.stored import stored
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the smallest node reachable by links, for each node that has a link.
+
+    Each round takes the smallest label among a node and its neighbours, then replaces a label by the label of that
+    label (pointer jumping), so that long chains close in about as many rounds as their length has bits. Labels are
+    rows of a table in the shared folder; only a count of changes reaches the driver. An empty table gives no rows.
+    """
+    both = stored(
+        edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct(),
+        "links",
+    )
+    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("component")), "labels")
+    while True:
+        around = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("component").alias("near"))
+        nearer = labels.join(around, labels.node == around.u).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        of = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
+        following = stored(nearer.join(of, "component", "left").select("node", "old", F.least("component", F.coalesce("jump", "component")).alias("component")), "labels")
+        labels = following.select("node", "component")
+        if following.where("component <> old").isEmpty():
+            return labels
