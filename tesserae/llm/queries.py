@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.sources.tables import table
 
 
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.ordinal_quality import fitted, graded, toxicity_grade
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fitted(docs, table(spark, sf_dir, "labels").select("doc_id", toxicity_grade().alias("grade")), 3)
+    return graded(docs, model).drop("text")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.jaccard_join import jaccard_join
 
@@ -17,7 +24,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_jaccard_join": op5_jaccard_join}
+    return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
