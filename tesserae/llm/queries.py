@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.sources.tables import table
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.ordinal_quality import fitted, graded, toxicity_grade
 
