@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.sources.tables import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.quality_rules import fitted, judged
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(docs, fitted(docs, table(spark, sf_dir, "labels").selectExpr("doc_id", "quality as good")))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.secrets import scan
 
