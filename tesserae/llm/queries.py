@@ -36,6 +36,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.url_filters import filtered
+
+    return filtered(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.packing import pack
 
@@ -48,6 +54,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.warc import derivatives, responses
+
+    return derivatives(responses(table(spark, sf_dir, "pages")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,4 +71,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filters": URL_SQL}
+
+
+URL_SQL = r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), parts AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM rest
+), ruled AS (
+  SELECT *, CASE
+    WHEN concat('.', host) LIKE '%.example.com' AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN concat('.', host) LIKE '%.example.net' AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN concat('.', host) LIKE '%.com' AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN concat('.', host) LIKE '%.net' AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN concat('.', host) LIKE '%.org' AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule = 'example.com/en/7' THEN 'allow'
+  WHEN rule IS NOT NULL OR path LIKE '%.exe' OR path LIKE '%.zip' OR path LIKE '%.tar.gz' OR path LIKE '%/cgi-bin/%'
+    OR path LIKE '%/wp-admin/%' OR path LIKE '%/login' OR path LIKE '%/login/%' THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM ruled
+"""
