@@ -16,6 +16,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, fitted(docs, table(spark, sf_dir, "labels").selectExpr("doc_id", "quality as good")))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.secrets import scan
 
