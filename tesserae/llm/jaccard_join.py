@@ -9,9 +9,12 @@ The global order of n-grams is the order of their 64-bit hashes. It is cut into
 3. documents with equal sets are one node (the smallest id stands for it), so copies are never expanded to pairs;
 4. candidate pairs are verified exactly: the sets are cut into fragments again, the overlap is counted separately in
    each fragment, and the partial overlaps are summed per pair;
-5. first each node is held against one leader of its prefix lists; what this links is merged to components, and only
-   pairs that still lie in different components are then verified, all of them. So a large group of near copies
-   costs a number of pairs linear in its size, and no link between different components is lost.
+5. first each node is held against a leader (the most central member of a prefix list) and against its pivot, the leader
+   that following leaders ends at; what this links is merged to components. Then all pairs of a prefix list that still lie in different components are
+   verified, but for those that their overlaps with a common pivot rule out: what x and y have in common is at most
+   the smaller of what either shares with that pivot plus what both share beside it, and the latter is counted on the
+   n-grams that the pivot lacks. So a large group of near copies costs about one pair a copy, and no link between
+   different components is lost.
 
 Hash collisions (64 bits) are the only approximation.
 """
@@ -82,7 +85,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 _PACKED = pa.schema([("fragment", pa.int64()), ("chunk", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
 _SHARED = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("grams", pa.binary()), ("found", pa.binary())])
-_NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+_NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("centre", pa.float64()), ("grams", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
 
 def _deal(k: int, bits: int):
@@ -161,25 +164,25 @@ def _assemble(percent: int):
         ids = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in table["ids"].to_pylist()])
         sizes, grams, found = joined("sizes", np.int32).astype(np.int64), joined("grams", np.uint64), joined("found", np.int64)
         order = np.lexsort((grams, found, ids))
-        ids, sizes, grams = ids[order], sizes[order], grams[order].view(np.int64)
+        ids, sizes, grams, weight = ids[order], sizes[order], grams[order].view(np.int64), np.log(found[order])
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]))
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             n = int(sizes[a])
             if 100 * (b - a) >= percent * n:
                 need = -(-percent * n // 100)
-                rows.append((int(ids[a]), n, np.sort(grams[a:b]), grams[a : a + (b - a) - need + 1]))
+                rows.append((int(ids[a]), n, float(weight[a:b].sum()) / n, np.sort(grams[a:b]), grams[a : a + (b - a) - need + 1]))
         return pa.Table.from_batches([_rows(rows, _NODES)])
 
     return run
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those at the threshold: partial overlaps by fragment, summed per pair."""
+def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """The pairs (a, na, b, nb) with the size of their common set: partial overlaps by fragment, summed per pair."""
     left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("part").alias("left"))
     right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("part").alias("right"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("left", "right")).alias("common"))
-    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common")).where(F.expr(f"100 * common >= {percent} * (na + nb - common)")).select("a", "b")
+    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -202,43 +205,89 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = max(5, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     packed = rows.where("doc_id is not null").mapInArrow(_deal(k, bits), "fragment long, chunk long, ids binary, sizes binary, counts binary, grams binary")
     shared = packed.groupBy("fragment").applyInArrow(_count, "chunk long, ids binary, sizes binary, grams binary, found binary")
-    able = shared.groupBy("chunk").applyInArrow(_assemble(percent), "doc_id long, n long, grams array<long>, prefix array<long>")
+    able = shared.groupBy("chunk").applyInArrow(_assemble(percent), "doc_id long, n long, centre double, grams array<long>, prefix array<long>")
     of = summary.where("n_shingles > 0 and doc_id is not null").join(classes, ["set_a", "set_b", "n_shingles"]).where("doc_id = node").select("doc_id").distinct()
     nodes = stored(able.dropDuplicates(["doc_id"]).join(of, "doc_id", "left_semi"), "nodes")
 
     segments = nodes.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit((1 << VERIFY_BITS) - 1)), lambda i: F.filter("grams", lambda g: F.shiftrightunsigned(g, 64 - VERIFY_BITS) == i))).alias("fragment", "part")).where(F.size("part") > 0)
-    prefixes = nodes.select("doc_id", "n", F.explode("prefix").alias("gram"))
-    lists = prefixes.groupBy("gram").agg(F.count("*").alias("held"), F.min(F.struct("doc_id", "n")).alias("lead")).where("held > 1")
-    fits = "4 * least(na, nb) >= 3 * greatest(na, nb)" if percent == 75 else f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    prefixes = nodes.select("doc_id", "n", "centre", F.explode("prefix").alias("gram"))
+    lists = prefixes.groupBy("gram").agg(F.count("*").alias("held"), F.max(F.struct("centre", F.negative("doc_id").alias("order"), "doc_id", "n")).alias("lead")).where("held > 1")
+    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    linked = f"100 * common >= {percent} * (na + nb - common)"
+    leaders = lists.select("gram", F.col("lead.doc_id").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.centre").alias("centre_b"))
     led = (
-        prefixes.join(lists.select("gram", F.col("lead.doc_id").alias("b"), F.col("lead.n").alias("nb")), "gram")
-        .select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "b", "nb")
-        .where(f"a <> b and {fits}")
-        .groupBy("a", "na", "b", "nb")
-        .agg(F.count("*").alias("common"))
+        prefixes.join(leaders, "gram")
+        .where("doc_id <> b")
+        .groupBy(F.col("doc_id").alias("a"), F.col("n").alias("na"), "b", "nb", "centre_b")
+        .agg(F.count("*").alias("lists"))
         .groupBy("a", "na")
-        .agg(F.max_by(F.struct("b", "nb"), F.struct("common", F.negative("b"))).alias("best"))
-        .select("a", "na", "best.b", "best.nb")
+        .agg(
+            F.max_by(F.struct("b", "nb"), F.when(F.expr(fits), F.struct("lists", F.negative("b")))).alias("best"),
+            F.max_by(F.struct("b", "nb"), F.struct("centre_b", F.negative("b"))).alias("pivot"),
+        )
     )
-    first = stored(_verified(led, segments, percent), "links")
+    led = stored(led, "led")
+    # a leader is more central than what it leads, so following leaders ends; three joins follow eight
+    pivot = led.select("a", "na", "pivot.b", "pivot.nb")
+    for _ in range(3):
+        after = pivot.select(F.col("a").alias("b"), F.struct("b", "nb").alias("next"))
+        pivot = pivot.join(after, "b", "left").select("a", "na", F.coalesce("next.b", "b").alias("b"), F.coalesce("next.nb", "nb").alias("nb"))
+    pivot = stored(pivot, "pivots")
+    asked = led.where("best is not null").select("a", "na", "best.b", "best.nb").unionByName(pivot).distinct()
+    held = stored(_overlaps(asked, segments), "leaders")
+    first = held.where(linked).select("a", "b")
     merged = components(first)
 
-    placed = stored(
-        prefixes.join(lists.select("gram"), "gram").join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")),
-        "placed",
+    # how far a node reaches into its pivot (a node that nothing leads: itself)
+    pivots = (
+        nodes.select("doc_id", F.size("grams").cast("long").alias("shared"))
+        .join(pivot.select(F.col("a").alias("doc_id"), "b"), "doc_id", "left")
+        .join(held.select(F.col("a").alias("doc_id"), "b", "common"), ["doc_id", "b"], "left")
+        .join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .select(
+            "doc_id",
+            F.coalesce("b", "doc_id").alias("pivot"),
+            F.expr("if(b is null, shared, coalesce(common, 0))").alias("inside"),
+            F.coalesce("component", "doc_id").alias("component"),
+        )
     )
+    placed = stored(prefixes.select("gram", "doc_id", "n").join(lists.select("gram"), "gram").join(pivots, "doc_id"), "placed")
     by_part = placed.groupBy("gram", "component").agg(F.count("*").alias("held"))
     mixed = by_part.groupBy("gram").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("held", "component")).alias("main")).where("parts > 1").select("gram", "main")
-    open_lists = placed.join(mixed, "gram")
-    apart = open_lists.where("component <> main").select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("of_a"))
-    others = open_lists.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("of_b"), "main")
+    node = F.struct("doc_id", "n", "component", "pivot", "inside")
+    open_lists = stored(placed.join(mixed, "gram").select("gram", "main", node.alias("node")), "open")
+    x = open_lists.where("node.component <> main").select("gram", F.col("node").alias("x"))
+    y = open_lists.select("gram", "main", F.col("node").alias("y"))
+    apart = f"x.component <> y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    # x and y with one pivot: what they have in common is at most what either has in it, plus what they share outside
+    listed = x.join(y, "gram").where(
+        f"{apart} and (y.component = main or x.doc_id < y.doc_id) and (x.pivot <> y.pivot"
+        f" or 100 * least(x.inside, y.inside) >= {percent} * (x.n + y.n - least(x.inside, y.inside)))"
+    )
+    grams = nodes.select(F.col("doc_id").alias("of"), "grams")
+    outside = stored(
+        open_lists.select("node").distinct()
+        .where("node.pivot <> node.doc_id")
+        .join(grams, F.col("node.doc_id") == F.col("of"))
+        .select("node", F.col("grams").alias("own"))
+        .join(grams, F.col("node.pivot") == F.col("of"))
+        .select("node", F.col("node.pivot").alias("pivot"), F.explode(F.array_except("own", "grams")).alias("gram")),
+        "outside",
+    )
+    beside = (
+        outside.select("pivot", "gram", F.col("node").alias("x"))
+        .join(outside.select("pivot", "gram", F.col("node").alias("y")), ["pivot", "gram"])
+        .where(f"{apart} and x.doc_id < y.doc_id")
+        .groupBy("x", "y")
+        .agg(F.count("*").alias("more"))
+        .where(f"100 * (least(x.inside, y.inside) + more) >= {percent} * (x.n + y.n - least(x.inside, y.inside) - more)")
+    )
     rest = (
-        apart.join(others, "gram")
-        .where(f"of_a <> of_b and (of_b = main or a < b) and {fits}")
-        .select(F.least("a", "b").alias("a"), F.expr("if(a < b, na, nb)").alias("na"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, nb, na)").alias("nb"))
+        listed.select("x", "y").unionByName(beside.select("x", "y"))
+        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.expr("if(x.doc_id < y.doc_id, x.n, y.n)").alias("na"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.expr("if(x.doc_id < y.doc_id, y.n, x.n)").alias("nb"))
         .distinct()
     )
-    second = _verified(rest, segments, percent)
+    second = _overlaps(rest, segments).where(linked).select("a", "b")
     merged = components(first.unionByName(second))
 
     return (
