@@ -84,7 +84,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _PACKED = pa.schema([("fragment", pa.int64()), ("chunk", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
-_SHARED = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("grams", pa.binary()), ("found", pa.binary())])
+_SHARED = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("found", pa.binary())])
 _NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("centre", pa.float64()), ("grams", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
 
@@ -148,9 +148,10 @@ def _count(table: pa.Table) -> pa.Table:
         at += len(part)
         keep = own > 1
         if keep.any():
-            counts = np.frombuffer(counts, np.int32)
-            ids, sizes = np.cumsum(np.frombuffer(ids, np.int64)), np.frombuffer(sizes, np.int32)
-            rows.append((chunk, _raw(np.diff(np.repeat(ids, counts)[keep], prepend=0)), _raw(np.repeat(sizes, counts)[keep]), _raw(part[keep]), _raw(own[keep])))
+            counts = np.add.reduceat(keep, np.concatenate(([0], np.cumsum(np.frombuffer(counts, np.int32))[:-1])), dtype=np.int32)
+            has = counts > 0
+            ids, sizes = np.cumsum(np.frombuffer(ids, np.int64))[has], np.frombuffer(sizes, np.int32)[has]
+            rows.append((chunk, _raw(np.diff(ids, prepend=0)), _raw(sizes), _raw(counts[has]), _raw(part[keep]), _raw(np.minimum(own[keep], 2**32 - 1).astype(np.uint32))))
     return pa.Table.from_batches([_rows(rows, _SHARED)])
 
 
@@ -161,8 +162,9 @@ def _assemble(percent: int):
         def joined(name, kind):
             return np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
 
-        ids = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in table["ids"].to_pylist()])
-        sizes, grams, found = joined("sizes", np.int32).astype(np.int64), joined("grams", np.uint64), joined("found", np.int64)
+        counts = joined("counts", np.int32)
+        ids = np.repeat(np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in table["ids"].to_pylist()]), counts)
+        sizes, grams, found = np.repeat(joined("sizes", np.int32), counts), joined("grams", np.uint64), joined("found", np.uint32)
         order = np.lexsort((grams, found, ids))
         ids, sizes, grams, weight = ids[order], sizes[order], grams[order].view(np.int64), np.log(found[order])
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]))
@@ -179,9 +181,10 @@ def _assemble(percent: int):
 
 def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """The pairs (a, na, b, nb) with the size of their common set: partial overlaps by fragment, summed per pair."""
-    left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("part").alias("left"))
-    right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("part").alias("right"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("left", "right")).alias("common"))
+    left = segments.select(F.col("doc_id").alias("a"), F.col("parts").alias("left"))
+    right = segments.select(F.col("doc_id").alias("b"), F.col("parts").alias("right"))
+    cut = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.inline(F.arrays_zip("left", "right")))
+    partial = cut.select("a", "b", "na", "nb", F.size(F.array_intersect("left", "right")).alias("common"))
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
 
 
@@ -204,12 +207,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     bits = max(5, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     packed = rows.where("doc_id is not null").mapInArrow(_deal(k, bits), "fragment long, chunk long, ids binary, sizes binary, counts binary, grams binary")
-    shared = packed.groupBy("fragment").applyInArrow(_count, "chunk long, ids binary, sizes binary, grams binary, found binary")
+    shared = packed.groupBy("fragment").applyInArrow(_count, "chunk long, ids binary, sizes binary, counts binary, grams binary, found binary")
     able = shared.groupBy("chunk").applyInArrow(_assemble(percent), "doc_id long, n long, centre double, grams array<long>, prefix array<long>")
     of = summary.where("n_shingles > 0 and doc_id is not null").join(classes, ["set_a", "set_b", "n_shingles"]).where("doc_id = node").select("doc_id").distinct()
     nodes = stored(able.dropDuplicates(["doc_id"]).join(of, "doc_id", "left_semi"), "nodes")
 
-    segments = nodes.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit((1 << VERIFY_BITS) - 1)), lambda i: F.filter("grams", lambda g: F.shiftrightunsigned(g, 64 - VERIFY_BITS) == i))).alias("fragment", "part")).where(F.size("part") > 0)
+    # parts: a node's n-grams by fragment, in the order of the fragments
+    fragments = F.sequence(F.lit(0), F.lit((1 << VERIFY_BITS) - 1))
+    segments = nodes.select("doc_id", F.transform(fragments, lambda i: F.filter("grams", lambda g: F.shiftrightunsigned(g, 64 - VERIFY_BITS) == i)).alias("parts"))
     prefixes = nodes.select("doc_id", "n", "centre", F.explode("prefix").alias("gram"))
     lists = prefixes.groupBy("gram").agg(F.count("*").alias("held"), F.max(F.struct("centre", F.negative("doc_id").alias("order"), "doc_id", "n")).alias("lead")).where("held > 1")
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
