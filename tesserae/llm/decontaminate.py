@@ -82,7 +82,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     hits = texts.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", F.posexplode(_shingles(F.col("words"), False)).alias("at", "h")).join(near(wanted), "h")
     begins = stored(hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n_words")).alias("begins")), "begins")
-    held = begins.join(texts, "doc_id").select("doc_id", "begins", _words(F.col("text")).alias("words")).select("doc_id", "begins", _shingles(F.col("words"), True).alias("shingles"))
+    # as many rows as documents with hits: never broadcast, whatever the size
+    held = begins.hint("merge").join(texts, "doc_id").select("doc_id", "begins", _words(F.col("text")).alias("words")).select("doc_id", "begins", _shingles(F.col("words"), True).alias("shingles"))
     windows = stored(
         held.select("doc_id", "shingles", F.explode("begins").alias("begin"))
         .select("doc_id", F.col("begin.at").alias("at"), F.col("begin.n_words").alias("n_words"), F.slice("shingles", F.col("begin.at") + 1, F.col("begin.n_words") - (WORDS - 1)).alias("shingles"))
@@ -113,4 +114,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
     """``docs`` without those that hold a benchmark item; columns and other rows as they are (also null ids)."""
     gone = leaks(docs, benchmark, id_col, **columns).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__leaked"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["__leaked"], "left_anti")
