@@ -69,9 +69,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -50, 50)))
 
 
-def fit(found: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 20, rate: float = 0.02, sparsity: float = 2e-4, batch: int = 256) -> Model:
-    """Adam on the cumulative-link likelihood with soft thresholding, so that words that say nothing weigh nothing;
-    weights only for features of five rated texts or more."""
+def fit(found: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = 940, rate: float = 0.02, sparsity: float = 0.022, batch: int = 256) -> Model:
+    """Adam on the cumulative-link likelihood with soft thresholding, so that words that say nothing weigh nothing (the
+    fewer rated texts, the stronger); weights only for features of five rated texts or more."""
     sizes = np.array([len(x) for x in found])
     flat = np.concatenate(found) if found else np.zeros(0, np.int64)
     common = np.bincount(flat, minlength=1 << BITS) >= 5
@@ -83,6 +83,8 @@ def fit(found: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int
     params = np.concatenate((logits[:1], np.log(np.maximum(np.diff(logits), 1e-3))))
     m, v, pm, pv = np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(params), np.zeros_like(params)
     order, step = np.random.default_rng(7), 0
+    penalty = sparsity / np.sqrt(max(1, len(found)))
+    epochs = -(-steps // max(1, -(-len(found) // batch)))
     for epoch in range(epochs if len(found) else 0):
         turn = order.permutation(len(found))
         for at in range(0, len(turn), batch):
@@ -112,7 +114,7 @@ def fit(found: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int
             v += 0.001 * (grad_w**2 - v)
             scale = np.sqrt(v / (1 - 0.999**step)) + 1e-6
             weights -= pace * m / (1 - 0.9**step) / scale
-            weights = np.sign(weights) * np.maximum(np.abs(weights) - pace * sparsity / scale, 0)
+            weights = np.sign(weights) * np.maximum(np.abs(weights) - pace * penalty / scale, 0)
             pm += 0.1 * (grad_p - pm)
             pv += 0.001 * (grad_p**2 - pv)
             params -= pace * pm / (1 - 0.9**step) / (np.sqrt(pv / (1 - 0.999**step)) + 1e-8)
