@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tesserae.sources.stored import stored
@@ -24,9 +24,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         around = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("component").alias("near"))
         nearer = labels.join(around, labels.node == around.u).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         of = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        following = stored(nearer.join(of, "component", "left").select("node", "old", F.least("component", F.coalesce("jump", "component")).alias("component")), "labels")
-        labels = following.select("node", "component")
-        if following.where("component <> old").isEmpty():
+        changes = Observation()
+        following = nearer.join(of, "component", "left").select("node", "old", F.least("component", F.coalesce("jump", "component")).alias("component"))
+        labels = stored(following.observe(changes, F.count_if(F.col("component") != F.col("old")).alias("n")).select("node", "component"), "labels")
+        if not changes.get["n"]:
             return labels
 
 
