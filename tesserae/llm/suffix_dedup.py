@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -228,24 +229,35 @@ def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray, int]], length: i
         far += 1
         size[following] = far
         now = following
-    # refinement: suffixes in the order of their first h bytes, shards one after another among equals
-    rows, block = np.arange(n), np.zeros(n, np.int64)
-    for _ in range(length):
-        inside = ~is_end[rows]
-        rows, block = rows[inside], block[inside]
-        front = symbols[rows]
+    # refinement: suffixes in the order of their first h bytes, shards one after another among equals; two symbols a round
+    step = step.astype(np.int32)
+    rows, block, depth = np.arange(n, dtype=np.int32), np.zeros(n, np.int32), 0
+    pair = (symbols[step].astype(np.uint16) << np.uint16(8)) | symbols
+    two, whole_two = step[step], is_end | is_end[step]
+    while depth < length and len(rows):
+        double = length - depth != 1 and (length - depth) % 2 == 0
+        keep = ~(whole_two if double else is_end)[rows]
+        rows, block = rows[keep], block[keep]
+        front = (pair if double else symbols)[rows]
         turn = np.argsort(front, kind="stable")
-        front, block, rows = front[turn], block[turn], step[rows[turn]]
+        front, block, rows = front[turn], block[turn], (two if double else step)[rows[turn]]
         new = np.ones(len(rows) + 1, bool)
         new[1:-1] = (front[1:] != front[:-1]) | (block[1:] != block[:-1])
         shared = ~(new[:-1] & new[1:])  # not alone in its block
-        block = np.cumsum(new[:-1])[shared]
+        block = np.cumsum(new[:-1], dtype=np.int32)[shared]
         rows = rows[shared]
-        if not len(rows):
-            break
+        depth += 2 if double else 1
     return text[rows], sizes[text[rows]] - size[rows], block
 
 
+def _ranges(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop, anchor) of a list column of ranges; anchor is -1 where it is null."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    start, stop, anchor = column.flatten().flatten()
+    whole = lambda a: a.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(column)), lengths), whole(start), whole(stop), whole(pc.fill_null(anchor, -1))
+
+
 def _shards(length: int, buckets: int):
     """Documents with the ranges of their partly repeated pieces -> a transform for each bucket and set of documents."""
 
@@ -263,16 +275,17 @@ def _shards(length: int, buckets: int):
             return _batch(rows, _SHARDS)
 
         for batch in batches:
-            for doc, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                data = None
-                for m in marks:
-                    if m["anchor"] is None:
-                        continue
-                    if data is None:
-                        data = np.frombuffer(text, np.uint8)
-                    part = data[m["start"] : m["stop"]]
-                    bucket = int(tk.mixed(np.array([m["anchor"]], np.int64).view(np.uint64))[0] % _U(buckets))
-                    held.setdefault(bucket, []).append((doc, m["start"], part))
+            row, start, stop, anchor = _ranges(batch.column(2))
+            partly = anchor >= 0
+            row, start, stop, anchor = row[partly], start[partly], stop[partly], anchor[partly]
+            bucket = (tk.mixed(anchor.view(np.uint64)) % _U(buckets)).astype(np.int64)
+            docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            for r in range(batch.num_rows):
+                data = np.frombuffer(texts[r].as_buffer(), np.uint8)
+                for i in range(cuts[r], cuts[r + 1]):
+                    part = data[start[i] : stop[i]]
+                    held.setdefault(int(bucket[i]), []).append((docs[r], start[i], part))
                     size += len(part)
                 if size >= SHARD_BYTES:
                     yield flush()
@@ -313,12 +326,16 @@ def _cut(with_bytes: bool):
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text, marks, more in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                data = np.frombuffer(text, np.uint8)
-                change = np.zeros(len(data) + 1, np.int64)
-                for m in [m for m in marks if m["anchor"] is None] + (more or []):
-                    change[m["start"]] += 1
-                    change[m["stop"]] -= 1
+            docs, texts = batch.column(0).to_pylist(), batch.column(1)
+            found = [_ranges(batch.column(i)) for i in (2, 3)]
+            row, start, stop = (np.concatenate([f[i][f[3] < 0] for f in found]) for i in range(3))
+            order = np.argsort(row, kind="stable")
+            start, stop = start[order], stop[order]
+            cuts = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+            for r, doc in enumerate(docs):
+                data = np.frombuffer(texts[r].as_buffer(), np.uint8)
+                a, b = cuts[r], cuts[r + 1]
+                change = np.bincount(start[a:b], minlength=len(data) + 1) - np.bincount(stop[a:b], minlength=len(data) + 1)
                 gone = np.cumsum(change)[:-1] > 0
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and bool(gone[0])))
                 kept = data[~gone].tobytes()
