@@ -199,8 +199,8 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]")
 
     A text without secrets, null or empty stays as it is.
     """
-    rows = with_spans(docs, text_col)
-    text = F.col(f"`{text_col}`")
+    rows = with_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text_col}`").alias("text")))
+    text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
@@ -209,4 +209,5 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]")
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     clean = F.aggregate("__spans", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
-    return rows.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(text)).drop("__spans")
+    new = F.when(F.size("__spans") > 0, clean).otherwise(text)
+    return rows.select(*((new if c == text_col else F.col("__row").getField(c)).alias(c) for c in docs.columns))
