@@ -151,3 +151,44 @@ def test_continuation_lines(spark):
     df = spark.createDataFrame([("p", 1, "head"), ("p", 2, "1 Ann"), ("p", 3, "more"), ("p", 4, "2 Bo")], "page string, line long, text string")
     out = [r["text"] for r in lines.continued(df, ["page"], "line", "text", F.col("text").rlike("^[0-9]")).orderBy("line").collect()]
     assert out == ["1 Ann more", "2 Bo"]
+
+
+def test_registry_parses_each_document_once(spark):
+    from tesserae.operators.census import Registry
+
+    docs = spark.createDataFrame([(1, "a:x"), (2, "b:y"), (3, "c"), (4, None), (5, "a:b:z")], "id long, text string")
+    registry = Registry()
+    registry.add("a", F.col("text").startswith("a:"), lambda d: d.select("id", F.substring("text", 3, 9).alias("value")))
+    registry.add("b", F.col("text").contains("b:"), lambda d: d.select("id", F.upper("text").alias("value")))
+    assert sorted(tuple(r) for r in registry.parsed(docs).collect()) == [(1, "x", "a"), (2, "B:Y", "b"), (5, "b:z", "a")]
+    assert registry.claims(docs, "id").where("claimed").count() == 4
+
+
+def test_snapshot_facade(spark, tmp_path, capsys):
+    from tesserae.operators import facade
+    from tesserae.sources.archive import write_snapshot
+
+    rows = [("r1", "s", "pages", "gap", "e", None, None, "2024-01-02", None, "pages/0"), ("r2", "s", "rows", "result", "e", "2024-01-01", "2024-01-05", None, "pages/0", "pages/0/rows/0"), ("r3", "t", "pages", "result", None, None, None, None, None, "pages/0")]
+    names = "record_id source_name collection kind event_name date_from date_to event_date parent_path record_path".split()
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    view = facade.SnapshotQuery(df, spark.createDataFrame([("s", "CMX")], "source_name string, label string"))
+    assert [r["record_id"] for r in view.browse(low="2024-01-03").collect()] == ["r2"]
+    assert {r["record_id"] for r in view.browse(label="unknown").collect()} == {"r3"} and view.browse(label="CMX", kind="gap").count() == 1
+    assert {r["record_id"] for r in view.detail("r1").collect()} == {"r1", "r2"} and view.gaps().count() == 1
+    assert view.facets("kind").first()["kind"] == ["gap", "result"] and view.sources().count() == 2
+    write_snapshot(df, str(tmp_path / "snap"))
+    facade.main([str(tmp_path / "snap"), "browse", "source_name=t"])
+    assert '"record_id":"r3"' in capsys.readouterr().out
+
+
+def test_decisions_fail_closed(spark):
+    from tesserae.operators import decisions
+
+    df = spark.createDataFrame([(None, "a", 1.0, "k", True), ({"a": 0.99, "b": 0.01}, "a", 0.99, "k", True), ({"a": 0.99, "b": 0.01}, "a", 0.99, "k", None), ({"a": 0.99, "b": 0.5}, "a", 0.99, "k", True), ({"a": 0.99, "b": 0.01}, "z", 0.99, "k", True)], "c map<string,double>, s string, f double, k string, w boolean")
+    out = [r[0] for r in df.select(decisions.approval(F.col("c"), F.col("s"), F.col("f"), F.col("k"), F.col("w"))).collect()]
+    assert out == ["missing-answer", "approved", "incomplete-retrieval", "probabilities-do-not-sum", "unknown-selection"]
+    people = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    found = spark.createDataFrame([(1, 7, "publisher-id", False, True), (2, 7, "name", False, True)], "id long, candidate long, route string, contradicts boolean, supported boolean")
+    assert {r["id"]: r["decision"] for r in decisions.identity_decision(found, people, "id").collect()} == {1: "link", 2: "weak-route", 3: "no-candidate"}
+    fresh, bad = decisions.upserted(spark.createDataFrame([("a", "1")], "k string, p string"), spark.createDataFrame([("a", "2"), ("b", "1"), ("b", "1"), ("c", "1"), ("c", "2")], "k string, p string"), ["k"], "p")
+    assert [r["k"] for r in fresh.collect()] == ["b"] and {r["k"] for r in bad.collect()} == {"a", "c"}
