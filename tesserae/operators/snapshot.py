@@ -13,13 +13,11 @@ def flattened(packets: DataFrame, name_col: str = "source_name", json_col: str =
     """(source_name, collection, record_path, parent_path, fields): every object of a packet's top-level arrays, and the
     objects of their nested row arrays. ``fields`` is the object as JSON text. A text that is no JSON object gives no rows."""
     source = packets.select(name_col, F.try_parse_json(json_col).alias("__v"))
-    source.createOrReplaceTempView("__packets")
-    spark = packets.sparkSession
     nested = ", ".join(f"'{n}'" for n in NESTED)
-    return spark.sql(f"""
+    return packets.sparkSession.sql(f"""
         with top as (
           select {name_col}, c.key as collection, i.pos as pos, i.value as value
-          from __packets, lateral variant_explode(__v) c, lateral variant_explode(c.value) i
+          from {{packets}}, lateral variant_explode(__v) c, lateral variant_explode(c.value) i
           where c.key is not null and schema_of_variant(c.value) like 'ARRAY%' and schema_of_variant(i.value) like 'OBJECT%'
         )
         select {name_col}, collection, concat(collection, '/', pos) as record_path, cast(null as string) as parent_path, to_json(value) as fields from top
@@ -27,7 +25,7 @@ def flattened(packets: DataFrame, name_col: str = "source_name", json_col: str =
         select {name_col}, n.key as collection, concat(t.collection, '/', t.pos, '/', n.key, '/', i.pos), concat(t.collection, '/', t.pos), to_json(i.value)
         from top t, lateral variant_explode(t.value) n, lateral variant_explode(n.value) i
         where n.key in ({nested}) and schema_of_variant(n.value) like 'ARRAY%' and schema_of_variant(i.value) like 'OBJECT%'
-    """)
+    """, packets=source)
 
 
 def overlaps(date_from: Column, date_to: Column, at: Column, low: Column, high: Column) -> Column:
