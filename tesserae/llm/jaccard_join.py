@@ -34,7 +34,7 @@ from tesserae.operators.graph import components
 from tesserae.sources.stored import stored
 
 #: n-grams that a task packs before it hands them on (7 bytes each).
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Fragments in which the overlap of a candidate pair is counted.
 VERIFY_BITS = 3
 
@@ -71,6 +71,7 @@ def _summary(k: int):
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64))],
                 ["doc_id", "n_shingles", "set_a", "set_b"],
             )
+        tk.release()
 
     return run
 
@@ -139,6 +140,7 @@ def _deal(k: int, bits: int):
                 if held >= FLUSH:
                     yield _rows(flush(), _PACKED)
         yield _rows(flush(), _PACKED)
+        tk.release()
 
     return run
 

@@ -10,7 +10,7 @@ the driver as packed feature numbers (about 1 kB a row); every document is score
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,9 +64,9 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def tails(self, found: list[np.ndarray]) -> np.ndarray:
-        """P(grade > j) for each text and threshold."""
-        score = np.array([float(self.weights[x].sum(dtype=np.float64)) for x in found])
+    def tails(self, found: Iterable[np.ndarray]) -> np.ndarray:
+        """P(grade > j) for each text and threshold; one text's features are held at a time."""
+        score = np.fromiter((float(self.weights[x].sum(dtype=np.float64)) for x in found), np.float64)
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -50, 50)))
 
 
@@ -126,6 +126,7 @@ def _numbers(batches):
     for batch in batches:
         found = [zstandard.compress(np.diff(x, prepend=0).astype(np.uint32).tobytes()) for x in features(batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "grade", "found"])
+    tk.release()
 
 
 def fitted(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
@@ -161,9 +162,10 @@ def graded(docs: DataFrame, model: Model, text_col: str = "text", at_least: floa
 
     def run(batches):
         for batch in batches:
-            tails = shared.value.tails(list(features(batch.column(at)))).reshape(batch.num_rows, len(names))
+            tails = shared.value.tails(features(batch.column(at))).reshape(batch.num_rows, len(names))
             new = [pa.array(tails.sum(1)), *(pa.array(np.ascontiguousarray(tails[:, j])) for j in range(len(names))), pa.array(tails[:, -1] >= at_least)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*kept, "expected_grade", *names, "kept"])
+        tk.release()
 
     return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
 

@@ -50,11 +50,10 @@ def token_ids(column: pa.Array, vocabulary: str, ranks: str | None = None):
     fast and to the same ids. Others, and texts with very long runs, take the vocabulary itself.
     """
     slow, fast = _coders(vocabulary, ranks)
-    texts = column.to_pylist()
     for lo, hi, data, offsets in tk.chunks(column):
+        texts = column.slice(lo, hi - lo).to_pylist()
         starts, ends, first = tk.word_bounds(data, offsets)
-        for row in range(hi - lo):
-            text = texts[lo + row]
+        for row, text in enumerate(texts):
             if not text:
                 yield np.zeros(0, np.uint32)
                 continue
@@ -184,6 +183,7 @@ def pack(
             close(window)
         if rows:
             yield out()
+        tk.release()
 
     kinds = ", ".join(f"{f.name} long" for f in _PIECES) + (", ids array<int>" if with_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kinds)

@@ -62,6 +62,11 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         lo = hi
 
 
+def release() -> None:
+    """Give unused Arrow memory back at the end of a task; workers are kept for later tasks, of other operators too."""
+    pa.default_memory_pool().release_unused()
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and for each row the index of its first word (and one past the last)."""
     n = len(data)
