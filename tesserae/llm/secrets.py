@@ -1,7 +1,9 @@
 """Operator 3: secret scans with a randomness test battery. DataFrame functions only.
 
-Fixed patterns give the base spans (kinds assign, access, hex). The method adds spans of kind ``random``: runs of token
-characters are given the encoding their characters allow, and within its alphabet tested
+Fixed patterns give the base spans (kinds assign, access, hex). The method adds spans of kind ``random``. Runs of token
+characters are cut into tokens: for each encoding the longest stretches of its alphabet, so that a value is also tested
+without the name, path or prefix it is glued to ('=' is padding at a run's end and a cut elsewhere). Tokens are given the
+encoding their characters allow, and within its alphabet tested
 
 * for uniformity: chi-squared over the alphabet,
 * for runs above and below the alphabet's middle,
@@ -27,7 +29,7 @@ HEX = r"[0-9a-f]{24,}"
 ACCESS_LENGTH, VALUE_LENGTH = 20, 6
 KINDS = ("assign", "access", "hex", "random")
 
-#: Tokens of so many characters are tested.
+#: Runs of so many characters are cut into tokens.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings in the order they are tried: name, what the token must match, alphabet, and the chance that two symbols
@@ -41,6 +43,8 @@ ENCODINGS = (
     ("base64url", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_", 0.065),
     ("base36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", _LOWER + _DIGITS, 0.065),
 )
+#: What is cut out of a run: stretches of an encoding's alphabet, with the padding at the run's end.
+STRETCHES = tuple(r"[" + c + r"]{20,}(?:=+$)?" for c in ("0-9a-f", "0-9A-F", "A-Z2-7", "A-Za-z0-9", "A-Za-z0-9+/", "A-Za-z0-9_-", "a-z0-9"))
 ALPHA = 0.001
 RATE = 0.05
 #: Length classes, by least length.
@@ -115,7 +119,8 @@ def _bin(p: Column) -> Column:
 
 def thresholds(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     """For each length class the least bin of p_text that Benjamini-Hochberg rejects, over all tokens of all texts."""
-    tokens = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))).alias("token"))
+    runs = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))).alias("run"))
+    tokens = runs.select(F.explode(_tokens(F.col("run"))["token"]).alias("token"))
     tested = tokens.select(_class(F.char_length(F.rtrim("token", F.lit("=")))).alias("least"), _tested(F.col("token")).alias("t")).where("t is not null")
     counts = tested.groupBy("least", F.when(F.col("t.p_random") >= ALPHA, _bin(F.col("t.p_text"))).otherwise(-1).alias("bin")).count().collect()
     out = {}
@@ -143,11 +148,29 @@ def _located(found: Column, gaps: Column, keep: Callable[[Column], Column], kind
     return F.when(F.size(found) > 0, F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda a: a["spans"])).otherwise(empty)
 
 
+def _tokens(run: Column) -> Column:
+    """(start, kind, end, token) of the tokens of a run, each place once; they may overlap."""
+    one = lambda p: _let(F.regexp_extract_all(run, p, F.lit(0)), lambda found: _located(found, F.split(run, p), lambda m: F.lit(True), 3))
+    spans = F.flatten(F.transform(F.array(*map(F.lit, STRETCHES)), one))
+    return F.transform(F.array_distinct(spans), lambda s: F.struct(s["start"], s["kind"], s["end"], F.substring(run, s["start"] + 1, s["end"] - s["start"]).alias("token")))
+
+
+def _united(spans: Column) -> Column:
+    """Spans in order of their start, those that overlap as one."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), s["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(last["end"] > s["start"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,kind:int,end:int>>"), step)
+
+
 def with_spans(docs: DataFrame, text_col: str = "text", bins: dict[int, int] | None = None) -> DataFrame:
     """``docs`` with ``__spans``: array of (start, kind, end), kind the place in ``KINDS``, in order of start and kind.
 
     Base spans are leftmost and do not overlap within a kind; random spans are those tokens that pass the battery and
-    overlap no base span. Null texts have none. ``bins`` are the class thresholds (by default those of ``docs``).
+    overlap no base span, tokens that overlap as one span. Null texts have none. ``bins`` are the class thresholds (by default those of ``docs``).
     """
     bins = thresholds(docs, text_col) if bins is None else bins
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -163,15 +186,19 @@ def with_spans(docs: DataFrame, text_col: str = "text", bins: dict[int, int] | N
         (ASSIGN, lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= VALUE_LENGTH),
         (ACCESS, lambda m: F.char_length(m) >= ACCESS_LENGTH),
         (HEX, lambda m: F.lit(True)),
-        (TOKEN, random),
+        (TOKEN, lambda m: F.lit(True)),
     )
     out = docs.withColumns({f"__found{i}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for i, (p, _) in enumerate(kinds)})
     out = out.withColumns({f"__spans{i}": F.when(F.size(f"__found{i}") > 0, _located(F.col(f"__found{i}"), F.split(text, p), keep, i)) for i, (p, keep) in enumerate(kinds)})
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     out = out.withColumn("__base", F.array_sort(F.concat(*(F.coalesce(f"__spans{i}", none) for i in range(3)))))
-    added = F.filter(F.coalesce("__spans3", none), lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    at = lambda run, s: F.struct((run["start"] + s["start"]).alias("start"), s["kind"].alias("kind"), (run["start"] + s["end"]).alias("end"), s["token"].alias("token"))
+    tokens = F.flatten(F.zip_with("__spans3", "__found3", lambda run, text: F.transform(_tokens(text), lambda s: at(run, s))))
+    out = out.withColumn("__tokens", F.when(F.size("__spans3") > 0, tokens))
+    free = F.filter("__tokens", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    added = _united(F.transform(F.filter(free, lambda s: random(s["token"])), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     out = out.withColumn("__spans", F.when(F.size("__spans3") > 0, F.array_sort(F.concat("__base", added))).otherwise(F.col("__base")))
-    return out.drop(*(f"__found{i}" for i in range(4)), *(f"__spans{i}" for i in range(4)), "__base")
+    return out.drop(*(f"__found{i}" for i in range(4)), *(f"__spans{i}" for i in range(4)), "__base", "__tokens")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -80,6 +80,35 @@ def test_random_tokens_are_told_from_words(spark):
     assert sum(out[i] for i in range(60)) >= 55 and sum(out[i] for i in range(60, len(out))) == 0
 
 
+def test_random_values_are_found_where_they_are_glued_to_text(spark):
+    import random
+    import string
+
+    rng = random.Random(5)
+    drawn = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    base62, base36 = string.ascii_letters + string.digits, string.ascii_lowercase + string.digits
+    forms = [
+        ("export AWS_SECRET_ACCESS_KEY={} # set", base62 + "+/", ""),
+        ("PADDED_VALUE_OF_SERVICE={} end", base62 + "+/", "=="),
+        ("get https://host.example/file?sig={}&x=1", base62 + "-_", ""),
+        ("get https://host.example/en/products/download/{} now", base62 + "-_", ""),
+        ("get https://host.example/en/products/download/{}/raw-file now", base62, ""),
+        ("use my_service_live_{} here", base36, ""),
+        ("use my-service/live_{} here", base62, ""),
+    ]
+    rows = [(form.format(v), v) for form, letters, pad in forms for v in (drawn(letters, 44) + pad for _ in range(20))]
+    plain = [(t, None) for t in ("see https://host.example/en/products/download/2024/index-of-files_and_folders now", "SOME_LONG_CONSTANT_NAME=another_long_value_2 x", "") for _ in range(20)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows + plain)], "doc_id long, text string")
+    found = {r["doc_id"]: r["found"] for r in secrets.scan(df).collect()}
+    for n, (form, _, _) in enumerate(forms):
+        # the value is inside one span, and a first or last '-' or '_' may belong to its neighbours
+        hits = [any(v.strip("-_=") in s for s in found[i]) for i, (_, v) in enumerate(rows) if n * 20 <= i < n * 20 + 20]
+        assert sum(hits) >= 16, form
+    assert not any(found[i] for i in range(len(rows), len(rows) + len(plain)))
+    whole = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert all(v.strip("-_=") not in whole[i] for i, (_, v) in enumerate(rows) if any(v.strip("-_=") in s for s in found[i]))
+
+
 def test_ordinal_model_orders_grades(prose):
     texts, grades = [], []
     for i in range(900):
