@@ -3,8 +3,9 @@
 A window is as many words as a benchmark item has. Documents are searched for windows whose weighted five-word shingles
 reach the similarity ``AT_LEAST`` with the item's:
 
-1. A window can only be similar if it holds a shingle of the item, and shifting it to begin at its first such shingle
-   loses nothing in common. So windows begin where a document has a shingle of an item; that is one hash join.
+1. A window can only be similar if its shingles of items of its length weigh ``AT_LEAST`` of the lightest such item or
+   more. Shingles of items are found by one hash join; of windows that hold one, those go on whose first one begins a
+   stretch of so much weight. Windows begin at any word, since a shift brings other words into the weighted union.
 2. Each window and each item gets a 64-bit SimHash (a shingle votes with its weight, its number of characters).
 3. Multi-index Hamming search: the fingerprint is cut into ``RADIUS + 1`` blocks; two fingerprints that differ in at most
    ``RADIUS`` bits are equal in one block at least, so an equality join on (window size, block, value) finds them all.
@@ -16,6 +17,7 @@ The radius is ten bits beyond what similarity ``AT_LEAST`` gives on average (11)
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.sources.stored import stored
@@ -26,6 +28,8 @@ RADIUS = 21
 BITS = 64
 #: A benchmark of so many shingles at most is sent to every task; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Places are ordered in parts of a window's length, so that one range holds windows of all lengths.
+PARTS = 1 << 20
 _WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -75,12 +79,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         .where(f"n_words >= {WORDS} and item_id is not null"),
         "items",
     )
-    wanted = items.select("n_words", F.explode("shingles.h").alias("h")).distinct()
+    weight = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["w"])
+    lightest = items.groupBy("n_words").agg(F.min(weight(F.array_distinct("shingles"))).alias("least"))
+    wanted = items.select("n_words", F.inline("shingles")).distinct().join(lightest, "n_words")
     small = wanted.count() <= BROADCAST_ROWS
     near = F.broadcast if small else (lambda df: df)
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     hits = texts.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", F.posexplode(_shingles(F.col("words"), False)).alias("at", "h")).join(near(wanted), "h")
+    places = F.col("n_words") - (WORDS - 1)
+    each = W.partitionBy("doc_id", "n_words")
+    ahead = each.orderBy(F.floor(F.col("at") * F.lit(PARTS).cast("long") / places)).rangeBetween(0, PARTS)
+    hits = hits.withColumns({"held": F.sum("w").over(ahead), "last": F.lag("at").over(each.orderBy("at"))}).where((F.col("held") >= AT_LEAST * F.col("least")) & (F.col("last").isNull() | (F.col("last") < F.col("at"))))
+    # a window's first hit gives all its possible begins
+    hits = hits.select("doc_id", "n_words", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - places + 1, F.col("last") + 1), F.col("at"))).alias("at"))
     begins = stored(hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n_words")).alias("begins")), "begins")
     # as many rows as documents with hits: never broadcast, whatever the size
     held = begins.hint("merge").join(texts, "doc_id").select("doc_id", "begins", _words(F.col("text")).alias("words")).select("doc_id", "begins", _shingles(F.col("words"), True).alias("shingles"))
@@ -98,7 +110,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
     found = probe.join(near(index), ["n_words", "block", "value"]).select("doc_id", "at", "n_words", "item_id", distance.alias("distance")).where(f"distance <= {RADIUS}").distinct()
 
-    weight = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["w"])
     both = (
         found.join(windows.withColumnRenamed("shingles", "own"), ["doc_id", "at", "n_words"])
         .join(near(items.select("item_id", F.col("shingles").alias("asked"))), "item_id")

@@ -81,6 +81,18 @@ def test_decontamination(spark, odd, odd_rows, none, prose):
     assert kept.columns == odd.columns and kept.count() == len([i for i, _ in odd_rows if i is None or (i, 1) not in found])
 
 
+def test_decontamination_of_edited_beginnings(spark, prose):
+    item = prose(170, 40).split()
+    long = "https://host.example/" + "x" * 480
+    ends = [prose(180, 30), prose(181, 30)]
+    edits = [["new", "first", "words", *item[3:]], ["new", *item[1:]], [*item[:37], "new", "last", "words"]]
+    rows = [(i, f"{ends[0]} {long} {' '.join(e)} {long} {ends[1]}") for i, e in enumerate(edits)] + [(9, f"{ends[0]} {' '.join(item[:12])} {long}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = decontaminate.leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == similar(rows, [(1, " ".join(item))]) == {(0, 1), (1, 1), (2, 1)}
+    assert {r["start_word"] for r in out} == {31}
+
+
 def similar(rows, items):
     """All windows of all documents against all items."""
     grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
