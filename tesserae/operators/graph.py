@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tesserae.sources.stored import stored
+from tesserae.sources.stored import removed, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,8 +26,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         of = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
         changes = Observation()
         following = nearer.join(of, "component", "left").select("node", "old", F.least("component", F.coalesce("jump", "component")).alias("component"))
-        labels = stored(following.observe(changes, F.count_if(F.col("component") != F.col("old")).alias("n")).select("node", "component"), "labels")
+        labels = stored(following.observe(changes, F.count_if(F.col("component") != F.col("old")).alias("n")).select("node", "component"), "labels", labels)
         if not changes.get["n"]:
+            removed(both)
             return labels
 
 
@@ -48,7 +49,7 @@ def closure(edges: DataFrame, source: str, target: str, rounds: int = 64) -> Dat
     count = reach.count()
     for _ in range(rounds):
         more = reach.alias("x").join(reach.alias("y"), F.col("x.node") == F.col("y.ancestor")).select(F.col("x.ancestor").alias("ancestor"), F.col("y.node").alias("node"), (F.col("x.depth") + F.col("y.depth")).alias("depth"))
-        reach = stored(reach.unionByName(more).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")), "reach")
+        reach = stored(reach.unionByName(more).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")), "reach", reach)
         if (now := reach.count()) == count:
             break
         count = now

@@ -11,9 +11,12 @@ _local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (a local session, as in tests) one temporary folder a session."""
+    """``spark.checkpoint.dir``. Where it is unset, a session on this machine alone (as in tests) gets one temporary
+    folder; on a cluster that is an error, since executors could not read a folder of the driver's machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _local:
             _local[app] = "file://" + tempfile.mkdtemp(prefix="tesserae-")
@@ -21,9 +24,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs
-    only the rereading of its part."""
+    only the rereading of its part. ``instead_of`` is a stored table that nothing reads any more: it goes once ``df``
+    is written."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    if instead_of is not None:
+        removed(instead_of)
+    return table
+
+
+def removed(table: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` returned and that no plan will read again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
