@@ -5,10 +5,13 @@ shard where most of their neighbours are, as far as that shard's quota allows:
 
 * the members of a group that share a bucket of the id hash move together (a cell), so a group of any size is a bounded
   number of rows and its joins are salted by the bucket;
-* each round joins the cells with their group's counts by shard. A cell prefers the open shard with most neighbours (of
-  equals, by an order that depends on the group), and moves only upwards in that order, so neighbours never swap places;
-* moves into a shard are admitted in order of gain until its free capacity is used; where one class of gain overruns it, a
-  hash admits the fitting share. Demands are summed to (shard, gain class), a table of fixed size;
+* each round joins the cells with their group's counts by shard. A cell prefers the shard with most neighbours (of equals, by
+  an order that depends on the group), and moves only upwards in that order, so neighbours never swap places;
+* what may move is a flow between shards: demands are summed to (from, to, gain class), a table of fixed size, and are cut
+  back, least gain first, only as far as what comes into a shard exceeds its free room *and* what leaves it. Full shards so
+  exchange documents freely. Where a class is cut, a hash admits the fitting share;
+* a shard that lets nothing in is passed over for the next best; rounds go on until all are, or no cell has a wish left
+  (less than one document in ``STILL`` counts as nothing);
 * documents without neighbours cut no edge wherever they are. They, and what hash rounding put above a capacity, fill the
   shards up in the end, exactly: the law is ``rows``, shards differ by one document at most.
 
@@ -17,15 +20,18 @@ Places come from counts by (shard, bucket) and a rank within each, so no shard p
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.sources.stored import stored
+from tesserae.sources.stored import removed, stored
 
 #: Parts of a group that move on their own.
 CELLS = 256
-ROUNDS = 8
+#: A guard only; propagation ends when it is still.
+ROUNDS = 40
+STILL = 2_000
 #: Classes of gain: its binary logarithm.
 CLASSES = 48
 
@@ -34,43 +40,88 @@ def _count(array: Column, shard: Column) -> Column:
     return F.element_at(array, shard + 1)
 
 
+def admitted_flow(demand: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The greatest part of ``demand`` (from, to, gain class) after which no shard holds more than its room allows.
+
+    Inflow beyond room and outflow is cut, least gain first; that lowers other shards' outflow, so cuts repeat until none
+    is needed. Flows only fall, so this ends.
+    """
+    flow = demand.astype(np.float64)
+    for _ in range(1000):
+        excess = flow.sum((0, 2)) - flow.sum((1, 2)) - np.maximum(room, 0)
+        over = np.flatnonzero(excess > 1e-6)
+        if not len(over):
+            break
+        for to in over:
+            left = excess[to]
+            for c in range(flow.shape[2]):
+                here = flow[:, to, c].sum()
+                if here > 0:
+                    cut = min(here, left)
+                    flow[:, to, c] *= 1 - cut / here
+                    left -= cut
+                if left <= 0:
+                    break
+    return flow
+
+
 def propagate(cells: DataFrame, n_shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
-    """(group, cell, n, shard) of ``cells`` (group, cell, n) after at most ``rounds`` rounds.
+    """(group, cell, n, shard) of ``cells`` (group, cell, n) when propagation is still.
 
-    ``capacity`` is the number of documents a shard may hold. Loads and quotas (``n_shards`` and
-    ``n_shards * CLASSES`` rows) are all that reaches the driver.
+    ``capacity`` is the number of documents a shard may hold. Flows (``n_shards`` squared times ``CLASSES`` rows) are all that
+    reaches the driver.
     """
     state = stored(cells.withColumn("shard", F.pmod(F.xxhash64("group", "cell"), F.lit(n_shards)).cast("int")), "cells")
+    load = np.zeros(n_shards, np.int64)
+    for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect():
+        load[r["shard"]] = r["n"]
+    total, enterable = int(load.sum()), np.ones(n_shards, bool)
     for turn in range(rounds):
-        load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = [max(0, capacity - load.get(s, 0)) for s in range(n_shards)]
         around = state.groupBy("group").agg(F.array(*(F.sum(F.when(F.col("shard") == s, F.col("n")).otherwise(0)) for s in range(n_shards))).alias("held"))
-        joined = state.join(around, "group")
         rank = lambda s: F.struct(_count(F.col("held"), F.lit(s)).alias("held"), F.pmod(F.crc32("group") + s, F.lit(n_shards)).alias("order"), F.lit(s).alias("shard"))
-        ranks = F.array(*(rank(s) for s in range(n_shards)))
+        inside = F.array(*(F.lit(bool(x)) for x in enterable))
         wishes = (
-            joined.withColumn("ranks", ranks)
+            state.join(around, "group")
+            .withColumn("ranks", F.array(*(rank(s) for s in range(n_shards))))
             .withColumn("own", F.element_at("ranks", F.col("shard") + 1))
-            .withColumn("best", F.array_max(F.filter("ranks", lambda r: F.element_at(F.array(*(F.lit(x > 0) for x in room)), r["shard"] + 1))))
+            .withColumn("best", F.array_max(F.filter("ranks", lambda r: F.element_at(inside, r["shard"] + 1))))
             .withColumn("moves", F.coalesce(F.col("best") > F.col("own"), F.lit(False)))
             .withColumn("gain", F.when(F.col("moves"), F.least(F.lit(CLASSES - 1), F.floor(F.log2(F.col("best.held") - F.col("own.held") + F.col("n") + 1)).cast("int"))))
             .select("group", "cell", "n", "shard", F.when(F.col("moves"), F.col("best.shard")).alias("to"), "gain")
         )
         wishes = stored(wishes, "wishes")
-        demands = sorted(((r["to"], -r["gain"], r["n"]) for r in wishes.where("to is not null").groupBy("to", "gain").agg(F.sum("n").alias("n")).collect()))
-        if not demands:
-            break
-        admitted, left = F.lit(0.0), dict(enumerate(room))
-        for to, minus, n in demands:
-            share = min(1.0, left[to] / n)
-            left[to] -= min(left[to], n)
-            if share:
-                admitted = F.when((F.col("to") == to) & (F.col("gain") == -minus), float(share)).otherwise(admitted)
+        demand = np.zeros((n_shards, n_shards, CLASSES))
+        for r in wishes.where("to is not null").groupBy("shard", "to", "gain").agg(F.sum("n").alias("n")).collect():
+            demand[r["shard"], r["to"], r["gain"]] = r["n"]
+        flow = admitted_flow(demand, capacity - load)
+        wanted, moved = demand.sum((0, 2)), flow.sum((0, 2))
+        if moved.sum() * STILL <= total:
+            removed(wishes)
+            if not (wanted > 0).any():
+                break
+            enterable &= wanted == 0  # nothing gets in there: look for the next best
+            continue
+        share = np.divide(flow, demand, out=np.zeros_like(flow), where=demand > 0)
+        shares = F.array(*(F.lit(float(x)) for x in share.reshape(-1)))
+        place = (F.col("shard") * n_shards + F.col("to")) * CLASSES + F.col("gain") + 1
         drawn = F.pmod(F.xxhash64("group", "cell", F.lit(turn)), F.lit(1_000_003)) / 1_000_003
-        state = stored(wishes.select("group", "cell", "n", F.when(drawn < admitted, F.coalesce("to", "shard")).otherwise(F.col("shard")).alias("shard")), "cells")
+        state = stored(wishes.select("group", "cell", "n", F.when(drawn < F.element_at(shares, place), F.coalesce("to", "shard")).otherwise(F.col("shard")).alias("shard")), "cells", state)
+        removed(wishes)
+        load[:] = 0
+        for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect():
+            load[r["shard"]] = r["n"]
+        # a shard that took under half of what wanted in is closed for a round, so that its suitors look elsewhere
+        enterable = moved * 2 >= wanted
     return state
 
 
+def cut_share(sharded: DataFrame, group: str = "text_crc32", shard: str = "shard") -> float:
+    """The share of neighbouring pairs (documents of one group) that lie in different shards."""
+    held = sharded.groupBy(group, shard).agg(F.count("*").alias("n")).groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("inside"))
+    pairs, inside = held.agg(F.sum(F.col("n") * (F.col("n") - 1)), F.sum("inside")).first()
+    return 1 - inside / pairs if pairs else 0.0
+
+
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of ``docs``.
 
@@ -81,14 +132,16 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     buckets = buckets or max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    # rows without an id are spread by their place in the table, which is read once
+    salt = F.coalesce("doc_id", F.monotonically_increasing_id())
     rows = stored(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select(
             "doc_id",
             (F.octet_length("text") + 1).cast("long").alias("size"),
             F.crc32("text").alias("text_crc32"),
             F.unhex(F.md5("text")).alias("group"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int").alias("cell"),
-            F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(buckets)).cast("int").alias("bucket"),
+            F.pmod(F.xxhash64(salt), F.lit(CELLS)).cast("int").alias("cell"),
+            F.pmod(F.xxhash64(salt, F.lit(1)), F.lit(buckets)).cast("int").alias("bucket"),
         ),
         "documents",
     )

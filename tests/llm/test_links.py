@@ -63,10 +63,23 @@ def test_sharding(spark, odd, odd_rows, none, prose):
     for r in out:
         held.setdefault(rows[r["doc_id"]][1], set()).add(r["shard"])
     assert len(held["hot"]) <= 5 and np.mean([len(s) == 1 for t, s in held.items() if t != "hot"]) > 0.95
+    # every text stands twice or oftener: shards are full from the start, and groups still come together
+    rows = [(i, prose(i // (2 if i < 3000 else 3), 5)) for i in range(4200)]
+    made = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    places(made.collect(), 4200)
+    assert sharding.cut_share(made) < 0.15  # seven eighths at the start; rounding moves about sqrt(n) documents a shard
     every = sharding.shard(spark.createDataFrame([(i, "same") for i in range(50)], "doc_id long, text string")).collect()
     places(every, 50)
 
 
+def test_flow_is_admitted_up_to_room_and_outflow():
+    demand = np.zeros((3, 3, 2))
+    demand[0, 1], demand[1, 0], demand[2, 1] = (10, 0), (0, 10), (5, 5)
+    flow = sharding.admitted_flow(demand, np.array([0, 3, 0]))
+    assert (flow <= demand).all() and (flow.sum((0, 2)) - flow.sum((1, 2)) <= np.array([0, 3, 0]) + 1e-5).all()
+    assert flow[1, 0].sum() == 10 and flow[2, 1, 1] == 5  # an exchange needs no room; greater gains go first
+
+
 def test_decontamination(spark, odd, odd_rows, none, prose):
     items = [(1, prose(1, 80)), (2, prose(70, 25)), (3, "too short"), (4, None), (5, "")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
