@@ -1,10 +1,13 @@
 """Operator 7: sum-of-squares online packing of documents into token windows.
 
-Each task packs the documents it reads, in one pass and without a shuffle. A document's token ids (its text's and one
-end id) are cut into full windows and a rest. The rest goes where the sum over the fill levels of the squared number of
-partially filled windows grows least: ``counts[level]`` is the only state the choice needs, so a placement costs one
-look at a level array of ``capacity`` numbers. When a task ends, or more than ``max_open`` windows are open, the pieces of
-the open windows are laid end to end, cut at window ends, so that one window a task at most stays partially filled.
+A document's token ids (its text's and one end id) are cut into full windows and a rest. The rest goes where the sum over
+the fill levels of the squared number of partially filled windows grows least: ``counts[level]`` is the only state the
+choice needs, so a placement costs one look at a level array of ``capacity`` numbers.
+
+Each task packs the documents it reads, in one pass. The windows that it leaves open (``max_open`` at most at a time) are
+handed on as a unit; ``FAN`` units meet in one group, which places their pieces anew by the same rule, longest first, and
+leaves about as few open as one task would have. The last group, and groups that no longer get fewer (say, all rests fill two thirds of a window),
+lay the pieces of their open windows end to end and cut them at window ends, so that one sequence at most is padded there.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tesserae.llm import textkernel as tk
+from tesserae.sources.stored import stored
 
 #: Characters whose classes are the same in every Unicode release that a tokenizer library may carry.
 _USUAL = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧]")
 #: Longest run of word bytes, or of white space, that the rank coder gets.
 _RUN = 2000
+#: Units of open windows that meet in one group.
+FAN = 8
 
 
 @lru_cache(2)
@@ -102,12 +108,17 @@ class Levels:
         self.n_open += 1
         return None
 
-    def drain(self) -> list[list]:
-        """All open windows, laid end to end and cut at window ends; fullest first. None is open afterwards."""
-        pieces = [p for level in sorted(self.open, reverse=True) for window in self.open[level] for p in window]
+    def taken(self) -> list[list]:
+        """All open windows, fullest first; none is open afterwards."""
+        windows = [window for level in sorted(self.open, reverse=True) for window in self.open[level]]
         self.counts[:] = 0
         self.open.clear()
         self.n_open = 0
+        return windows
+
+    def drain(self) -> list[list]:
+        """All open windows, laid end to end and cut at window ends; fullest first. None is open afterwards."""
+        pieces = [p for window in self.taken() for p in window]
         windows, window, room = [], [], self.capacity
         for doc, start, total, ids in pieces:
             while len(ids):
@@ -121,6 +132,88 @@ class Levels:
 
 
 _PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+_OPEN = pa.schema([("unit", pa.int64()), ("number", pa.int64()), *((n, pa.list_(pa.int64())) for n in ("docs", "starts", "totals", "lengths")), ("held", pa.binary())])
+
+
+class _Out:
+    """Rows of closed windows (pieces) and of open ones (handed on), in one schema; sequence_id is null for the latter."""
+
+    def __init__(self, number: int, unit: int, with_ids: bool):
+        self.number, self.unit = number, unit
+        self.schema = pa.schema([*_PIECES, *([("ids", pa.list_(pa.int32()))] if with_ids else []), *_OPEN])
+        self.with_ids, self.rows = with_ids, []
+
+    def close(self, window: list[tuple]) -> None:
+        offset = 0
+        for doc, start, total, ids in window:
+            row = (doc, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()), total, self.number, offset)
+            self.rows.append((*row, *([ids.astype(np.int32)] if self.with_ids else []), *[None] * len(_OPEN)))
+            offset += len(ids)
+        self.number += 1
+
+    def hand_on(self, windows: list[list]) -> None:
+        for n, window in enumerate(windows):
+            docs, starts, totals, ids = zip(*window, strict=True)
+            held = np.concatenate(ids).astype("<u4").tobytes()
+            self.rows.append((*[None] * (len(self.schema) - len(_OPEN)), self.unit, n, list(docs), list(starts), list(totals), [len(i) for i in ids], held))
+        self.unit += 1
+
+    def batch(self) -> pa.RecordBatch:
+        columns = zip(*self.rows, strict=True) if self.rows else [[]] * len(self.schema)
+        made = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, self.schema, strict=True)], schema=self.schema)
+        self.rows.clear()
+        return made
+
+
+def _first(capacity, vocabulary, ranks, end_id, max_open, with_ids):
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        levels, out = Levels(capacity), _Out(task << 32, task << 20, with_ids)
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for doc, ids in zip(names, token_ids(batch.column(1), vocabulary, ranks), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
+                total, start = len(ids), 0
+                while total - start >= capacity:
+                    out.close([(doc, start, total, ids[start : start + capacity])])
+                    start += capacity
+                if start < total and (full := levels.place((doc, start, total, ids[start:].copy()))):
+                    out.close(full)
+                if levels.n_open > max_open:
+                    out.hand_on(levels.taken())
+                if len(out.rows) >= 5000:
+                    yield out.batch()
+        out.hand_on(levels.taken())
+        yield out.batch()
+        tk.release()
+
+    return run
+
+
+def _further(capacity, turn, last, max_open, with_ids):
+    """Open windows of one group: their pieces are placed by the rule once more, longest first, and what stays open is laid
+    end to end if that is the ``last`` turn."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("unit", "ascending"), ("number", "ascending")])
+        group = table["group"][0].as_py()
+        levels, out = Levels(capacity), _Out((turn << 56) | (group << 32), group << 20, with_ids)
+        pieces = []
+        for docs, starts, totals, lengths, held in zip(*(table[n].to_pylist() for n in ("docs", "starts", "totals", "lengths", "held")), strict=True):
+            pieces += zip(docs, starts, totals, np.split(np.frombuffer(held, "<u4"), np.cumsum(lengths)[:-1]), strict=True)
+        for piece in sorted(pieces, key=lambda p: -len(p[-1])):
+            if full := levels.place(piece):
+                out.close(full)
+            if levels.n_open > max_open and not last:
+                out.hand_on(levels.taken())
+        if last:
+            for window in levels.drain():
+                out.close(window)
+        else:
+            out.hand_on(levels.taken())
+        return pa.Table.from_batches([out.batch()])
+
+    return run
 
 
 def pack(
@@ -131,62 +224,33 @@ def pack(
     vocabulary: str | None = None,
     ranks: str | None = None,
     end_id: int = 1,
-    max_open: int = 4096,
+    max_open: int = 2048,
     with_ids: bool = False,
 ) -> DataFrame:
     """One row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and with
     ``with_ids`` the piece's ids as an array.
 
     Every id lies in exactly one piece; a sequence's pieces lie gapless from offset 0 and hold ``capacity`` ids but in
-    the last sequence of a task. sequence_id is the task's number times 2**32 plus a count. Null and empty texts are
-    their end id alone; repeated rows are packed each; a null id stays null; other columns are ignored; an empty table
-    gives no rows. ``vocabulary`` and ``ranks`` name the tokenizer's files (on every machine; by default the public
-    50k byte-level vocabulary).
+    the last sequence of a last group (one, where open windows come down to one group). sequence_id is the task's number
+    times 2**32 plus a count, with the turn of packing above 2**56. Null and empty texts are their end id alone; repeated
+    rows are packed each; a null id stays null; other columns are ignored; an empty table gives no rows. A very long text
+    is one document of many full windows. ``vocabulary`` and ``ranks`` name the tokenizer's files (on every machine; by
+    default the public 50k byte-level vocabulary).
     """
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     ranks = ranks or (public_tokenizers.path("byte_bpe_50k.tiktoken") if vocabulary.endswith("byte_bpe_50k.json") else None)
-    schema = pa.schema([*_PIECES, ("ids", pa.list_(pa.int32()))]) if with_ids else _PIECES
-
-    def run(batches):
-        number, levels, rows = TaskContext.get().partitionId() << 32, Levels(capacity), []
-
-        def close(window):
-            nonlocal number
-            offset = 0
-            for doc, start, total, ids in window:
-                row = (doc, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()), total, number, offset)
-                rows.append((*row, ids.astype(np.int32)) if with_ids else row)
-                offset += len(ids)
-            number += 1
-
-        def out():
-            made = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-            rows.clear()
-            return made
-
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for doc, ids in zip(names, token_ids(batch.column(1), vocabulary, ranks), strict=True):
-                ids = np.append(ids, np.uint32(end_id))
-                total, start = len(ids), 0
-                while total - start >= capacity:
-                    close([(doc, start, total, ids[start : start + capacity])])
-                    start += capacity
-                if start < total and (full := levels.place((doc, start, total, ids[start:].copy()))):
-                    close(full)
-                if levels.n_open > max_open:
-                    for window in levels.drain():
-                        close(window)
-                if len(rows) >= 5000:
-                    yield out()
-        for window in levels.drain():
-            close(window)
-        if rows:
-            yield out()
-        tk.release()
-
-    kinds = ", ".join(f"{f.name} long" for f in _PIECES) + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kinds)
+    names = [*_PIECES.names, *(["ids"] if with_ids else [])]
+    kinds = ", ".join([*(f"{n} long" for n in _PIECES.names), *(["ids array<int>"] if with_ids else []), "unit long, number long", *(f"{n} array<long>" for n in ("docs", "starts", "totals", "lengths")), "held binary"])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    made = stored(rows.mapInArrow(_first(capacity, vocabulary, ranks, end_id, max_open, with_ids), kinds), "packed")
+    pieces, turn, before = made.where("sequence_id is not null").select(names), 0, None
+    while n_units := made.select("unit").where("unit is not null").distinct().count():
+        turn, groups = turn + 1, -(-n_units // FAN)
+        last = groups == 1 or (before is not None and 2 * n_units > before)
+        grouped = made.where("sequence_id is null").withColumn("group", F.pmod(F.xxhash64("unit"), F.lit(groups)))
+        made = stored(grouped.select("group", *_OPEN.names).groupBy("group").applyInArrow(_further(capacity, turn, last, max_open, with_ids), kinds), "packed")
+        pieces, before = pieces.unionByName(made.where("sequence_id is not null").select(names)), n_units
+    return pieces
 
 
 def sequences(pieces: DataFrame, capacity: int = 2048, pad_id: int = 0) -> DataFrame:

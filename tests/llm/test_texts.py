@@ -160,10 +160,11 @@ def test_packing(spark, odd_rows, none):
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = [(n, t) for n, (_, t) in enumerate(odd_rows)] + [(100, "<|endoftext|>"), (101, "漢字 かな " * 9), (102, " " * 5000 + "x")]
     ids = {i: np.array([*coder.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in rows}
-    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    out = packing.pack(df, capacity=256, with_ids=True)
-    windows = checked(out.collect(), ids, 256)
-    assert sum(sum(r["length"] for r in w) < 256 for w in windows.values()) <= 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts, most in ((1, 2048), (12, 2048), (12, 1)):  # also with open windows handed on over two turns
+        out = packing.pack(df.repartition(parts), capacity=256, max_open=most, with_ids=True)
+        windows = checked(out.collect(), ids, 256)
+        assert sum(sum(r["length"] for r in w) < 256 for w in windows.values()) <= (1 if most > 1 else 4)
     assert packing.pack(none).count() == 0
     assert packing.sequences(out, 256).where("size(ids) <> 256").isEmpty()
 
@@ -192,6 +193,19 @@ def _moves(levels, size):
         yield level, after
 
 
+USUAL = st.lists(st.sampled_from(list("abzAZ019'’ .,;-\n\t\xa0éßŁ—“…") + ["'s", "'LL", "  ", "\r\n", "<|endoftext|>", "<pad>"]), max_size=60).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(USUAL, min_size=1, max_size=4))
+def test_both_coders_agree(texts):
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    fast, slow = ([x.tolist() for x in packing.token_ids(pa.array(texts), files[0], r)] for r in (files[1], None))
+    assert fast == slow
+
+
 @pytest.mark.parametrize("text", ["don't  stop", "naïve café — “x”", "a" * 3000, "\n\n\n  \t x", "1234567 8"])
 def test_rank_coder_gives_the_vocabularys_ids(text):
     import public_tokenizers
