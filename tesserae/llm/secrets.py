@@ -1,18 +1,24 @@
 """Operator 3: secret scans with a randomness test battery. DataFrame functions only.
 
 Fixed patterns give the base spans (kinds assign, access, hex). The method adds spans of kind ``random``. Runs of token
-characters are cut into tokens: for each encoding the longest stretches of its alphabet, so that a value is also tested
-without the name, path or prefix it is glued to ('=' is padding at a run's end and a cut elsewhere). Tokens are given the
-encoding their characters allow, and within its alphabet tested
-
-* for uniformity: chi-squared over the alphabet,
-* for runs above and below the alphabet's middle,
-* for serial correlation of neighbouring symbols.
-
-A token that all three leave as possibly random (``p_random`` at ``ALPHA`` or more) is a candidate; how unlikely ordinary
-text is to spread over the alphabet as evenly as it does is ``p_text``, from the index of coincidence, whose spread
-depends on the length. Within each length class ``p_text`` is held to Benjamini-Hochberg at ``RATE`` over all tokens of
-the corpus. The class thresholds come from a histogram of fixed size (``BINS`` rows a class), summed before the shuffle.
+characters outside base spans are cut into tokens: for each encoding the longest stretches of its alphabet, so that a value
+is also tested without the name, path or prefix it is glued to ('=' is padding at a run's end and a cut elsewhere). A token
+is given the encoding its characters allow, and within its alphabet (ordered by how often ordinary text uses a symbol)
+three tests are made:
+
+* uniformity: chi-squared over the alphabet, its tail by the cube root of a gamma variable of the exact mean and variance
+  (so it holds where symbols are expected far less than once);
+* runs: neighbours that lie in different halves of the alphabet, an exact binomial count;
+* serial correlation of neighbours, by its exact mean and small-sample variance.
+
+Each test gives two p-values: against randomness, and against ordinary text (symbols coincide with an encoding's ``chance``;
+neighbours change halves with chance ``CHANGE`` at most; correlation of ``CORRELATION`` or more). Fisher's method combines the
+three of a kind (the two of order count as one): ``p_random`` and ``p_text``. A token that the battery leaves as possibly random (``p_random`` at ``ALPHA`` or
+more) is a candidate, and ``p_text``, how unlikely ordinary text is to pass all three tests so well, is held to
+Benjamini-Hochberg at ``RATE`` over all tokens of the corpus within each length class. The class thresholds come from a
+histogram of fixed size (``BINS`` rows a class), summed before the shuffle.
+
+Spans are located, cut out and replaced in blocks of ``BLOCK``, so that a text with very many of them stays cheap.
 """
 
 from __future__ import annotations
@@ -28,25 +34,35 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 ACCESS_LENGTH, VALUE_LENGTH = 20, 6
 KINDS = ("assign", "access", "hex", "random")
+#: Any of them at the length that counts: what tokens are looked for outside of.
+ANY_BASE = f"{ASSIGN[:-2]}{{{VALUE_LENGTH},}})|AKIA[A-Z0-9]{{{ACCESS_LENGTH - 4},}}|{HEX}"
 
 #: Runs of so many characters are cut into tokens.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Letters in the order of their use in ordinary text.
+_LOWER, _DIGITS = "etaoinshrdlcumwfgypbvkjxqz", "0123456789"
+_UPPER = _LOWER.upper()
 #: Encodings in the order they are tried: name, what the token must match, alphabet, and the chance that two symbols
 #: of ordinary text in that alphabet are equal.
 ENCODINGS = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", _DIGITS + "abcdef", 0.1),
     ("upper hex", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", _DIGITS + "ABCDEF", 0.1),
     ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", _UPPER + "234567", 0.065),
-    ("base62", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS, 0.065),
-    ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/", 0.065),
-    ("base64url", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_", 0.065),
+    ("base62", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9]+$", _LOWER + _DIGITS + _UPPER, 0.065),
+    ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+$", _LOWER + _DIGITS + _UPPER + "+/", 0.065),
+    ("base64url", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+$", _LOWER + _DIGITS + _UPPER + "-_", 0.065),
     ("base36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", _LOWER + _DIGITS, 0.065),
 )
 #: What is cut out of a run: stretches of an encoding's alphabet, with the padding at the run's end.
 STRETCHES = tuple(r"[" + c + r"]{20,}(?:=+$)?" for c in ("0-9a-f", "0-9A-F", "A-Z2-7", "A-Za-z0-9", "A-Za-z0-9+/", "A-Za-z0-9_-", "a-z0-9"))
 ALPHA = 0.001
 RATE = 0.05
+#: Of ordinary text: the greatest chance that neighbours lie in different halves of the alphabet (camel case changes twice
+#: in a word of six letters), and the least correlation that the serial test takes for order.
+CHANGE, CORRELATION = 0.35, 0.25
+#: Longest token whose runs are counted exactly; beyond it the binomial is normal to many digits.
+EXACT = 256
+BLOCK = 256
 #: Length classes, by least length.
 CLASSES = (20, 24, 32, 48, 96)
 #: p_text is binned by its logarithm, 10 bins a power of ten.
@@ -58,11 +74,53 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: A rational fit of the complementary error function (relative error below 1.2e-7 everywhere).
+_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
 def _tail(x: Column) -> Column:
-    """P(Z > x) of a normal variable, to about two per cent."""
-    far = F.abs(x)
-    half = F.lit(0.5) * F.exp(F.lit(-0.717) * far - F.lit(0.416) * far * far)
-    return F.when(x >= 0, half).otherwise(1 - half)
+    """P(Z > x) of a normal variable."""
+
+    def half(far: Column, t: Column) -> Column:
+        series = F.lit(_ERFC[-1])
+        for c in reversed(_ERFC[:-1]):
+            series = t * series + c
+        return t * F.exp(series - far * far) / 2
+
+    upper = lambda far: _let(1 / (1 + far / 2), lambda t: half(far, t))
+    return _let(x, lambda x: _let(_let(F.abs(x) / 2.0**0.5, upper), lambda p: F.when(x >= 0, p).otherwise(1 - p)))
+
+
+def _gamma_z(x: Column, mean: Column, variance: Column) -> Column:
+    """The normal score of ``x`` as a gamma variable (cube root)."""
+    shape = mean * mean / variance
+    return (F.cbrt(x / mean) - (1 - 1 / (9 * shape))) * 3 * F.sqrt(shape)
+
+
+def _binomial(count: Column, n: Column, chance: float) -> Column:
+    """(low, high): P(B <= count) and P(B >= count) of ``n`` trials, exact for ``n`` up to EXACT."""
+    odds = chance / (1 - chance)
+
+    def step(acc: Column, j: Column) -> Column:
+        term = acc["term"]
+        return F.struct(
+            (term * (n - j) / (j + 1) * odds).alias("term"),
+            (acc["low"] + F.when(j <= count, term).otherwise(0.0)).alias("low"),
+            (acc["high"] + F.when(j >= count, term).otherwise(0.0)).alias("high"),
+        )
+
+    start = F.struct(F.pow(F.lit(1 - chance), n).alias("term"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
+    exact = F.aggregate(F.sequence(F.lit(0), n.cast("int")), start, step, lambda a: F.struct(a["low"].alias("low"), a["high"].alias("high")))
+    mean, width = n * chance, F.sqrt(n * (chance * (1 - chance)))
+    return F.when(n <= EXACT, exact).otherwise(F.struct(_tail((mean - count - 0.5) / width).alias("low"), _tail((count - 0.5 - mean) / width).alias("high")))
+
+
+def _fisher(uniformity: Column, runs: Column, serial: Column) -> Column:
+    """The battery's p-values as one. Runs and serial correlation depend on one another: twice the lesser stands for both. With
+    uniformity, which the order of symbols does not change, they are combined by Fisher's method; the tail of chi-squared with
+    four degrees of freedom has a closed form."""
+    y = -sum((F.ln(F.greatest(F.least(x, F.lit(1.0)), F.lit(1e-100))) for x in (uniformity, 2 * F.least(runs, serial))), F.lit(0.0))
+    return _let(y, lambda y: F.exp(-y) * (1 + y))
 
 
 def _encoding(token: Column) -> Column:
@@ -86,17 +144,24 @@ def _tests(token: Column, encoding: Column) -> Column:
         spread = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) - n * mean * mean
         pairs = F.zip_with(F.slice(v, F.lit(1), (n - 1).cast("int")), F.slice(v, F.lit(2), (n - 1).cast("int")), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
         together = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["x"] - mean) * (p["y"] - mean))
-        high = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(2 * x >= k, 1.0).otherwise(0.0))
-        changes = F.aggregate(pairs, F.lit(1.0), lambda a, p: a + F.when((2 * p["x"] >= k) != (2 * p["y"] >= k), 1.0).otherwise(0.0))
-        chi = (k * s / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        runs_mean = 2 * high * (n - high) / n + 1
-        runs_var = (runs_mean - 1) * (runs_mean - 2) / (n - 1)
-        runs = F.when(runs_var > 0, F.abs(changes - runs_mean) / F.sqrt(runs_var)).otherwise(F.lit(9.0))
-        serial = F.when(spread > 0, F.abs(together / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
-        p_random = F.least(F.lit(1.0), 3 * F.least(_tail(chi), 2 * _tail(runs), 2 * _tail(serial)))
+        changes = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.when((2 * p["x"] >= k) != (2 * p["y"] >= k), 1.0).otherwise(0.0))
+        correlation = F.when(spread > 0, together / spread).otherwise(F.lit(1.0))
+        return _let(F.struct(changes.alias("changes"), correlation.alias("r")), lambda m: combined(s, m["changes"], m["r"]))
+
+    def combined(s: Column, changes: Column, r: Column) -> Column:
+        width = (n - 2) / (n * F.sqrt(n - 1))
+        uniform = _tail(_gamma_z(k * s / n - n, k - 1, 2 * (k - 1) * (n - 1) / n))
+        even = _binomial(changes, n - 1, 0.5)
+        serial = 2 * _tail(F.abs(r + 1 / n) / width)
+        # the same three against ordinary text: too few coincidences, too many changes, too little correlation
         coincidence = (s - n) / (n * (n - 1))
-        width = F.sqrt(2 * chance * (1 - chance) / (n * (n - 1)) + chance * chance / n)
-        return F.struct(p_random.alias("p_random"), _tail((chance - coincidence) / width).alias("p_text"))
+        spread = 2 * chance * (1 - chance) / (n * (n - 1)) + chance * chance / n
+        uneven = _tail(-_gamma_z(coincidence, chance, spread))
+        loose = _tail((CORRELATION - F.abs(r)) / width) - _tail((CORRELATION + F.abs(r)) / width)
+        return F.struct(
+            _fisher(uniform, _let(even, lambda e: 2 * F.least(e["low"], e["high"])), serial).alias("p_random"),
+            _fisher(uneven, _binomial(changes, n - 1, CHANGE)["high"], loose).alias("p_text"),
+        )
 
     return _let(squares, lambda s: _let(codes, lambda v: judged(s, v)))
 
@@ -134,25 +199,52 @@ def thresholds(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     return out
 
 
+def _blocks(array: Column) -> Column:
+    """An array in parts of BLOCK elements; no part of an empty one."""
+    return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / BLOCK).cast("int")), lambda b: F.slice(array, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.slice(F.array(array), 1, 0))
+
+
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
 def _located(found: Column, gaps: Column, keep: Callable[[Column], Column], kind: int) -> Column:
     """(start, kind, end) in code points of the matches that ``keep``, from the matches and the texts between them."""
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("match")))
+    empty = F.array().cast(_SPANS)
+    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("size"), keep(m).alias("keep")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["match"])
+        end = start + x["size"]
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(keep(x["match"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(x["keep"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    def placed(made: Column) -> Column:
+        begins = F.aggregate(made, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, m: F.struct((a["at"] + m["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(made, begins, lambda m, b: F.transform(m["spans"], lambda s: F.struct((s["start"] + b).alias("start"), s["kind"].alias("kind"), (s["end"] + b).alias("end")))))
+
+    each = _let(sizes, lambda x: F.transform(_blocks(x), lambda block: F.aggregate(block, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)))
+    return F.when(F.size(found) > 0, _let(each, placed)).otherwise(empty)
+
+
+def _cut_out(text: Column, spans: Column) -> Column:
+    """The texts of spans in order of their start."""
+
+    def block(part: Column) -> Column:
+        base = part[0]["start"]
+        held = F.substring(text, base + 1, F.array_max(F.transform(part, lambda s: s["end"])) - base)
+        return _let(held, lambda h: F.transform(part, lambda s: F.substring(h, s["start"] - base + 1, s["end"] - s["start"])))
 
-    return F.when(F.size(found) > 0, F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda a: a["spans"])).otherwise(empty)
+    return F.flatten(F.transform(_blocks(spans), block))
 
 
 def _tokens(run: Column) -> Column:
     """(start, kind, end, token) of the tokens of a run, each place once; they may overlap."""
-    one = lambda p: _let(F.regexp_extract_all(run, p, F.lit(0)), lambda found: _located(found, F.split(run, p), lambda m: F.lit(True), 3))
-    spans = F.flatten(F.transform(F.array(*map(F.lit, STRETCHES)), one))
-    return F.transform(F.array_distinct(spans), lambda s: F.struct(s["start"], s["kind"], s["end"], F.substring(run, s["start"] + 1, s["end"] - s["start"]).alias("token")))
+
+    def one(p: Column) -> Column:
+        placed = lambda found: F.zip_with(_located(found, F.split(run, p), lambda m: F.lit(True), 3), found, lambda s, m: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), m.alias("token")))
+        return _let(F.regexp_extract_all(run, p, F.lit(0)), placed)
+
+    return F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, STRETCHES)), one)))
 
 
 def _united(spans: Column) -> Column:
@@ -163,14 +255,15 @@ def _united(spans: Column) -> Column:
         wider = F.struct(last["start"].alias("start"), s["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
         return F.when(last["end"] > s["start"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,kind:int,end:int>>"), step)
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), step)
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", bins: dict[int, int] | None = None) -> DataFrame:
     """``docs`` with ``__spans``: array of (start, kind, end), kind the place in ``KINDS``, in order of start and kind.
 
-    Base spans are leftmost and do not overlap within a kind; random spans are those tokens that pass the battery and
-    overlap no base span, tokens that overlap as one span. Null texts have none. ``bins`` are the class thresholds (by default those of ``docs``).
+    Base spans are leftmost and do not overlap within a kind; random spans are those tokens outside of base spans that pass
+    the battery, tokens that overlap as one span. Null texts have none. ``bins`` are the class thresholds (by default those
+    of ``docs``).
     """
     bins = thresholds(docs, text_col) if bins is None else bins
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -186,19 +279,19 @@ def with_spans(docs: DataFrame, text_col: str = "text", bins: dict[int, int] | N
         (ASSIGN, lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= VALUE_LENGTH),
         (ACCESS, lambda m: F.char_length(m) >= ACCESS_LENGTH),
         (HEX, lambda m: F.lit(True)),
-        (TOKEN, lambda m: F.lit(True)),
     )
+    none = F.array().cast(_SPANS)
     out = docs.withColumns({f"__found{i}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for i, (p, _) in enumerate(kinds)})
-    out = out.withColumns({f"__spans{i}": F.when(F.size(f"__found{i}") > 0, _located(F.col(f"__found{i}"), F.split(text, p), keep, i)) for i, (p, keep) in enumerate(kinds)})
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    out = out.withColumn("__base", F.array_sort(F.concat(*(F.coalesce(f"__spans{i}", none) for i in range(3)))))
-    at = lambda run, s: F.struct((run["start"] + s["start"]).alias("start"), s["kind"].alias("kind"), (run["start"] + s["end"]).alias("end"), s["token"].alias("token"))
-    tokens = F.flatten(F.zip_with("__spans3", "__found3", lambda run, text: F.transform(_tokens(text), lambda s: at(run, s))))
-    out = out.withColumn("__tokens", F.when(F.size("__spans3") > 0, tokens))
-    free = F.filter("__tokens", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    added = _united(F.transform(F.filter(free, lambda s: random(s["token"])), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    out = out.withColumn("__spans", F.when(F.size("__spans3") > 0, F.array_sort(F.concat("__base", added))).otherwise(F.col("__base")))
-    return out.drop(*(f"__found{i}" for i in range(4)), *(f"__spans{i}" for i in range(4)), "__base", "__tokens")
+    spans = [F.when(F.size(f"__found{i}") > 0, _located(F.col(f"__found{i}"), F.split(text, p), keep, i)) for i, (p, keep) in enumerate(kinds)]
+    out = out.withColumn("__base", F.array_sort(F.concat(*(F.coalesce(x, none) for x in spans))))
+    blanks = F.zip_with(F.split(text, ANY_BASE), F.concat(F.regexp_extract_all(text, F.lit(ANY_BASE), F.lit(0)), F.array(F.lit(""))), lambda gap, m: F.concat(gap, F.repeat(F.lit(" "), F.char_length(m))))
+    out = out.withColumn("__rest", F.when(F.size("__base") > 0, F.array_join(blanks, "")).otherwise(text))
+    out = out.withColumn("__runs", F.regexp_extract_all("__rest", F.lit(TOKEN), F.lit(0)))
+    places = _located(F.col("__runs"), F.split("__rest", TOKEN), lambda m: F.lit(True), 3)
+    shifted = lambda run, s: F.struct((run["start"] + s["start"]).alias("start"), s["kind"].alias("kind"), (run["start"] + s["end"]).alias("end"))
+    added = F.flatten(F.zip_with(places, "__runs", lambda run, body: _united(F.transform(F.filter(_tokens(body), lambda s: random(s["token"])), lambda s: shifted(run, s)))))
+    out = out.withColumn("__spans", F.when(F.size("__runs") > 0, F.array_sort(F.concat("__base", added))).otherwise(F.col("__base")))
+    return out.drop(*(f"__found{i}" for i in range(3)), "__base", "__rest", "__runs")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +310,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)),
         F.sha2(written(F.filter("__spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
         written(F.col("__spans")).alias("spans"),
-        F.transform("__spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])).alias("found"),
+        _cut_out(F.col("text"), F.col("__spans")).alias("found"),
     )
 
 
@@ -229,12 +322,23 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]")
     rows = with_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text_col}`").alias("text")))
     text = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"])), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["parts"], F.array(piece))).otherwise(acc["parts"]).alias("parts"))
+    def block(acc: Column, part: Column) -> Column:
+        """A block of spans: the text from where the last one ended, with a mark for each span that begins beyond the others."""
+        base = acc["at"]
+        ends = F.array_max(F.transform(part, lambda s: s["end"]))
+
+        def step(held: Column):
+            def one(a: Column, s: Column) -> Column:
+                piece = F.concat(F.substring(held, a["at"] - base + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.lit(mark))
+                return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["parts"], F.array(piece))).otherwise(a["parts"]).alias("parts"))
+
+            return one
+
+        start = F.struct(base.alias("at"), F.array().cast("array<string>").alias("parts"))
+        done = _let(F.substring(text, base + 1, F.greatest(F.lit(0), ends - base)), lambda held: F.aggregate(part, start, step(held)))
+        return _let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["parts"], F.array(F.array_join(d["parts"], ""))).alias("parts")))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    clean = F.aggregate("__spans", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
+    clean = F.aggregate(_blocks(F.col("__spans")), start, block, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
     new = F.when(F.size("__spans") > 0, clean).otherwise(text)
     return rows.select(*((new if c == text_col else F.col("__row").getField(c)).alias(c) for c in docs.columns))

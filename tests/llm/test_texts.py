@@ -60,14 +60,55 @@ def test_secrets(odd, odd_rows, none):
     assert "AKIA" not in changed and "0123456789abcdef" not in changed and changed.count("[REDACTED]") == 3 and changed.endswith("😀é\r\nend")
 
 
-@settings(max_examples=15, deadline=None)
-@given(texts=st.lists(ANY, min_size=5, max_size=30))
+@settings(max_examples=4, deadline=None)
+@given(texts=st.lists(ANY, min_size=60, max_size=120))
 def test_base_spans_of_any_text(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r["doc_id"]: r["base_sha256"] for r in secrets.scan(df).collect()}
     assert out == {i: brute.span_digest(brute.spans(t)) for i, t in enumerate(texts)}
 
 
+def test_battery_is_calibrated(spark):
+    """Random tokens of each encoding give p-values as uniform as they should be, also where symbols are rarer than one."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(1)
+    for _, _, alphabet, chance in secrets.ENCODINGS[::2]:
+        encoding = F.struct(F.lit(alphabet).alias("alphabet"), F.lit(chance).alias("chance"))
+        rows = [("".join(rng.choice(alphabet) for _ in range(n)), n) for n in (20, 44) for _ in range(1500)]
+        tested = spark.createDataFrame(rows, "t string, n int").select("n", secrets._tests(F.col("t"), encoding).alias("p"))
+        for r in tested.groupBy("n").agg(*(F.avg((F.col("p.p_random") <= a).cast("int")).alias(f"a{i}") for i, a in enumerate((0.01, 0.05)))).collect():
+            assert r["a0"] < 0.02 and 0.02 < r["a1"] < 0.06
+
+
+def test_tails_are_exact(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    rows = [(float(c), float(n)) for n in (19, 43, 200) for c in range(0, n + 1, 7)]
+    out = spark.createDataFrame(rows, "c double, n double").select("c", "n", secrets._binomial(F.col("c"), F.col("n"), 0.35).alias("b")).collect()
+    for r in out:
+        terms = [math.comb(int(r["n"]), j) * 0.35**j * 0.65 ** (int(r["n"]) - j) for j in range(int(r["n"]) + 1)]
+        assert math.isclose(r["b"]["high"], sum(terms[int(r["c"]) :]), rel_tol=1e-6, abs_tol=1e-14) and math.isclose(r["b"]["low"], sum(terms[: int(r["c"]) + 1]), rel_tol=1e-6, abs_tol=1e-14)
+    for x in (-3.0, 0.0, 2.5, 15.0, 30.0):
+        assert math.isclose(spark.range(1).select(secrets._tail(F.lit(x))).first()[0], math.erfc(x / 2**0.5) / 2, rel_tol=1e-6)
+
+
+def test_text_of_very_many_spans(spark):
+    """Spans across many blocks, located, cut out and redacted."""
+    body = " ".join(f"{i:024x} token=abcdef{i} x" for i in range(3000)) + " end"
+    df = spark.createDataFrame([(1, body), (2, "x" + body)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    for i, text in ((1, body), (2, "x" + body)):
+        found = brute.spans(text)
+        assert out[i]["base_sha256"] == brute.span_digest(found) and out[i]["found"][: len(found)] == [text[a:b] for a, _, b in found]
+    (one,) = [r["text"] for r in secrets.redacted(df).collect() if r["doc_id"] == 1]
+    assert one == " ".join("[REDACTED] [REDACTED] x" for _ in range(3000)) + " end"
+
+
 def test_random_tokens_are_told_from_words(spark):
     import random
     import string
