@@ -21,6 +21,29 @@ def test_jaccard_join_of_odd_rows(odd, odd_rows, none):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
+def test_jaccard_join_of_repeated_ids(spark, prose):
+    """Every row is a document of its own; rows without an id reach the ids of their copies."""
+    one, two, three, four = (prose(i, 30) for i in range(300, 304))
+    rows = [(20, one), (20, two), (19, two), (21, two + " more"), (None, one), (None, three), (None, three), (22, four)]
+    out = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(20, 26, 20), (20, 26, 19), (19, 26, 19), (21, 27, 19), (None, 26, 20), (None, 26, None), (None, 26, None), (22, 26, 22)]
+    assert sorted(map(str, out)) == sorted(f"Row(doc_id={a}, n_shingles={b}, component_id={c})" for a, b, c in want)
+
+
+def test_jaccard_join_in_many_blocks(spark, prose, monkeypatch):
+    """Small blocks of pairs and lists, small chunks, and broadcast tables of hot keys give the same."""
+    for name, value in {"FLUSH": 400, "PAIRS": 7, "LIST": 3, "HOT": 1, "CHUNK": 5}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng, rows = random.Random(12), []
+    passage = prose(888, 12)
+    for i in range(60):
+        words = prose(400 + i // 12, 25).split()
+        words[rng.randrange(25)] = f"e{i}"
+        rows.append((i, " ".join(words) + " " + passage))
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == brute.linked(rows)
+
+
 def test_jaccard_join_of_edited_families(spark, prose):
     """Families of copies with more and more edits, chains of edits, and a passage that all documents share."""
     rng, rows = random.Random(2), []
