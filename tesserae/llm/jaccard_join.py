@@ -117,7 +117,7 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def _deal(k: int, bits: int):
+def _deal(k: int, bits: int, flush_at: int, chunk_docs: int):
     """Documents -> for each chunk of them its documents, and one row for each fragment; equal sets of a chunk once."""
 
     def run(batches):
@@ -149,7 +149,7 @@ def _deal(k: int, bits: int):
                     nodes[node] = None
                     sets.append(found)
                     held += len(found)
-                if held >= FLUSH or len(sets) >= CHUNK:
+                if held >= flush_at or len(sets) >= chunk_docs:
                     yield flush()
         yield flush()
         tk.release()
@@ -290,7 +290,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = stored(summary.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("held")), "classes")
 
     bits = max(8, ((n_grams or 0) // FRAGMENT).bit_length())
-    packed = rows.select("text").mapInArrow(_deal(k, bits), _ddl(_PACKED))
+    packed = rows.select("text").mapInArrow(_deal(k, bits, FLUSH, CHUNK), _ddl(_PACKED))
     shared = packed.groupBy("fragment").applyInArrow(_count(bits), _ddl(_SHARED))
     able = shared.groupBy("chunk").applyInArrow(_assemble(percent), _ddl(_NODES))
     nodes = stored(able.dropDuplicates(["node"]), "nodes")

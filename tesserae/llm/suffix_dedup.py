@@ -6,9 +6,9 @@ matter are found first, without loss:
 
 1. Each string of ``LENGTH`` bytes has an anchor, the least hash among the ``SEED``-byte strings in it (the leftmost of
    equals), so equal strings have equal anchors. Neighbouring strings share anchors; a run of strings with one anchor is a
-   *piece*. Pieces go to buckets by anchor, as hashes. A piece equal to an earlier one repeats as a whole. The first of each
-   distinct piece of an anchor that has several may repeat in part: those pieces, a small share of all, go on with their
-   bytes.
+   *piece*. A piece equal to an earlier one repeats as a whole; a task finds that among its own pieces (so that no group
+   grows with the copies of a text), and pieces that are left meet in buckets by anchor, as hashes. The first of each distinct
+   piece of an anchor that has several may repeat in part: those pieces, a small share of all, go on with their bytes.
 2. A task that reads them builds, for each bucket, the Burrows-Wheeler transform of its pieces (a *shard*) and ships only
    the transform.
 3. A bucket's task merges its shards' transforms by iterative interleave refinement: starting from the shards one after
@@ -17,6 +17,10 @@ matter are found first, without loss:
    are the intervals of common prefix ``LENGTH`` or more: the repeated strings, without sorting the suffixes again.
 4. In each interval all but the earliest start are marked; marks become byte ranges of their documents.
 
+An anchor with more than ``HOT_BYTES`` of distinct pieces (a passage with other text around it in very many documents) would
+be one bucket. Its pieces are cut into their single strings, each task keeps the earliest of equal ones, and strings are dealt
+to buckets by their own hash, which equal strings share. Buckets and shards are as many as the counted bytes need.
+
 Hash collisions (64 bits for pieces of one anchor) are the only approximation.
 """
 
@@ -27,6 +31,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +42,13 @@ SEED = 32
 #: Pieces that a task gathers before it hands them on, and bytes of pieces in a shard set.
 FLUSH = 1_000_000
 SHARD_BYTES = 8_000_000
-#: Bytes of pieces that one merge should hold.
-MERGE_BYTES = 2_000_000
+#: Bytes of pieces that one merge should hold, and of documents whose pieces make one bucket.
+MERGE_BYTES, BUCKET_BYTES = 2_000_000, 32_000_000
+#: Bytes of distinct pieces from which on an anchor's pieces are cut into single strings.
+HOT_BYTES = 8_000_000
 
 _U = np.uint64
+_NONE = np.iinfo(np.int64).min
 _PIECES = pa.schema([("bucket", pa.int64()), ("anchors", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary())])
 _MARKS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("anchor", pa.int64())])
 _SHARDS = pa.schema([("bucket", pa.int64()), ("transform", pa.binary()), ("ends", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
@@ -82,6 +90,30 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
+def _earliest(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that are the earliest of their key, rows that start later than that one); a repeated row is in neither."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(key) else np.zeros(0, bool)
+    alone = new & np.append(new[1:], True) if len(key) else new
+    several = order[~alone]
+    several = several[np.lexsort((start[several], doc[several], key[several]))]
+    head = np.concatenate(([True], key[several][1:] != key[several][:-1])) if len(several) else np.zeros(0, bool)
+    lead = several[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(several) else several
+    later = ~head & ((doc[several] != doc[lead]) | (start[several] != start[lead]))
+    return np.sort(np.concatenate((order[alone], several[head]))), several[later]
+
+
+def _united(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of documents in order, those that touch or overlap as one."""
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    # ranges of one document reach ever further where lengths are equal or ordered as the starts are
+    head = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1]))) if len(doc) else np.zeros(0, bool)
+    at = np.flatnonzero(head)
+    return doc[at], start[at], np.maximum.reduceat(stop, at) if len(at) else stop
+
+
 def _deal(length: int, bits: int):
     def run(batches):
         held, size = [], 0
@@ -92,6 +124,11 @@ def _deal(length: int, bits: int):
             if held:
                 doc, start, count, anchor, piece = (np.concatenate(x) for x in zip(*held, strict=True))
                 mix = tk.mixed(anchor)
+                first, later = _earliest(tk.mixed(mix ^ piece), doc, start)
+                if len(later):  # byte ranges that repeat within the task's own pieces
+                    d, s, e = _united(doc[later], start[later], start[later] + count[later] - 1 + length)
+                    rows.append((-1 - TaskContext.get().partitionId() % 1024, b"", b"", _raw(np.diff(d, prepend=0), np.int64), _raw(s, np.uint32), _raw(e, np.uint32)))
+                doc, start, count, mix, piece = doc[first], start[first], count[first], mix[first], piece[first]
                 bucket = (mix >> _U(64 - bits)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
@@ -116,14 +153,17 @@ def _deal(length: int, bits: int):
     return run
 
 
-def _whole(length: int):
+def _whole(length: int, hot_bytes: int):
     """One bucket of pieces: byte ranges of those that an earlier equal piece repeats (anchor null), and the first of each
-    distinct piece of the anchors that have several (with its bytes' range and the anchor)."""
+    distinct piece of the anchors that have several (with its bytes' range and the anchor, below 0 if that is hot)."""
 
     def run(table: pa.Table) -> pa.Table:
         def column(name, kind):
             return np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
 
+        if table["bucket"][0].as_py() < 0:
+            docs = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in table["docs"].to_pylist()])
+            return pa.table([pa.array(docs), pa.array(column("starts", np.uint32).astype(np.int64)), pa.array(column("counts", np.uint32).astype(np.int64)), pa.nulls(len(docs), pa.int64())], schema=_MARKS)
         anchors, hashes = column("anchors", np.uint32), column("hashes", np.uint64)
         docs = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in table["docs"].to_pylist()])
         starts, counts = column("starts", np.uint32).astype(np.int64), column("counts", np.uint16).astype(np.int64)
@@ -145,8 +185,10 @@ def _whole(length: int):
         several = new_piece & (np.bincount(group, weights=new_piece)[group] > 1)
         out = np.concatenate((np.flatnonzero(later), np.flatnonzero(several)))
         partly = np.arange(len(out)) >= later.sum()
-        bucket = table["bucket"][0].as_py()
-        return pa.table([pa.array(d[out]), pa.array(s[out]), pa.array(s[out] + c[out] - 1 + length), pa.array((bucket << 32) | a[out].astype(np.int64), mask=~partly)], schema=_MARKS)
+        name = (table["bucket"][0].as_py() << 32) | a.astype(np.int64)
+        hot = np.bincount(group, weights=several * (c - 1 + length))[group] > hot_bytes
+        name = np.where(hot, -1 - name, name)
+        return pa.table([pa.array(d[out]), pa.array(s[out]), pa.array(s[out] + c[out] - 1 + length), pa.array(name[out], mask=~partly)], schema=_MARKS)
 
     return run
 
@@ -251,32 +293,41 @@ def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray, int]], length: i
 
 
 def _ranges(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, stop, anchor) of a list column of ranges; anchor is -1 where it is null."""
+    """(row, start, stop, anchor) of a list column of ranges; anchor is _NONE where it is null."""
     lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     start, stop, anchor = column.flatten().flatten()
     whole = lambda a: a.to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.repeat(np.arange(len(column)), lengths), whole(start), whole(stop), whole(pc.fill_null(anchor, -1))
+    return np.repeat(np.arange(len(column)), lengths), whole(start), whole(stop), whole(pc.fill_null(anchor, _NONE))
 
 
 def _shards(length: int, buckets: int):
-    """Documents with the ranges of their partly repeated pieces -> a transform for each bucket and set of documents."""
+    """Documents with the ranges of their partly repeated pieces -> a transform for each bucket and set of documents, and the
+    places of hot anchors' strings that repeat among the task's own (bucket below 0)."""
 
     def run(batches):
-        held, size = {}, 0
+        held, strings, size = {}, [], 0
 
         def flush():
             nonlocal size
             rows = []
+            if strings:
+                key, doc, start, body = (np.concatenate(x) for x in zip(*strings, strict=True))
+                first, later = _earliest(key, doc, start)
+                if len(later):
+                    rows.append((-1 - TaskContext.get().partitionId() % 1024, b"", b"", _raw(doc[later], np.int64), _raw(start[later], np.int64)))
+                for i in first:
+                    held.setdefault(int(key[i] % _U(buckets)), []).append((doc[i], start[i], body[i]))
             for bucket, found in held.items():
                 out, ends = transform([f[2] for f in found])
                 rows.append((bucket, _raw(out, np.uint8), _raw(ends, np.int32), _raw(np.array([f[0] for f in found]), np.int64), _raw(np.array([f[1] for f in found]), np.int64)))
             held.clear()
+            strings.clear()
             size = 0
             return _batch(rows, _SHARDS)
 
         for batch in batches:
             row, start, stop, anchor = _ranges(batch.column(2))
-            partly = anchor >= 0
+            partly = anchor != _NONE
             row, start, stop, anchor = row[partly], start[partly], stop[partly], anchor[partly]
             bucket = (tk.mixed(anchor.view(np.uint64)) % _U(buckets)).astype(np.int64)
             docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
@@ -285,8 +336,13 @@ def _shards(length: int, buckets: int):
                 data = np.frombuffer(texts[r].as_buffer(), np.uint8)
                 for i in range(cuts[r], cuts[r + 1]):
                     part = data[start[i] : stop[i]]
-                    held.setdefault(int(bucket[i]), []).append((docs[r], start[i], part))
-                    size += len(part)
+                    if anchor[i] >= 0:
+                        held.setdefault(int(bucket[i]), []).append((docs[r], start[i], part))
+                        size += len(part)
+                    else:
+                        at = np.arange(len(part) - length + 1)
+                        strings.append((tk.spans(tk.prefix_hash(part), at, at + length), np.full(len(at), docs[r]), start[i] + at, np.lib.stride_tricks.sliding_window_view(part, length)))
+                        size += len(at) * length
                 if size >= SHARD_BYTES:
                     yield flush()
         yield flush()
@@ -297,6 +353,11 @@ def _shards(length: int, buckets: int):
 def _merge(length: int):
     def run(table: pa.Table) -> pa.Table:
         columns = [table[c].to_pylist() for c in ("transform", "ends", "docs", "starts")]
+        none = lambda n: pa.nulls(n, pa.int64())
+        if table["bucket"][0].as_py() < 0:
+            docs, starts = (np.concatenate([np.frombuffer(x, np.int64) for x in columns[i]]) for i in (2, 3))
+            d, s, e = _united(docs, starts, starts + length)
+            return pa.table([pa.array(d), pa.array(s), pa.array(e), none(len(d))], schema=_MARKS)
         docs, starts = (np.concatenate([np.frombuffer(x, np.int64) for x in columns[i]]) for i in (2, 3))
         shards = [(np.frombuffer(t, np.uint8), np.frombuffer(e, np.int32).astype(np.int64), len(d) // 8) for t, e, d in zip(*columns[:3], strict=True)]
         text, offset, interval = merged_intervals(shards, length)
@@ -309,12 +370,8 @@ def _merge(length: int):
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (doc != doc[lead]) | (start != start[lead])
         doc, start = doc[later], start[later]
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        # starts that follow one another are one range
-        head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)))) if len(doc) else np.zeros(0, np.int64)
-        last = np.append(head[1:], len(doc)) - 1
-        return pa.table([pa.array(doc[head]), pa.array(start[head]), pa.array(start[last] + length), pa.array(np.zeros(len(head), np.int64), mask=np.ones(len(head), bool))], schema=_MARKS)
+        d, s, e = _united(doc, start, start + length)
+        return pa.table([pa.array(d), pa.array(s), pa.array(e), none(len(d))], schema=_MARKS)
 
     return run
 
@@ -328,7 +385,7 @@ def _cut(with_bytes: bool):
             rows = []
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
             found = [_ranges(batch.column(i)) for i in (2, 3)]
-            row, start, stop = (np.concatenate([f[i][f[3] < 0] for f in found]) for i in range(3))
+            row, start, stop = (np.concatenate([f[i][f[3] == _NONE] for f in found]) for i in range(3))
             order = np.argsort(row, kind="stable")
             start, stop = start[order], stop[order]
             cuts = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
@@ -345,34 +402,51 @@ def _cut(with_bytes: bool):
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_bytes: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_bytes: bool = False, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``; with ``with_bytes`` also ``kept``, the
     bytes that remain.
 
-    Texts are UTF-8 bytes, null is empty; matches never cross documents. Rows that repeat an id should be equal: they count
-    as one document and each gets its result. A row with a null id is not searched and stays whole. Other columns are
-    ignored; an empty table gives no rows.
+    Texts are UTF-8 bytes, null is empty; matches never cross documents. Equal rows that repeat an id count as one document
+    and each gets its result; of rows that repeat an id with different texts, those of the least text hash do, the others are
+    not searched and stay whole, as does a row with a null id. Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    bits = max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    known = rows.where("doc_id is not null")
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    by_id = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least"), F.max(F.xxhash64("text")).alias("most"), F.sum(F.octet_length("text")).alias("n"))
+    n_bytes, doubtful = by_id.agg(F.sum("n"), F.count_if(F.col("least") != F.col("most"))).first()
+    if not doubtful:
+        return _deduped(rows, rows.where("doc_id is not null"), length, with_bytes, hot_bytes, n_bytes or 0)
+    one = by_id.where("least <> most").select("doc_id", "least")
+    marked = stored(rows.join(one, "doc_id", "left").select("doc_id", "text", (F.col("doc_id").isNotNull() & (F.col("least").isNull() | (F.col("least") == F.xxhash64("text")))).alias("searched")), "searched")
+    searched = marked.where("searched").select("doc_id", "text")
+    rest = marked.where("not searched").select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("doc_id").alias("id"))
+    out = _deduped(searched, searched, length, with_bytes, hot_bytes, n_bytes)
+    whole = _unsearched(rest, with_bytes).withColumn("doc_id", F.col("id"))
+    return out.unionByName(whole.select(out.columns))
+
+
+def _unsearched(rows: DataFrame, with_bytes: bool) -> DataFrame:
+    """Rows as they are, in the columns of dedup."""
+    zero = F.lit(0).cast("long")
+    same = [F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")]
+    return rows.select("*", *same, *([F.col("text").alias("kept")] if with_bytes else []))
+
+
+def _deduped(rows: DataFrame, known: DataFrame, length: int, with_bytes: bool, hot_bytes: int, n_bytes: int) -> DataFrame:
+    bits = max(6, (n_bytes // BUCKET_BYTES).bit_length())
     dealt = known.mapInArrow(_deal(length, bits), "bucket long, anchors binary, hashes binary, docs binary, starts binary, counts binary")
-    marks = stored(dealt.groupBy("bucket").applyInArrow(_whole(length), "doc_id long, start long, stop long, anchor long"), "marks")
+    marks = stored(dealt.groupBy("bucket").applyInArrow(_whole(length, hot_bytes), "doc_id long, start long, stop long, anchor long"), "marks")
     by_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "anchor")).alias("marks"))
     touched = stored(known.join(by_doc, "doc_id"), "touched")
 
     some = F.exists("marks", lambda m: m["anchor"].isNotNull())
-    n_bytes = marks.where("anchor is not null").agg(F.sum(F.col("stop") - F.col("start"))).first()[0] or 0
-    buckets = max(16, n_bytes // MERGE_BYTES)
+    size = F.col("stop") - F.col("start")
+    partly = marks.where("anchor is not null").agg(F.sum(F.when(F.col("anchor") >= 0, size).otherwise((size - length + 1) * length))).first()[0] or 0
+    buckets = max(16, partly // MERGE_BYTES)
     shards = touched.where(some).select("doc_id", "text", "marks").mapInArrow(_shards(length, buckets), "bucket long, transform binary, ends binary, docs binary, starts binary")
     more = shards.groupBy("bucket").applyInArrow(_merge(length), "doc_id long, start long, stop long, anchor long")
     more = stored(more.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "anchor")).alias("more")), "more")
     cut = touched.join(more, "doc_id", "left").select("doc_id", "text", "marks", "more").mapInArrow(_cut(with_bytes), _KEPT)
     cut = cut.dropDuplicates(["doc_id"]).select("doc_id", *(F.col(c).alias(f"new_{c}") for c in ("n_removed", "n_spans", "kept_sha256", "kept")))
-    same = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own_sha256"), *([F.col("text").alias("own")] if with_bytes else []))
-    out = same.join(cut, "doc_id", "left").select(
-        "doc_id", "n_bytes", F.coalesce("new_n_removed", F.lit(0)).alias("n_removed"), F.coalesce("new_n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("new_kept_sha256", "own_sha256").alias("kept_sha256"), *([F.coalesce("new_kept", "own").alias("kept")] if with_bytes else []),
-    )
-    return out
+    same = _unsearched(rows, with_bytes).drop("text")
+    return same.join(cut, "doc_id", "left").select("doc_id", "n_bytes", *(F.coalesce(f"new_{c}", c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", *(["kept"] if with_bytes else []))))

@@ -181,6 +181,25 @@ def test_suffix_dedup_of_overlaps(spark, prose):
     assert removed(df) == brute.repeats_removed(rows, 100)
 
 
+def test_suffix_dedup_of_hot_anchors(spark, prose):
+    """A passage with other text around it in every document, with single strings in place of pieces."""
+    rng, passage = random.Random(8), prose(700, 25)
+    contexts = [prose(710 + i, 12) for i in range(3)]
+    rows = [(i, f"{rng.choice(contexts)} {prose(800 + i, 2)} {passage[: rng.randint(90, len(passage))]} {prose(900 + i % 4, 6)}") for i in range(50)]
+    rows += [(60, "<" + passage + ">"), (61, "[" + passage + ">"), (62, "<" + passage + "]")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert removed(df, hot_bytes=300) == removed(df) == brute.repeats_removed(rows, 100)
+
+
+def test_suffix_dedup_of_repeated_ids(spark, prose):
+    """Of different texts with one id, one is the document; the others stay whole."""
+    a, b = prose(720, 40), prose(721, 40)
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, a), (4, prose(722, 3)), (4, prose(722, 3))]
+    out = [(r["doc_id"], r["n_removed"], bytes(r["kept"]).decode()) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_bytes=True).collect()]
+    assert len(out) == 7 and (None, 0, a) in out and sorted(t for i, n, t in out if i == 1) == sorted((a, b)) and out.count((4, 0, prose(722, 3))) == 2
+    assert sorted(n for i, n, _ in out if i in (2, 3)) == sorted((0, len(a)) if (2, len(a), "") in out else (0, len(b)))
+
+
 def test_merged_transforms_hold_the_intervals():
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, 3, rng.integers(1, 60)).astype(np.uint8) for _ in range(20)]
