@@ -26,7 +26,7 @@ WORDS = 5
 AT_LEAST = 0.75
 RADIUS = 21
 BITS = 64
-#: A benchmark of so many shingles at most is sent to every task; a larger one is joined by a shuffle.
+#: Tables of so many rows (or array elements) at most are sent to every task; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Places are ordered in parts of a window's length, so that one range holds windows of all lengths.
 PARTS = 1 << 20
@@ -51,7 +51,7 @@ def _shingles(words: Column, weigh: bool) -> Column:
 
 
 def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key with its SimHash, from rows of a shingle (h, w): a bit is set if more than half the weight
+    """One row for each key with its SimHash, from one row for each distinct shingle (h, w): a bit is set if more than half the weight
     has it set."""
     votes = [F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("w")).otherwise(0)).alias(f"v{i}") for i in range(BITS)]
     counted = rows.groupBy(*keys).agg(F.sum("w").alias("total"), *votes)
@@ -65,55 +65,59 @@ def _blocks(fingerprint: Column) -> Column:
     return F.array(*(F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fingerprint, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value")) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity, distance): for each document and item that it holds, the most
     similar window (the first of equals).
 
-    Null, blank and shorter texts have no shingles: such documents hold nothing, such items are held by none. Rows of
-    one id are taken together; rows with a null id are not searched. Other columns are ignored; an empty table on
-    either side gives no rows.
+    Null, blank and shorter texts have no shingles: such documents hold nothing, such items are held by none. Rows that
+    repeat an id are searched each, and the best window of any counts; rows with a null id are not searched. Very long texts
+    are searched whole. Other columns are ignored; an empty table on either side gives no rows.
     """
     items = stored(
         benchmark.select(F.col(item_col).alias("item_id"), _words(F.col(item_text)).alias("words"))
-        .select("item_id", F.size("words").alias("n_words"), _shingles(F.col("words"), True).alias("shingles"))
+        .select("item_id", F.size("words").alias("n_words"), F.array_distinct(_shingles(F.col("words"), True)).alias("shingles"))
         .where(f"n_words >= {WORDS} and item_id is not null"),
         "items",
     )
     weight = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["w"])
-    lightest = items.groupBy("n_words").agg(F.min(weight(F.array_distinct("shingles"))).alias("least"))
+    lightest = items.groupBy("n_words").agg(F.min(weight(F.col("shingles"))).alias("least"))
     wanted = items.select("n_words", F.inline("shingles")).distinct().join(lightest, "n_words")
-    small = wanted.count() <= BROADCAST_ROWS
-    near = F.broadcast if small else (lambda df: df)
-
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    hits = texts.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", F.posexplode(_shingles(F.col("words"), False)).alias("at", "h")).join(near(wanted), "h")
+    # copies of items count too: the bounds hold for the rows that would be sent
+    n_items, n_shingles = items.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
+    near = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+    # a text is told from others of its id by its hash
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text")).where("doc_id is not null")
+    key = ["doc_id", "body"]
+    hits = texts.select(*key, _words(F.col("text")).alias("words")).select(*key, F.posexplode(_shingles(F.col("words"), False)).alias("at", "h")).join(near(wanted, n_shingles), "h")
     places = F.col("n_words") - (WORDS - 1)
-    each = W.partitionBy("doc_id", "n_words")
+    each = W.partitionBy(*key, "n_words")
     ahead = each.orderBy(F.floor(F.col("at") * F.lit(PARTS).cast("long") / places)).rangeBetween(0, PARTS)
     hits = hits.withColumns({"held": F.sum("w").over(ahead), "last": F.lag("at").over(each.orderBy("at"))}).where((F.col("held") >= AT_LEAST * F.col("least")) & (F.col("last").isNull() | (F.col("last") < F.col("at"))))
     # a window's first hit gives all its possible begins
-    hits = hits.select("doc_id", "n_words", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - places + 1, F.col("last") + 1), F.col("at"))).alias("at"))
-    begins = stored(hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n_words")).alias("begins")), "begins")
+    hits = hits.select(*key, "n_words", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - places + 1, F.col("last") + 1), F.col("at"))).alias("at"))
+    begins = stored(hits.groupBy(*key).agg(F.collect_set(F.struct("at", "n_words")).alias("begins")), "begins")
     # as many rows as documents with hits: never broadcast, whatever the size
-    held = begins.hint("merge").join(texts, "doc_id").select("doc_id", "begins", _words(F.col("text")).alias("words")).select("doc_id", "begins", _shingles(F.col("words"), True).alias("shingles"))
+    held = begins.hint("merge").join(texts, key).select(*key, "begins", _words(F.col("text")).alias("words")).select(*key, "begins", _shingles(F.col("words"), True).alias("shingles"))
+    window = [*key, "at", "n_words"]
     windows = stored(
-        held.select("doc_id", "shingles", F.explode("begins").alias("begin"))
-        .select("doc_id", F.col("begin.at").alias("at"), F.col("begin.n_words").alias("n_words"), F.slice("shingles", F.col("begin.at") + 1, F.col("begin.n_words") - (WORDS - 1)).alias("shingles"))
-        .dropDuplicates(["doc_id", "at", "n_words"]),
+        held.select(*key, "shingles", F.explode("begins").alias("begin"))
+        .select(*key, F.col("begin.at").alias("at"), F.col("begin.n_words").alias("n_words"), F.array_distinct(F.slice("shingles", F.col("begin.at") + 1, F.col("begin.n_words") - (WORDS - 1))).alias("shingles"))
+        .dropDuplicates(window),
         "windows",
+        begins,
     )
 
-    prints = _fingerprints(windows.select("doc_id", "at", "n_words", F.inline("shingles")), ["doc_id", "at", "n_words"])
+    prints = _fingerprints(windows.select(*window, F.inline("shingles")), window)
     item_prints = _fingerprints(items.select("item_id", "n_words", F.inline("shingles")), ["item_id", "n_words"])
-    probe = prints.select("doc_id", "at", "n_words", "fingerprint", F.inline(_blocks(F.col("fingerprint"))))
+    probe = prints.select(*window, "fingerprint", F.inline(_blocks(F.col("fingerprint"))))
     index = item_prints.select("item_id", "n_words", F.col("fingerprint").alias("item_print"), F.inline(_blocks(F.col("fingerprint"))))
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
-    found = probe.join(near(index), ["n_words", "block", "value"]).select("doc_id", "at", "n_words", "item_id", distance.alias("distance")).where(f"distance <= {RADIUS}").distinct()
+    found = probe.join(near(index, n_items * (RADIUS + 1)), ["n_words", "block", "value"]).select(*window, "item_id", distance.alias("distance")).where(f"distance <= {radius}").distinct()
 
     both = (
-        found.join(windows.withColumnRenamed("shingles", "own"), ["doc_id", "at", "n_words"])
-        .join(near(items.select("item_id", F.col("shingles").alias("asked"))), "item_id")
-        .withColumns({"own": F.array_distinct("own"), "asked": F.array_distinct("asked")})
+        found.join(windows.withColumnRenamed("shingles", "own"), window)
+        .join(near(items.select("item_id", F.col("shingles").alias("asked")), n_shingles), "item_id")
         .withColumn("common", weight(F.array_intersect("own", "asked")))
         .withColumn("similarity", F.col("common") / (weight(F.col("own")) + weight(F.col("asked")) - F.col("common")))
         .where(F.col("similarity") >= AT_LEAST)

@@ -129,6 +129,16 @@ def test_decontamination_of_edited_beginnings(spark, prose):
     assert {r["start_word"] for r in out} == {31}
 
 
+def test_decontamination_behind_long_words(spark, prose):
+    """A passage whose first words differ, before very long words; and rows that repeat an id with other texts."""
+    item = prose(190, 25).split()
+    long = "x" * 1000
+    rows = [(1, f"a b {' '.join(item[2:])} {long} {long}"), (2, prose(191, 40)), (2, " ".join(item)), (2, " ".join(item))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = decontaminate.leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start_word"], round(r["similarity"], 3)) for r in out)[1] == (2, 0, 1.0) and {r["doc_id"] for r in out} == {1, 2} and len(out) == 2
+
+
 def similar(rows, items):
     """All windows of all documents against all items."""
     grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
