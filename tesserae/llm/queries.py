@@ -105,8 +105,8 @@ WITH rest AS (
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule = 'example.com/en/7' THEN 'allow'
-  WHEN rule IS NOT NULL OR path LIKE '%.exe' OR path LIKE '%.zip' OR path LIKE '%.tar.gz' OR path LIKE '%/cgi-bin/%'
-    OR path LIKE '%/wp-admin/%' OR path LIKE '%/login' OR path LIKE '%/login/%' THEN 'block'
+  WHEN rule IS NOT NULL OR regexp_matches(path, '\.(7z|apk|avi|bin|dmg|exe|gz|iso|jar|mkv|mov|mp3|mp4|msi|rar|tar|tgz|wav|zip)$')
+    OR regexp_matches(path, '/(account|admin|cart|cgi-bin|checkout|login|logout|register|search|signin|signup|wp-admin|wp-includes)(/|$)') THEN 'block'
   ELSE 'allow' END AS verdict
 FROM ruled
 """

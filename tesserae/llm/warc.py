@@ -3,12 +3,14 @@
 Response records become linked derivatives: a ``metadata`` record (title, outlinks, the source's digests) and a
 ``conversion`` record with the plain text. Both name their source in WARC-Refers-To, keep its target URI and date, and
 repeat its HTTP headers and payload digest; record ids follow from contents, so that a repeated task makes the same ones.
-Each page is worked on by itself: one pass, no shuffle. ``write_warc`` and ``read_warc`` are the files.
+Each page is worked on by itself: one pass, no shuffle. ``write_warc`` and ``read_warc`` are the files; both stream, so a file
+of any size is read in splits, and memory holds a record, not a file.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
 import html
 import re
@@ -82,7 +84,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     """For each response record its metadata and its conversion record, in columns of RECORD.
 
     Records of other types have none. An empty payload has an empty text and no fields of its own. Repeated records give
-    equal derivatives each; a null target URI stays null.
+    equal derivatives each; a null target URI stays null; a very long page is converted whole; an empty table gives no rows.
     """
 
     def run(batches):
@@ -104,40 +106,95 @@ def derivatives(records: DataFrame) -> DataFrame:
     return records.select(*_NAMES).mapInArrow(run, RECORD)
 
 
-_HEADERS = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("Content-Type", "content_type"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("X-Page-Id", "page_id"), ("Content-Length", "content_length"))
+#: Header fields of a file and their columns; HTTP headers of derivatives, which stand in no block, are kept in base64.
+_HEADERS = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("Content-Type", "content_type"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("X-Source-HTTP-Headers", "kept_headers"), ("X-Page-Id", "page_id"), ("Content-Length", "content_length"))
+#: Between two records: the end of one and the beginning of the next one's version.
+_BETWEEN = "\r\n\r\nWARC/1."
 
 
 def write_warc(records: DataFrame, path: str) -> None:
     """Records as WARC files below ``path``, one for each partition, by Spark's own writer (any file system)."""
+    kept = records.withColumn("kept_headers", F.when(F.col("warc_type") != "response", F.regexp_replace(F.base64(F.col("http_headers").cast("binary")), r"\s", "")))
     lines = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{h}: "), F.col(c).cast("string"), F.lit("\r\n"))).otherwise("") for h, c in _HEADERS]
     value = F.concat(F.lit(f"{VERSION}\r\n"), *lines, F.lit("\r\n"), F.coalesce("block", F.lit("")))
-    records.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    kept.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+
+
+def _parsed(data: bytes) -> tuple[dict, int] | None:
+    """The named header fields of a record and the place of its block; None if it has no readable header."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0 or not data.startswith(b"WARC/"):
+        return None
+    back, got = dict(_HEADERS), {}
+    for line in data[:end].split(b"\r\n")[1:]:
+        name, _, value = line.decode("utf-8", "replace").partition(": ")
+        if name in back:
+            got[back[name]] = value
+    try:
+        got["content_length"] = int(got["content_length"])
+        got["page_id"] = int(got["page_id"]) if "page_id" in got else None
+        got["http_headers"] = base64.b64decode(got.pop("kept_headers"), validate=True).decode() if "kept_headers" in got else None
+    except (KeyError, ValueError, binascii.Error):
+        return None
+    return (got, end + 4) if got["content_length"] >= 0 and "warc_type" in got else None
+
+
+def _row(got: dict, block: bytes) -> tuple:
+    got = got | {"block": block.decode("utf-8", "replace")}
+    if got["warc_type"] == "response":
+        got["http_headers"] = got["block"].partition("\r\n\r\n")[0] + "\r\n\r\n"
+    return tuple(got.get(n) for n in _NAMES)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files, in columns of RECORD (http_headers from the blocks of responses)."""
-    back = dict(_HEADERS)
+    """The records of WARC files (also compressed ones), in columns of RECORD (http_headers from the blocks of responses).
+
+    Files are split where a record's end and a version line meet. A block may hold just that; a record that is shorter than
+    its Content-Length therefore takes in the pieces that follow in its split of the file. What has no readable header, or
+    still lacks bytes then, is a row of type ``malformed`` with its bytes as block and nothing else. Bytes that are not UTF-8 are replaced.
+    """
 
     def run(batches):
+        rows, open_piece, at = [], None, None
+
+        def settle(data: bytes) -> bool:
+            """Whether the piece was taken as a record."""
+            parsed = _parsed(data)
+            if parsed is None:
+                return False
+            got, begin = parsed
+            lacks = begin + got["content_length"] - len(data)
+            if lacks > 0:
+                return False
+            rows.append(_row(got, data[begin : begin + got["content_length"]]))
+            return True
+
+        def malformed(data: bytes):
+            if data.strip():
+                rows.append(tuple({"warc_type": "malformed", "content_length": len(data), "block": data.decode("utf-8", "replace")}.get(n) for n in _NAMES))
+
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                at, rows = 0, []
-                while (end := data.find(b"\r\n\r\n", at)) >= 0 and data[at : at + 5] == b"WARC/":
-                    got = {}
-                    for line in data[at:end].decode().split("\r\n")[1:]:
-                        name, _, value = line.partition(": ")
-                        if name in back:
-                            got[back[name]] = value
-                    size = int(got["content_length"])
-                    block = data[end + 4 : end + 4 + size].decode()
-                    got |= {"content_length": size, "block": block, "page_id": int(got["page_id"]) if "page_id" in got else None}
-                    if got["warc_type"] == "response":
-                        got["http_headers"] = block.partition("\r\n\r\n")[0] + "\r\n\r\n"
-                    rows.append(tuple(got.get(n) for n in _NAMES))
-                    at = end + 4 + size + 4
-                    if len(rows) == 1000:
-                        yield _made(rows)
-                        rows = []
-                yield _made(rows)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+            for file, split, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if open_piece is not None and at == (file, split):
+                    data = open_piece + _BETWEEN.encode() + data
+                else:
+                    if open_piece is not None:
+                        malformed(open_piece)
+                    data = data if data.startswith(b"WARC/") else b"WARC/1." + data
+                open_piece, at = None, (file, split)
+                if not settle(data):
+                    # a header whose end was taken for the end of a record has its length, and a block that follows
+                    if _parsed(data) is None and ((head := _parsed(data + b"\r\n\r\n")) is None or not head[0]["content_length"]):
+                        malformed(data)
+                    else:
+                        open_piece = data
+                if len(rows) >= 1000:
+                    yield _made(rows)
+                    rows = []
+        if open_piece is not None:
+            malformed(open_piece)
+        yield _made(rows)
+
+    # within a split of a file, pieces come in order
+    pieces = spark.read.option("lineSep", _BETWEEN).text(path).select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary"))
+    return pieces.mapInArrow(run, RECORD)
