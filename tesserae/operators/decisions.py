@@ -12,25 +12,52 @@ from tesserae.operators.graph import closure, components, key_groups
 from tesserae.operators.ledger import latest
 from tesserae.sources.stored import stored
 
-#: The approval policy.
-CONFIDENCE, PROBABILITY, MARGIN = 0.98, 0.97, 0.30
-
-
-def approval(chances: Column, selected: Column, confidence: Column, kind: Column, complete: Column) -> Column:
-    """The first rule that blocks an automatic approval, in order; ``approved`` if none does."""
-    chosen = chances[selected]
-    others = F.coalesce(F.array_max(F.map_values(F.map_filter(chances, lambda k, _: k != selected))), F.lit(0.0))
+#: The approval policy. What may be answered in each family (and unknown), the least confidence, probability
+#: and margin of an approval, and the family that is never approved with its reason.
+ANSWERS = {
+    "identity": ("same-person", "different-person"),
+    "same-attempt": ("same-attempt", "distinct-attempts"),
+    "source-revision": ("left-revises-right", "right-revises-left", "same-source", "unrelated"),
+    "category-representation": ("category", "representation", "both", "neither"),
+    "row-semantics": ("attempt", "aggregate", "summary", "not-result"),
+}
+CONFIDENCE, PROBABILITY, MARGIN, SUM_TOLERANCE = 0.98, 0.97, 0.30, 0.00001
+BLOCKED = {"row-semantics": "no-canonical-role-ledger"}
+
+
+def _unit(x: Column) -> Column:
+    return F.coalesce((x >= 0) & (x <= 1) & ~F.isnan(x), F.lit(False))
+
+
+def approval(row: dict[str, Column]) -> Column:
+    """The first of 13 ordered reasons against an automatic approval; ``thresholds-met`` if there is none.
+
+    ``row`` names the columns: version, family, action, outcome, probabilities (map of answers to doubles), confidence,
+    evidence_adequate and stale and error (booleans), conflicts (array). Whatever is unknown fails closed.
+    """
+    family, action, chances = row["family"], row["action"], row["probabilities"]
+    answers = F.coalesce(*(F.when(family == f, F.array(*map(F.lit, (*names, "unknown")))) for f, names in ANSWERS.items()))
+    selected = F.try_element_at(chances, action)
+    others = F.array_max(F.map_values(F.map_filter(chances, lambda k, _: k != action)))
     total = F.aggregate(F.map_values(chances), F.lit(0.0), lambda a, x: a + x)
+    closed = F.array_sort(F.map_keys(chances)) == F.array_sort(answers)
+    valid = _unit(row["confidence"]) & closed & selected.isNotNull() & F.forall(F.map_values(chances), _unit) & (F.abs(total - 1) < SUM_TOLERANCE)
+    holds = lambda x: F.coalesce(x, F.lit(False))
     return first_reason(
-        ("missing-answer", chances.isNull() | selected.isNull()),
-        ("unknown-selection", chosen.isNull()),
-        ("probabilities-do-not-sum", F.abs(total - 1) > 0.001),
-        ("row-semantics", kind == "row-semantics"),
-        ("incomplete-retrieval", ~F.coalesce(complete, F.lit(False))),
-        ("low-confidence", F.coalesce(confidence, F.lit(0.0)) < CONFIDENCE),
-        ("low-probability", chosen < PROBABILITY),
-        ("small-margin", chosen - others < MARGIN),
-        otherwise="approved",
+        ("invalid-policy", ~holds(row["version"] != "")),
+        ("unsupported-action", ~holds(F.array_contains(answers, action) & (action != "unknown"))),
+        ("stale-evidence", holds(row["stale"])),
+        ("provider-error", holds(row["error"]) | holds(row["outcome"] == "error")),
+        ("unknown-answer", holds(action == "unknown") | holds(row["outcome"] == "unknown")),
+        ("inadequate-evidence", ~holds(row["evidence_adequate"])),
+        ("conflicting-evidence", holds(F.size(row["conflicts"]) > 0)),
+        ("unexpected-answer", ~holds(action == row["outcome"])),
+        ("invalid-answer", ~holds(valid)),
+        *((reason, holds(family == f)) for f, reason in BLOCKED.items()),
+        ("low-confidence", row["confidence"] < CONFIDENCE),
+        ("low-probability", selected < PROBABILITY),
+        ("close-alternative", selected - others < MARGIN),
+        otherwise="thresholds-met",
     )
 
 

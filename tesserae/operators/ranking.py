@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,15 +26,41 @@ def competition_rank(order: Column, *within: str) -> Column:
     return F.rank().over(window).cast("long")
 
 
-def global_rank(df: DataFrame, value: str, name: str, descending: bool = True) -> DataFrame:
-    """Competition rank over a whole table without one task holding it.
+#: Ranges that a ranked value is cut into.
+RANGES = 1024
+
+
+def ranked(df: DataFrame, value: str, rank: str, within: tuple[str, ...] = (), descending: bool = True, order: tuple[str, ...] = (), position: str | None = None) -> DataFrame:
+    """``df`` with the competition rank of a numeric ``value`` inside ``within`` (the whole table if that is empty), and with
+    ``position``, a display position whose ties ``order`` breaks. Null values come last and get no rank.
 
-    The rows are counted by value, so that only distinct values meet in the running sum; null values get no rank.
+    No group passes through one task: the span of a group's values is cut into RANGES equal ranges, rows are counted by
+    range, and windows run inside a range only, on top of the number of rows before it.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    order = F.desc(value) if descending else F.asc(value)
-    ranks = counts.select(F.col(value).alias("__value"), (F.sum("__n").over(W.orderBy(order)) - F.col("__n") + 1).cast("long").alias(name))
-    return df.join(ranks, df[value] == ranks["__value"], "left").drop("__value")
+    keys = [f"__k{i}" for i in range(len(within))]
+    rows = df.withColumns({k: F.col(c) for k, c in zip(keys, within, strict=True)} | {"__v": F.col(value).cast("double")})
+    spans = rows.groupBy(*(F.col(k).alias(f"{k}_s") for k in keys)).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    same = lambda end, *more: functools.reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(k + end)) for k in (*keys, *more)), F.lit(True))
+    joined = rows.join(spans if keys else F.broadcast(spans), same("_s"), "left")  # one row without keys
+    far = F.col("__high") - F.col("__v") if descending else F.col("__v") - F.col("__low")
+    width = F.col("__high") - F.col("__low")
+    bucket = F.when(F.col("__v").isNull(), RANGES + 1).when(width > 0, F.floor(far / width * RANGES)).otherwise(0).cast("int")
+    cut = joined.withColumn("__range", bucket).drop("__low", "__high", *(f"{k}_s" for k in keys))
+    counts = cut.groupBy(*(F.col(k).alias(f"{k}_b") for k in keys), F.col("__range").alias("__range_b")).agg(F.count("*").alias("__n"))
+    running = F.sum("__n").over(W.partitionBy(*(f"{k}_b" for k in keys)).orderBy("__range_b"))
+    before = counts.withColumn("__before", running - F.col("__n")).drop("__n")
+    placed = cut.join(before, same("_b", "__range"), "left").drop("__range_b", *(f"{k}_b" for k in keys))
+    turn = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
+    inner = W.partitionBy(*keys, "__range").orderBy(turn)
+    out = placed.withColumn(rank, F.when(F.col("__v").isNotNull(), F.rank().over(inner).cast("long") + F.col("__before")))
+    if position:
+        out = out.withColumn(position, F.row_number().over(inner.orderBy(turn, *order)).cast("long") + F.col("__before"))
+    return out.drop(*keys, "__v", "__range", "__before")
+
+
+def global_rank(df: DataFrame, value: str, name: str, descending: bool = True) -> DataFrame:
+    """Competition rank over a whole table without one task holding it; null values get no rank."""
+    return ranked(df, value, name, descending=descending)
 
 
 def comparison_score(attempts: DataFrame) -> DataFrame:
@@ -59,10 +87,10 @@ def comparison_score(attempts: DataFrame) -> DataFrame:
     eligible = F.when(F.col("ranked"), F.col("unit"))
     units = scored.where("ranked").groupBy("discipline").agg((F.min("unit") != F.max("unit")).alias("mixed"))
     scored = scored.join(units, "discipline", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)) & eligible.isNotNull())
-    best = F.rank().over(W.partitionBy("discipline", "ranked").orderBy(F.desc("value"))).cast("long")
-    return scored.withColumn("discipline_rank", F.when(F.col("ranked") & ~F.col("mixed"), best)).withColumn(
+    scored = ranked(scored, "value", "best", ("discipline", "ranked"))
+    return scored.withColumn("discipline_rank", F.when(F.col("ranked") & ~F.col("mixed"), F.col("best"))).withColumn(
         "reasons", F.when(F.col("mixed"), F.array_append("reasons", F.lit("mixed-final-units"))).otherwise(F.col("reasons"))
-    ).drop("repeated", "increment", "mixed")
+    ).drop("repeated", "increment", "mixed", "best")
 
 
 def attempt_comparison(rows: DataFrame, rules: list[tuple[str, Column]], filters: list[tuple[str, Column]], value: str, order: list[str], *within: str) -> DataFrame:
@@ -72,10 +100,8 @@ def attempt_comparison(rows: DataFrame, rules: list[tuple[str, Column]], filters
     ``order``.
     """
     judged = rows.withColumn("reasons", reasons(*filters, *rules)).withColumn("status", status(F.col("reasons"), [name for name, _ in filters]))
-    ranked = F.col("status") == "ranked"
-    window = W.partitionBy(*within, "status").orderBy(F.desc(value))
-    shown = W.partitionBy(*within, "status").orderBy(F.desc(value), *order)
-    return judged.withColumn("rank", F.when(ranked, F.rank().over(window).cast("long"))).withColumn("position", F.when(ranked, F.row_number().over(shown).cast("long")))
+    placed = ranked(judged, value, "rank", (*within, "status"), order=tuple(order), position="position")
+    return placed.withColumns({c: F.when(F.col("status") == "ranked", F.col(c)) for c in ("rank", "position")})
 
 
 def peer_ranks(rows: DataFrame, value: str, *cohort: str) -> DataFrame:

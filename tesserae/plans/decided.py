@@ -9,14 +9,26 @@ from tesserae.plans.registry import query
 from tesserae.sources.tables import table
 
 
-@query("""WITH e AS (SELECT event_id, (event_id % 101) / 100.0 AS a, (user_id % 100) / 100.0 AS conf, event_type FROM events)
-SELECT event_id, CASE WHEN event_type = 'error' THEN 'missing-answer' WHEN event_type = 'signup' THEN 'row-semantics' WHEN event_id % 7 = 0 THEN 'incomplete-retrieval' WHEN conf < 0.98 THEN 'low-confidence' WHEN a < 0.97 THEN 'low-probability'
-  WHEN a - (1 - a) < 0.30 THEN 'small-margin' ELSE 'approved' END AS gate FROM e""")
+@query("""WITH e AS (SELECT event_id AS i, CASE event_id % 5 WHEN 0 THEN 'row-semantics' WHEN 1 THEN 'other' ELSE 'identity' END AS family, (96 + event_id % 5) / 100.0 AS p, (97 + user_id % 4) / 100.0 AS confidence FROM events)
+SELECT i AS event_id, CASE WHEN i % 97 = 0 THEN 'invalid-policy' WHEN family = 'other' THEN 'unsupported-action' WHEN i % 31 = 0 THEN 'stale-evidence' WHEN i % 29 = 0 THEN 'provider-error' WHEN i % 23 = 0 THEN 'unknown-answer'
+  WHEN i % 19 = 0 THEN 'inadequate-evidence' WHEN i % 17 = 0 THEN 'conflicting-evidence' WHEN i % 13 = 0 THEN 'unexpected-answer' WHEN i % 11 = 0 OR confidence > 1 OR (family = 'row-semantics' AND i % 2 = 0) THEN 'invalid-answer'
+  WHEN family = 'row-semantics' THEN 'no-canonical-role-ledger' WHEN confidence < 0.98 THEN 'low-confidence' WHEN i % 7 = 0 THEN 'low-probability' WHEN p < 0.97 THEN 'low-probability' ELSE 'thresholds-met' END AS gate FROM e""")
 def approval_gate(spark, sf):
-    a = (F.col("event_id") % 101) / 100.0
-    chances = F.when(F.col("event_type") != "error", F.create_map(F.lit("x"), a, F.lit("y"), 1 - a))
-    kind = F.when(F.col("event_type") == "signup", "row-semantics").otherwise("name")
-    gate = decisions.approval(chances, F.lit("x"), (F.col("user_id") % 100) / 100.0, kind, F.col("event_id") % 7 != 0)
+    i = F.col("event_id")
+    family = F.when(i % 5 == 0, "row-semantics").when(i % 5 == 1, "other").otherwise("identity")
+    action = F.when(i % 5 == 0, "attempt").otherwise("same-person")
+    p = F.when(i % 7 == 0, 0.5).otherwise((96 + i % 5) / 100.0)
+    rest = F.when(i % 11 == 0, 1.5 - p).otherwise(1 - p)
+    zero = F.lit(0.0)
+    rows = F.create_map(F.lit("attempt"), p, F.lit("aggregate"), rest, F.lit("summary"), zero, F.lit("not-result"), zero, F.lit("unknown"), zero)
+    pair = F.create_map(F.lit("same-person"), p, F.lit("different-person"), rest, F.lit("unknown"), zero)
+    gate = decisions.approval(
+        {
+            "version": F.when(i % 97 != 0, "v2"), "family": family, "action": action, "stale": i % 31 == 0, "error": i % 29 == 0, "evidence_adequate": i % 19 != 0,
+            "outcome": F.when(i % 23 == 0, "unknown").when(i % 13 == 0, "neither").otherwise(action), "conflicts": F.when(i % 17 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")),
+            "probabilities": F.when((i % 5 == 0) & (i % 2 == 1), rows).otherwise(pair), "confidence": (97 + F.col("user_id") % 4) / 100.0,
+        }
+    )
     return table(spark, sf, "events").select("event_id", gate.alias("gate"))
 
 
@@ -65,11 +77,11 @@ def eligibility_fixpoint(spark, sf):
     return decisions.stable(decided, needs, F.col("status") == "accepted", "id")
 
 
-@query("""WITH r AS (SELECT o_custkey AS id, l_suppkey AS candidate, CASE WHEN l_returnflag = 'N' THEN 'publisher-id' ELSE 'name' END AS route, l_discount >= 0.1 AS contradicts, l_tax < 0.08 AS supported FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity = 50),
+@query("""WITH r AS (SELECT o_custkey AS id, l_suppkey AS candidate, CASE WHEN l_returnflag = 'N' THEN 'publisher-id' ELSE 'name' END AS route, l_discount >= 0.1 AS contradicts, l_tax < 0.08 AS supported FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 k AS (SELECT id, count(DISTINCT candidate) AS n, bool_or(contradicts) AS bad, bool_and(supported) AS known, bool_or(route = 'publisher-id') AS strong FROM r GROUP BY 1)
 SELECT c_custkey AS id, CASE WHEN n IS NULL THEN 'no-candidate' WHEN NOT known THEN 'unsupported' WHEN bad THEN 'contradiction' WHEN n > 1 THEN 'ambiguous' WHEN NOT strong THEN 'weak-route' ELSE 'link' END AS decision FROM customer LEFT JOIN k ON id = c_custkey""")
 def identity_decisions(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_quantity = 50").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     found = lines.select(F.col("o_custkey").alias("id"), F.col("l_suppkey").alias("candidate"), F.when(F.col("l_returnflag") == "N", "publisher-id").otherwise("name").alias("route"), (F.col("l_discount") >= 0.1).alias("contradicts"), (F.col("l_tax") < 0.08).alias("supported"))
     return decisions.identity_decision(found, table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), "id")
 
@@ -83,12 +95,12 @@ def links_to_recheck(spark, sf):
     return decisions.recheck(links, orders)
 
 
-@query("""WITH x AS (SELECT p_partkey AS id, p_size AS s, p_brand AS b, p_type AS t FROM part WHERE p_partkey % 2 = 0), y AS (SELECT p_partkey AS o, p_size AS s, p_brand AS b, p_type AS t FROM part WHERE p_partkey % 2 = 1 AND p_size < 30),
+@query("""WITH x AS (SELECT p_partkey AS id, p_size AS s, p_brand AS b, p_type AS t FROM part WHERE p_partkey % 2 = 0), y AS (SELECT p_partkey AS o, p_size AS s, p_brand AS b, p_type AS t FROM part WHERE p_partkey % 2 = 1),
 e AS (SELECT id, count(*) AS n1, min(o) AS m1 FROM x JOIN y USING (s, b, t) GROUP BY 1), l AS (SELECT id, count(*) AS n2, min(o) AS m2 FROM x JOIN y USING (t) GROUP BY 1)
 SELECT id, CASE WHEN n1 = 1 THEN m1 WHEN n1 IS NULL AND n2 = 1 THEN m2 END AS match, CASE WHEN n1 > 1 THEN 'ambiguous' WHEN n1 = 1 THEN 'possible-revision' WHEN n2 > 1 THEN 'ambiguous' WHEN n2 = 1 THEN 'name-only' ELSE 'unmatched' END AS class FROM x LEFT JOIN e USING (id) LEFT JOIN l USING (id)""")
 def revision_matches(spark, sf):
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("s"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"))
-    return decisions.revision_match(parts.where("id % 2 = 0"), parts.where("id % 2 = 1 and s < 30").withColumnRenamed("id", "o"), ["s", "b"], "t", "id", "o")
+    return decisions.revision_match(parts.where("id % 2 = 0"), parts.where("id % 2 = 1").withColumnRenamed("id", "o"), ["s", "b"], "t", "id", "o")
 
 
 @query("""SELECT p_type AS digest, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS sources, coalesce(max(CASE WHEN p_type = 'SMALL' THEN 'acquired' WHEN p_type = 'ECONOMY' THEN 'blocked' END), 'unchecked') AS state FROM part GROUP BY 1""")

@@ -56,8 +56,8 @@ def leakage_check(spark, sf):
     return graph.leaks(rows, "text_hash", "split")
 
 
-@query("""WITH a AS (SELECT DISTINCT o_custkey AS name, l_partkey AS alias FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 49)
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS name, l_partkey AS alias FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
 SELECT DISTINCT x.name AS "left", y.name AS "right" FROM a x JOIN a y ON x.alias = y.alias AND x.name < y.name""")
 def alias_bridge(spark, sf):
-    a = table(spark, sf, "lineitem").where("l_quantity > 49").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("name"), F.col("l_partkey").alias("alias")).distinct()
+    a = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("name"), F.col("l_partkey").alias("alias")).distinct()
     return graph.bridged(a, "name", "alias")

@@ -9,8 +9,7 @@ from tesserae.plans.registry import query
 from tesserae.sources.tables import table
 
 _PEOPLE = """WITH people AS (
-  SELECT 'p' || p_partkey::VARCHAR AS id, 'part' AS source, p_name || ' ' || p_brand AS name FROM part WHERE p_partkey <= 150
-  UNION ALL SELECT 'd' || doc_id::VARCHAR, source, substr(text, 1, 24) FROM documents
+  SELECT 'p' || p_partkey::VARCHAR AS id, p_brand AS source, p_name AS name FROM part
 ), folded AS (
   SELECT id, source, trim(regexp_replace(lower(strip_accents(name)), '[^\\p{L}]+', ' ', 'g')) AS name FROM people
 ), worded AS (
@@ -23,8 +22,8 @@ keys AS (
 
 
 def _people(spark, sf):
-    parts = table(spark, sf, "part").where("p_partkey <= 150").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.lit("part").alias("source"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
-    return parts.unionByName(table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "source", F.substring("text", 1, 24).alias("name")))
+    """All parts by name; listings of one brand with one name are one person, so pairs grow with the names, not the rows."""
+    return table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("source"), F.col("p_name").alias("name"))
 
 
 @query(_PEOPLE + """ SELECT l.id AS "left", r.id AS "right", min(l.signal) AS signal FROM keys l JOIN keys r ON l.signal = r.signal AND l.key = r.key AND l.id < r.id GROUP BY 1, 2""")
@@ -93,20 +92,22 @@ def multi_route_retrieval(spark, sf):
 
 
 @query("""WITH a AS (SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority FROM orders WHERE o_orderkey % 3 <> 0),
-b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM orders WHERE o_orderkey % 5 <> 0),
+b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 <> 0),
 j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'left' WHEN a.o_orderkey IS NULL THEN 'right' ELSE 'both' END AS side, a.status AS a1, b.status AS b1, a.priority AS a2, b.priority AS b2 FROM a FULL JOIN b USING (o_orderkey)),
 u AS (SELECT o_orderkey, side, 'status' AS field, nullif(a1, '') AS before, nullif(b1, '') AS after FROM j UNION ALL SELECT o_orderkey, side, 'priority', nullif(a2, ''), nullif(b2, '') FROM j)
 SELECT * FROM u WHERE side <> 'both' OR before IS DISTINCT FROM after""")
 def field_differences(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    second = orders.where("o_orderkey % 5 <> 0").withColumn("status", F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("status"))).withColumn("priority", F.when(F.col("o_orderkey") % 11 != 0, F.col("priority")))
+    second = orders.where("o_orderkey % 3 = 0 or o_orderkey % 5 <> 0")  # no order is in neither
+    second = second.withColumn("status", F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("status"))).withColumn("priority", F.when(F.col("o_orderkey") % 11 != 0, F.col("priority")))
     return matching.compared(orders.where("o_orderkey % 3 <> 0"), second, ["o_orderkey"], ["status", "priority"])
 
 
-@query("""WITH n AS (SELECT p_partkey AS id, p_brand AS source, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size % 4 END AS d, p_type AS name FROM part WHERE p_partkey <= 600)
+@query("""WITH n AS (SELECT p_partkey AS id, p_brand AS source, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey % 4 END AS d, p_name || p_type || p_size::VARCHAR AS name FROM part)
 SELECT l.id AS "left", r.id AS "right", min(l.name) AS name FROM n l JOIN n r ON l.name = r.name AND l.source <> r.source AND l.id < r.id WHERE l.d IS NULL OR r.d IS NULL OR l.d = r.d GROUP BY 1, 2""")
 def overlapping_leads(spark, sf):
-    parts = table(spark, sf, "part").where("p_partkey <= 600").withColumn("d", F.when(F.col("p_size") % 4 != 0, F.col("p_size") % 4)).withColumn("names", F.array("p_type"))
+    key = F.col("p_partkey")
+    parts = table(spark, sf, "part").withColumn("d", F.when(key % 4 != 0, key % 4)).withColumn("names", F.array(F.concat("p_name", "p_type", F.col("p_size").cast("string"))))
     return matching.overlapping_leads(parts, "p_partkey", "p_brand", "names", "d")
 
 

@@ -92,9 +92,9 @@ def routing_status(spark, sf):
     return routing.routed(pages, one.unionByName(two), ["page_id"]).select("page_id", "status")
 
 
-@query("""SELECT p_brand, count(*) AS batches, CASE WHEN count(DISTINCT p_type) = 1 THEN 'merged' ELSE 'conflict' END AS status FROM part WHERE p_size < 3 GROUP BY 1""")
+@query("""SELECT p_brand || p_name || p_size::VARCHAR AS batch, count(*) AS batches, CASE WHEN count(DISTINCT p_type) = 1 THEN 'merged' ELSE 'conflict' END AS status FROM part GROUP BY 1""")
 def batch_merge(spark, sf):
-    return routing.merged_batches(table(spark, sf, "part").where("p_size < 3"), "p_brand", "p_type")
+    return routing.merged_batches(table(spark, sf, "part").withColumn("batch", F.concat("p_brand", "p_name", F.col("p_size").cast("string"))), "batch", "p_type")
 
 
 @query("""SELECT 'lineitem-order' AS rule, l_partkey::VARCHAR AS id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import names, scalars
+from tesserae.plans import registry
 from tesserae.operators import graph, ledger, lines, matching, paging, ranking, routing, snapshot, summaries
 
 ATTEMPT = "id string, discipline string, unit string, value decimal(18,6), reviewed boolean"
@@ -184,9 +185,35 @@ def test_snapshot_facade(spark, tmp_path, capsys):
 def test_decisions_fail_closed(spark):
     from tesserae.operators import decisions
 
-    df = spark.createDataFrame([(None, "a", 1.0, "k", True), ({"a": 0.99, "b": 0.01}, "a", 0.99, "k", True), ({"a": 0.99, "b": 0.01}, "a", 0.99, "k", None), ({"a": 0.99, "b": 0.5}, "a", 0.99, "k", True), ({"a": 0.99, "b": 0.01}, "z", 0.99, "k", True)], "c map<string,double>, s string, f double, k string, w boolean")
-    out = [r[0] for r in df.select(decisions.approval(F.col("c"), F.col("s"), F.col("f"), F.col("k"), F.col("w"))).collect()]
-    assert out == ["missing-answer", "approved", "incomplete-retrieval", "probabilities-do-not-sum", "unknown-selection"]
+    good = {"version": "v", "family": "identity", "action": "same-person", "outcome": "same-person", "probabilities": {"same-person": 0.98, "different-person": 0.02, "unknown": 0.0}, "confidence": 0.99, "evidence_adequate": True, "stale": False, "error": False, "conflicts": []}
+    cases = [
+        ("thresholds-met", {}), ("invalid-policy", {"version": None}), ("unsupported-action", {"action": "maybe"}), ("stale-evidence", {"stale": True}), ("provider-error", {"outcome": "error"}),
+        ("unknown-answer", {"outcome": "unknown"}), ("inadequate-evidence", {"evidence_adequate": None}), ("conflicting-evidence", {"conflicts": ["x"]}), ("unexpected-answer", {"outcome": "different-person"}),
+        ("invalid-answer", {"probabilities": {"same-person": 0.98, "different-person": 0.02}}), ("invalid-answer", {"probabilities": None}), ("invalid-answer", {"probabilities": {"same-person": 0.98, "different-person": 0.0201, "unknown": 0.0}}),
+        ("no-canonical-role-ledger", {"family": "row-semantics", "action": "attempt", "outcome": "attempt", "probabilities": {"attempt": 1.0, "aggregate": 0.0, "summary": 0.0, "not-result": 0.0, "unknown": 0.0}}),
+        ("low-confidence", {"confidence": 0.97}), ("low-probability", {"probabilities": {"same-person": 0.9, "different-person": 0.1, "unknown": 0.0}}),
+    ]
+    kinds = "version string, family string, action string, outcome string, probabilities map<string,double>, confidence double, evidence_adequate boolean, stale boolean, error boolean, conflicts array<string>"
+    df = spark.createDataFrame([tuple((good | change).values()) for _, change in cases], kinds).coalesce(1)
+    assert [r[0] for r in df.select(decisions.approval({c: F.col(c) for c in df.columns})).collect()] == [reason for reason, _ in cases]
+    one = [(i, i // 3, None if i % 7 == 0 else float(i % 5), "a" if i % 2 else None) for i in range(60)]
+    placed = ranking.ranked(spark.createDataFrame(one, "id long, tie long, v double, k string"), "v", "rank", ("k",), order=("tie", "id"), position="place").collect()
+    for r in placed:
+        group = [x for x in one if x[3] == r["k"]]
+        assert r["rank"] == (None if r["v"] is None else 1 + sum(x[2] is not None and x[2] > r["v"] for x in group))
+        assert r["place"] == 1 + sorted(group, key=lambda x: (x[2] is None, -(x[2] or 0), x[1], x[0])).index(next(x for x in group if x[0] == r["id"]))
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()
+    groups = {p["p_partkey"]: p["p_partkey"] for p in parts}
+    for _ in range(len(parts)):
+        least = {}
+        for p in parts:
+            for key in (p["p_brand"] + str(p["p_size"]), "/" + p["p_name"] + p["p_type"]):
+                least[key] = min(least.get(key, p["p_partkey"]), groups[p["p_partkey"]])
+        after = {p["p_partkey"]: min(least[p["p_brand"] + str(p["p_size"])], least["/" + p["p_name"] + p["p_type"]]) for p in parts}
+        if after == groups:
+            break
+        groups = after
+    assert {r["node"]: r["component"] for r in registry.queries()["attempt_groups"](spark, "/root/testdata/sf0.001").collect()} == groups
     people = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     found = spark.createDataFrame([(1, 7, "publisher-id", False, True), (2, 7, "name", False, True)], "id long, candidate long, route string, contradicts boolean, supported boolean")
     assert {r["id"]: r["decision"] for r in decisions.identity_decision(found, people, "id").collect()} == {1: "link", 2: "weak-route", 3: "no-candidate"}
