@@ -22,8 +22,10 @@ def floor_to(value: Column, increment: Column) -> Column:
 
 
 def has_places(value: Column, places: Column | int) -> Column:
-    """Whether a decimal needs no more than ``places`` decimal places."""
-    return value == F.round(value, places)
+    """Whether a decimal needs no more than ``places`` decimal places (a number, or a column of its own for each row)."""
+    if isinstance(places, int):
+        return value == F.round(value, places)
+    return F.length(F.regexp_extract(value.cast("string"), r"\.([0-9]*[1-9])0*$", 1)) <= places
 
 
 def iso_date(value: Column, pattern: str) -> Column:

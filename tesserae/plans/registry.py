@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "comparison_score"
-MODULES = ("snapshots", "rankings", "matches", "ledgers", "graphs", "reports", "decided", "censuses", "streams")
+MODULES = ("snapshots", "rankings", "matches", "ledgers", "graphs", "reports", "decided", "censuses", "facts", "bindings", "streams")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
