@@ -7,9 +7,9 @@ shard where most of their neighbours are, as far as that shard's quota allows:
   number of rows and its joins are salted by the bucket;
 * each round joins the cells with their group's counts by shard. A cell prefers the shard with most neighbours (of equals, by
   an order that depends on the group), and moves only upwards in that order, so neighbours never swap places;
-* what may move is a flow between shards: demands are summed to (from, to, gain class), a table of fixed size, and are cut
-  back, least gain first, only as far as what comes into a shard exceeds its free room *and* what leaves it. Full shards so
-  exchange documents freely. Where a class is cut, a hash admits the fitting share;
+* what may move is a flow between shards: demands are summed to (from, to, gain class), a table of fixed size, and are
+  admitted, greatest gain first, along closed ways between shards or ways that end in free room. Full shards so exchange
+  documents freely. Where a class is admitted in part, a hash lets the fitting share go;
 * a shard that lets nothing in is passed over for the next best; rounds go on until all are, or no cell has a wish left
   (less than one document in ``STILL`` counts as nothing);
 * documents without neighbours cut no edge wherever they are. They, and what hash rounding put above a capacity, fill the
@@ -41,28 +41,45 @@ def _count(array: Column, shard: Column) -> Column:
 
 
 def admitted_flow(demand: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """The greatest part of ``demand`` (from, to, gain class) after which no shard holds more than its room allows.
+    """A part of ``demand`` (from, to, gain class) after which no shard holds more than its room allows, and to which
+    nothing can be added.
 
-    Inflow beyond room and outflow is cut, least gain first; that lowers other shards' outflow, so cuts repeat until none
-    is needed. Flows only fall, so this ends.
+    Documents move along closed ways between shards, which need no room, or along ways that end in free room. The wish of
+    greatest gain goes first, each time along the shortest way that lets it in, until no way is left. What moves into room
+    leaves as much room where it came from. Each step uses up a demand between two shards in one class, or a shard's room.
     """
-    flow = demand.astype(np.float64)
-    for _ in range(1000):
-        excess = flow.sum((0, 2)) - flow.sum((1, 2)) - np.maximum(room, 0)
-        over = np.flatnonzero(excess > 1e-6)
-        if not len(over):
-            break
-        for to in over:
-            left = excess[to]
-            for c in range(flow.shape[2]):
-                here = flow[:, to, c].sum()
-                if here > 0:
-                    cut = min(here, left)
-                    flow[:, to, c] *= 1 - cut / here
-                    left -= cut
-                if left <= 0:
-                    break
-    return flow
+    n, _, classes = demand.shape
+    rest, free = demand.astype(np.float64), np.maximum(room, 0).astype(np.float64)
+
+    def way(begin: int, end: int) -> list[int] | None:
+        """Shards from ``begin`` to ``end``, or to -1 where the way ends in free room."""
+        reached, queue = {begin: None}, [begin]
+        for here in queue:
+            if here == end or free[here] > 0:
+                out = [] if here == end else [-1]
+                while here is not None:
+                    out.append(here)
+                    here = reached[here]
+                return out[::-1]
+            for there in range(n):
+                if there not in reached and rest[here, there].any():
+                    reached[there] = here
+                    queue.append(there)
+        return None
+
+    for c in reversed(range(classes)):
+        for source, to in np.argwhere(rest[:, :, c] > 0):
+            while rest[source, to, c] > 0 and (steps := way(int(to), int(source))) is not None:
+                arcs = [(source, to, c)]
+                arcs += [(x, y, int(np.flatnonzero(rest[x, y])[-1])) for x, y in zip(steps, steps[1:], strict=False) if y >= 0]
+                most = min(rest[arc] for arc in arcs)
+                if steps[-1] < 0:
+                    most = min(most, free[steps[-2]])
+                    free[steps[-2]] -= most
+                    free[source] += most
+                for arc in arcs:
+                    rest[arc] -= most
+    return demand - rest
 
 
 def propagate(cells: DataFrame, n_shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:

@@ -100,7 +100,16 @@ def test_flow_is_admitted_up_to_room_and_outflow():
     demand[0, 1], demand[1, 0], demand[2, 1] = (10, 0), (0, 10), (5, 5)
     flow = sharding.admitted_flow(demand, np.array([0, 3, 0]))
     assert (flow <= demand).all() and (flow.sum((0, 2)) - flow.sum((1, 2)) <= np.array([0, 3, 0]) + 1e-5).all()
-    assert flow[1, 0].sum() == 10 and flow[2, 1, 1] == 5  # an exchange needs no room; greater gains go first
+    # an exchange needs no room; greater gains go first, into the room of 3 (5 would break the bound above: shard 0 takes 10, so it sends 10)
+    assert flow[1, 0].sum() == 10 and (flow[2, 1] == (0, 3)).all()
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        demand = rng.integers(0, 20, (4, 4, 3)) * (rng.random((4, 4, 3)) < 0.5)
+        demand[range(4), range(4)] = 0
+        room = rng.integers(0, 15, 4)
+        flow = sharding.admitted_flow(demand, room)
+        assert (flow >= 0).all() and (flow <= demand).all() and (flow.sum((0, 2)) - flow.sum((1, 2)) <= room).all()
+        assert not sharding.admitted_flow(demand - flow, room - flow.sum((0, 2)) + flow.sum((1, 2))).any()  # nothing can be added
 
 
 def test_decontamination(spark, odd, odd_rows, none, prose):
