@@ -9,16 +9,28 @@ from pyspark.sql import functions as F
 from tesserae.functions.names import folded, token_order, tokens
 
 
+def name_groups(people: DataFrame, id_col: str, name_col: str, source_col: str) -> DataFrame:
+    """(id, group, name) of every person: listings of one source with one name (in any order of words) are one group, named after
+    its smallest id, ``name`` being that member's folded name. A name without letters is null, and its row a group of its own."""
+    named = people.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.nullif(folded(F.col(name_col)), F.lit("")).alias("name"))
+    ordered = named.withColumn("ordered", token_order(F.col("name")))
+    heads = ordered.where("name is not null").groupBy("source", "ordered").agg(F.min("id").alias("group"), F.min_by("name", "id").alias("head"))
+    joined = ordered.alias("o").join(heads.alias("h"), F.col("o.source").eqNullSafe(F.col("h.source")) & (F.col("o.ordered") == F.col("h.ordered")), "left")
+    return joined.select("id", F.coalesce("group", "id").alias("group"), F.col("head").alias("name"))
+
+
 def name_candidates(people: DataFrame, id_col: str, name_col: str, source_col: str, least_letters: int = 4) -> DataFrame:
     """(left, right, signal) of people that may be one: 1 folded names equal, 2 equal in another word order, 3 a shared
     word of ``least_letters`` or more where both names have two words or more.
 
-    Listings of one source with one name (in any order of words) are one person, its smallest id; pairs cross people
-    only, are ordered (left < right) and carry their strongest signal. Names without letters match nobody.
+    Pairs are between groups (``name_groups`` has the members), named after their smallest ids; they are ordered (left < right) and
+    carry their strongest signal. Names without letters match nobody.
     """
-    named = people.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), folded(F.col(name_col)).alias("name")).where("name <> ''")
-    ordered = named.withColumn("ordered", token_order(F.col("name")))
-    one = ordered.groupBy("source", "ordered").agg(F.min("id").alias("id"), F.min_by("name", "id").alias("name"))
+    return _group_pairs(name_groups(people, id_col, name_col, source_col), least_letters)
+
+
+def _group_pairs(groups: DataFrame, least_letters: int) -> DataFrame:
+    one = groups.where("id = group and name is not null").select("id", "name", token_order(F.col("name")).alias("ordered"))
     parts = one.select("id", F.explode(F.array_distinct(tokens(F.col("name")))).alias("key"), F.size(tokens(F.col("name"))).alias("n"))
     keys = one.select("id", F.lit(1).alias("signal"), F.col("name").alias("key")).unionByName(one.select("id", F.lit(2).alias("signal"), F.col("ordered").alias("key")))
     keys = keys.unionByName(parts.where((F.col("n") >= 2) & (F.char_length("key") >= least_letters)).select("id", F.lit(3).alias("signal"), "key"))
@@ -27,12 +39,17 @@ def name_candidates(people: DataFrame, id_col: str, name_col: str, source_col: s
     return pairs.groupBy(F.col("l.id").alias("left"), F.col("r.id").alias("right")).agg(F.min("l.signal").alias("signal"))
 
 
-def candidate_outcome(people: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
-    """(id, candidates, outcome): no-candidate, candidate, or ambiguous (several, or a shared word alone)."""
-    both = pairs.select(F.col("left").alias(id_col), "signal").unionByName(pairs.select(F.col("right").alias(id_col), "signal"))
-    found = both.groupBy(id_col).agg(F.count("*").alias("candidates"), F.min("signal").alias("best"))
-    outcome = F.when(F.col("candidates").isNull(), "no-candidate").when((F.col("candidates") > 1) | (F.col("best") == 3), "ambiguous").otherwise("candidate")
-    return people.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"), outcome.alias("outcome"))
+def candidate_outcome(people: DataFrame, id_col: str, name_col: str, source_col: str, least_letters: int = 4) -> DataFrame:
+    """(id, group, candidates, outcome) of every person, by group: unknown without a name, no-candidate, candidate, or
+    ambiguous (several groups, or a shared word alone). ``candidates`` counts groups."""
+    groups = name_groups(people, id_col, name_col, source_col)
+    pairs = _group_pairs(groups, least_letters)
+    both = pairs.select(F.col("left").alias("group"), "signal").unionByName(pairs.select(F.col("right").alias("group"), "signal"))
+    found = both.groupBy("group").agg(F.count("*").alias("candidates"), F.min("signal").alias("best"))
+    outcome = (
+        F.when(F.col("name").isNull(), "unknown").when(F.col("candidates").isNull(), "no-candidate").when((F.col("candidates") > 1) | (F.col("best") == 3), "ambiguous").otherwise("candidate")
+    )
+    return groups.join(found, "group", "left").select(F.col("id").alias(id_col), "group", F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"), outcome.alias("outcome"))
 
 
 def unique_matches(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:

@@ -52,6 +52,23 @@ def kind(collection: Column, obj: Column, parent: Column, schema: Column) -> Col
     return F.coalesce(_decided(COLLECTIONS, name), by_supplement, by_page, by_self, by_words, F.lit("other"))
 
 
+def _flattened(fields: Column) -> Column:
+    """JSON of a map of variants with sorted keys. If any of its values is an object with a key ``value``, every object in it
+    is replaced by what it has there (null if nothing); other values stay."""
+    inner = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    wrapped = F.exists(F.map_values(fields), lambda v: is_object(v) & F.coalesce(F.map_contains_key(inner(v), "value"), F.lit(False)))
+    json = lambda v: F.coalesce(F.to_json(v), F.lit("null"))
+
+    def member(key: Column) -> Column:
+        v = F.element_at(fields, key)
+        own = F.when(wrapped & is_object(v), json(F.try_variant_get(v, "$.value", "variant"))).otherwise(json(v))
+        quoted = F.to_json(F.array(key))
+        return F.concat(F.substr(quoted, F.lit(2), F.char_length(quoted) - 2), F.lit(":"), own)
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(fields)), member), ","), F.lit("}"))
+
+
 def normalized(records: DataFrame) -> DataFrame:
     """Normalised columns beside ``records`` (obj, parent, root: variants; kind).
 
@@ -98,5 +115,5 @@ def normalized(records: DataFrame) -> DataFrame:
         "citation_json": first(tree(obj, "citation"), pair, tree(obj, "position"), tree(obj, "locator"), tree(obj, "source_lines")),
         "review_status": first(get(obj, "review_status"), get(root, "owner_review_status"), F.when(F.col("kind") == "candidate_position", F.lit("unreviewed"))),
         "raw_fields_json": F.coalesce(mapping(first(*(filled(obj, f) for f in ("fields_raw", "raw_fields", "fields", "cells")))), F.lit("{}")),
-        "parsed_fields_json": F.coalesce(mapping(filled(obj, "parsed_fields")), F.lit("{}")),
+        "parsed_fields_json": F.coalesce(F.when(mapping(filled(obj, "parsed_fields")).isNotNull(), _flattened(F.try_variant_get(obj, "$.parsed_fields", "map<string,variant>"))), F.lit("{}")),
     })

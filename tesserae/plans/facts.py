@@ -130,18 +130,19 @@ def record_kinds(spark, sf):
 
 @query("""SELECT p_partkey, 'p' || p_partkey AS source_id, 'sha256:' || sha256(p_brand) AS source_object_id, CASE WHEN p_size % 2 = 0 THEN '2026-06-01' ELSE '2026-05-30' END AS event_date, '2026-06-01' AS date_from,
   CASE WHEN p_size % 2 = 0 THEN '2026-06-01' ELSE '2026-06-02' END AS date_to, CASE WHEN p_size % 3 = 0 THEN 'evening' ELSE 'noon' END AS session, p_type AS category, p_size AS page,
-  '{"line":1,"page":' || p_size || '}' AS citation_json, 'unreviewed' AS review_status, '{"a":"x","b":"' || p_type || '"}' AS raw_fields_json FROM part""")
+  '{"line":1,"page":' || p_size || '}' AS citation_json, 'unreviewed' AS review_status, '{"a":"x","b":"' || p_type || '"}' AS raw_fields_json,
+  '{"category":"' || p_type || '","depth":' || p_size || ',"note":null}' AS parsed_fields_json FROM part""")
 def record_normalised(spark, sf):
     size, even = F.col("p_size").cast("string"), F.col("p_size") % 2 == 0
     obj = F.concat(
         F.lit('{"id": null, "position_id": "p'), F.col("p_partkey").cast("string"), F.lit('", "source_id": "'), F.sha2("p_brand", 256), F.lit('", "date_scope": ["2026-06-01", "'), F.when(even, "2026-06-01").otherwise("2026-06-02"),
         F.lit('"]'), F.when(F.col("p_size") % 3 == 0, ', "session": "evening"').otherwise(""), F.lit(', "parsed_fields": {"category": {"value": "'), F.col("p_type"),
-        F.lit('"}}, "raw_fields": {"b": "'), F.col("p_type"), F.lit('", "a": "x"}, "fields": {"c": 1}, "locator": {"page": '), size, F.lit(', "line": 1}, "coordinates": {"page": '), size, F.lit("}}"),
+        F.lit('"}, "note": {"raw": 1}, "depth": '), size, F.lit('}, "raw_fields": {"b": "'), F.col("p_type"), F.lit('", "a": "x"}, "fields": {"c": 1}, "locator": {"page": '), size, F.lit(', "line": 1}, "coordinates": {"page": '), size, F.lit("}}"),
     )
     rows = table(spark, sf, "part").select(
         "p_partkey", F.parse_json(obj).alias("obj"), F.parse_json(F.lit('{"session": "noon", "event_date": "2026-05-30", "page": 9999}')).alias("parent"), F.parse_json(F.lit("{}")).alias("root"), F.lit("candidate_position").alias("kind")
     )
-    kept = ["source_id", "source_object_id", "event_date", "date_from", "date_to", "session", "category", "page", "citation_json", "review_status", "raw_fields_json"]
+    kept = ["source_id", "source_object_id", "event_date", "date_from", "date_to", "session", "category", "page", "citation_json", "review_status", "raw_fields_json", "parsed_fields_json"]
     return records.normalized(rows).select("p_partkey", *kept)
 
 

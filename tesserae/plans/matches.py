@@ -9,7 +9,7 @@ from tesserae.plans.registry import query
 from tesserae.sources.tables import table
 
 _PEOPLE = """WITH people AS (
-  SELECT 'p' || p_partkey::VARCHAR AS id, p_brand AS source, p_name AS name FROM part
+  SELECT 'p' || p_partkey::VARCHAR AS id, p_brand AS source, CASE WHEN p_size <> 17 THEN p_name WHEN p_partkey % 2 = 0 THEN '17' END AS name FROM part
 ), folded AS (
   SELECT id, source, trim(regexp_replace(lower(strip_accents(name)), '[^\\p{L}]+', ' ', 'g')) AS name FROM people
 ), worded AS (
@@ -23,7 +23,8 @@ keys AS (
 
 def _people(spark, sf):
     """All parts by name; listings of one brand with one name are one person, so pairs grow with the names, not the rows."""
-    return table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("source"), F.col("p_name").alias("name"))
+    name = F.when(F.col("p_size") != 17, F.col("p_name")).when(F.col("p_partkey") % 2 == 0, "17")  # some have no name, some one without letters
+    return table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("source"), name.alias("name"))
 
 
 @query(_PEOPLE + """ SELECT l.id AS "left", r.id AS "right", min(l.signal) AS signal FROM keys l JOIN keys r ON l.signal = r.signal AND l.key = r.key AND l.id < r.id GROUP BY 1, 2""")
@@ -32,11 +33,17 @@ def name_candidates(spark, sf):
 
 
 @query(_PEOPLE + """, pairs AS (SELECT l.id AS a, r.id AS b, min(l.signal) AS signal FROM keys l JOIN keys r ON l.signal = r.signal AND l.key = r.key AND l.id < r.id GROUP BY 1, 2),
-found AS (SELECT id, count(*) AS candidates, min(signal) AS best FROM (SELECT a AS id, signal FROM pairs UNION ALL SELECT b, signal FROM pairs) GROUP BY 1)
-SELECT id, coalesce(candidates, 0) AS candidates, CASE WHEN candidates IS NULL THEN 'no-candidate' WHEN candidates > 1 OR best = 3 THEN 'ambiguous' ELSE 'candidate' END AS outcome FROM people LEFT JOIN found USING (id)""")
+found AS (SELECT id AS "group", count(*) AS candidates, min(signal) AS best FROM (SELECT a AS id, signal FROM pairs UNION ALL SELECT b, signal FROM pairs) GROUP BY 1),
+grouped AS (SELECT p.id, w.ordered IS NOT NULL AS named, coalesce(one.id, p.id) AS "group" FROM people p LEFT JOIN worded w ON w.id = p.id LEFT JOIN one ON one.source = w.source AND one.ordered = w.ordered)
+SELECT id, "group", coalesce(candidates, 0) AS candidates,
+  CASE WHEN NOT named THEN 'unknown' WHEN candidates IS NULL THEN 'no-candidate' WHEN candidates > 1 OR best = 3 THEN 'ambiguous' ELSE 'candidate' END AS outcome FROM grouped LEFT JOIN found USING ("group")""")
 def candidate_outcome(spark, sf):
-    people = _people(spark, sf)
-    return matching.candidate_outcome(people, matching.name_candidates(people, "id", "name", "source"), "id")
+    return matching.candidate_outcome(_people(spark, sf), "id", "name", "source")
+
+
+@query(_PEOPLE + """ SELECT p.id, coalesce(one.id, p.id) AS "group", one.name FROM people p LEFT JOIN worded w ON w.id = p.id LEFT JOIN one ON one.source = w.source AND one.ordered = w.ordered""")
+def name_groups(spark, sf):
+    return matching.name_groups(_people(spark, sf), "id", "name", "source")
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2), r AS (SELECT o_orderkey, count(*) AS n FROM orders GROUP BY 1)

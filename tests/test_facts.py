@@ -79,10 +79,14 @@ def test_normalised_columns_take_the_first_place_with_a_value(spark):
         ({"sha256": SHA, "citation": {"page": 4}}, {}, {"source": {"acquisition_id": "q"}, "owner_review_status": "done"}, "source"),
         ({"daily": {"x": 1}, "ranking": {"y": 2}, "name": "n"}, {}, {"source_sha256": SHA, "event_title_calendar": "t"}, "relationship"),
         ({}, {}, {}, "candidate_position"),
+        ({"parsed_fields": {"b": {"value": [1, {"z": 1, "a": 2}]}, "a": {"raw": "x"}, "c\"": 3, "d": {"value": None}}}, {}, {}, "other"),
+        ({"parsed_fields": {"b": {"raw": 1}, "a": 2.5}}, {}, {}, "other"),
+        ({"parsed_fields": [1]}, {}, {}, "other"),
     ]
     df = spark.createDataFrame([(*map(json.dumps, r[:3]), r[3]) for r in rows], "obj string, parent string, root string, kind string")
     df = df.select(*(F.parse_json(c).alias(c) for c in ("obj", "parent", "root")), "kind")
-    a, b, c, d = records.normalized(df).collect()
+    a, b, c, d, *parsed = records.normalized(df).collect()
+    assert [p.parsed_fields_json for p in parsed] == ['{"a":null,"b":[1,{"a":2,"z":1}],"c\\"":3,"d":null}', '{"a":2.5,"b":{"raw":1}}', "{}"]
     assert (a.date_from, a.date_to, a.event_date, a.date_scope_json) == ("2026-01-01", "b", None, '["a","b"]')
     assert (a.source_object_id, a.discipline, json.loads(a.session), a.raw_fields_json) == ("sha256:" + SHA, "DNF", {"a": 2, "b": 1}, '{"Discipline":{"value":"DNF"}}')
     assert (b.source_object_id, b.acquisition_id, b.page, b.citation_json, b.review_status) == ("sha256:" + SHA, "q", 4, '{"page":4}', "done")

@@ -61,8 +61,9 @@ def test_name_candidates(spark):
     people = spark.createDataFrame([("1", "s", "José Pérez"), ("2", "t", "PEREZ jose"), ("3", "t", "Jose Pérez Luna"), ("4", "t", "Bo Li"), ("5", "u", None), ("6", "s", "Perez José")], "id string, source string, name string")
     pairs = {(r["left"], r["right"]): r["signal"] for r in matching.name_candidates(people, "id", "name", "source").collect()}
     assert pairs == {("1", "2"): 2, ("1", "3"): 3, ("2", "3"): 3}
-    outcome = {r["id"]: r["outcome"] for r in matching.candidate_outcome(people, matching.name_candidates(people, "id", "name", "source"), "id").collect()}
-    assert outcome["4"] == "no-candidate" and outcome["3"] == "ambiguous"
+    found = {r["id"]: tuple(r)[1:] for r in matching.candidate_outcome(people, "id", "name", "source").collect()}
+    assert found["4"] == ("4", 0, "no-candidate") and found["3"] == ("3", 2, "ambiguous") and found["5"] == ("5", 0, "unknown")
+    assert found["1"] == found["6"] == ("1", 2, "ambiguous")  # members share their group's outcome
 
 
 def test_names_fold_as_written(spark):
