@@ -11,20 +11,26 @@ three tests are made:
 * runs: neighbours that lie in different halves of the alphabet, an exact binomial count;
 * serial correlation of neighbours, by its exact mean and small-sample variance.
 
-Each test gives two p-values: against randomness, and against ordinary text (symbols coincide with an encoding's ``chance``;
-neighbours change halves with chance ``CHANGE`` at most; correlation of ``CORRELATION`` or more). Fisher's method combines the
-three of a kind (the two of order count as one): ``p_random`` and ``p_text``. A token that the battery leaves as possibly random (``p_random`` at ``ALPHA`` or
-more) is a candidate, and ``p_text``, how unlikely ordinary text is to pass all three tests so well, is held to
-Benjamini-Hochberg at ``RATE`` over all tokens of the corpus within each length class. The class thresholds come from a
-histogram of fixed size (``BINS`` rows a class), summed before the shuffle.
+Each test gives a p-value against randomness; Fisher's method combines the three (the two of order count as one) to
+``p_random``. A token that the battery leaves as possibly random (``p_random`` at ``ALPHA`` or more) is a candidate. How far it stands from
+ordinary text is a sum of normal scores of the same tests on what ordinary text does to an alphabet: uniformity over
+character classes, over letters and over vowels; runs of character classes, and of vowels against consonants. Random tokens
+score 0 on average, whatever their length; names made of words score 10 and more.
+
+What ordinary tokens score is learnt from the corpus itself: in each encoding and length class the scores of all distinct
+tokens that are judged are a mixture of random ones, whose distribution is known, and of ordinary ones, whose mean and
+spread are fitted (``fitted_limit``). The tail of the fitted part is the p-value of Benjamini-Hochberg at ``RATE`` over those tokens.
+Only a histogram of fixed size (``BINS`` rows a class) reaches the driver.
 
 Spans are located, cut out and replaced in blocks of ``BLOCK``, so that a text with very many of them stays cheap.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,31 +48,33 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Letters in the order of their use in ordinary text.
 _LOWER, _DIGITS = "etaoinshrdlcumwfgypbvkjxqz", "0123456789"
 _UPPER = _LOWER.upper()
-#: Encodings in the order they are tried: name, what the token must match, alphabet, and the chance that two symbols
-#: of ordinary text in that alphabet are equal.
+#: Encodings in the order they are tried: name, what the token must match, alphabet, and what names made of words score
+#: in it, as a multiple of the root of their length (where the corpus has too few tokens to tell).
 ENCODINGS = (
-    ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", _DIGITS + "abcdef", 0.1),
-    ("upper hex", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", _DIGITS + "ABCDEF", 0.1),
-    ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", _UPPER + "234567", 0.065),
-    ("base62", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9]+$", _LOWER + _DIGITS + _UPPER, 0.065),
-    ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+$", _LOWER + _DIGITS + _UPPER + "+/", 0.065),
-    ("base64url", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+$", _LOWER + _DIGITS + _UPPER + "-_", 0.065),
-    ("base36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", _LOWER + _DIGITS, 0.065),
+    ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", _DIGITS + "abcdef", 1.5),
+    ("upper hex", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", _DIGITS + "ABCDEF", 1.5),
+    ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", _UPPER + "234567", 1.65),
+    ("base62", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9]+$", _LOWER + _DIGITS + _UPPER, 2.2),
+    ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+$", _LOWER + _DIGITS + _UPPER + "+/", 2.2),
+    ("base64url", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+$", _LOWER + _DIGITS + _UPPER + "-_", 2.2),
+    ("base36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", _LOWER + _DIGITS, 2.0),
 )
 #: What is cut out of a run: stretches of an encoding's alphabet, with the padding at the run's end.
 STRETCHES = tuple(r"[" + c + r"]{20,}(?:=+$)?" for c in ("0-9a-f", "0-9A-F", "A-Z2-7", "A-Za-z0-9", "A-Za-z0-9+/", "A-Za-z0-9_-", "a-z0-9"))
 ALPHA = 0.001
 RATE = 0.05
-#: Of ordinary text: the greatest chance that neighbours lie in different halves of the alphabet (camel case changes twice
-#: in a word of six letters), and the least correlation that the serial test takes for order.
-CHANGE, CORRELATION = 0.35, 0.25
 #: Longest token whose runs are counted exactly; beyond it the binomial is normal to many digits.
 EXACT = 256
 BLOCK = 256
 #: Length classes, by least length.
 CLASSES = (20, 24, 32, 48, 96)
-#: p_text is binned by its logarithm, 10 bins a power of ten.
-BINS = 600
+#: Scores are binned to a tenth, from -10 up to BINS / 10 - 10.
+BINS = 700
+#: The spread of ordinary scores where nothing else is known, and the spread of random ones (in hex alphabets, which have no vowels).
+SPREAD, RANDOM_SPREAD, HEX_SPREAD = 2.6, 2.7, 2.0
+#: What is known beforehand weighs like so many ordinary tokens; the fitted spread is widened by so much, since tails of names are not normal.
+PRIOR, WIDER = 20.0, 1.15
+_VOWEL, _CONSONANT = "aeiouy", "b-df-hj-np-tv-xz"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -124,16 +132,46 @@ def _fisher(uniformity: Column, runs: Column, serial: Column) -> Column:
 
 
 def _encoding(token: Column) -> Column:
-    """(alphabet, chance) of the token's encoding; null where it is ordinary letters or a mixture."""
-    out = F.lit(None).cast("struct<alphabet:string,chance:double>")
-    for _, pattern, alphabet, chance in reversed(ENCODINGS):
-        out = F.when(token.rlike(pattern), F.struct(F.lit(alphabet).alias("alphabet"), F.lit(chance).alias("chance"))).otherwise(out)
+    """(place, alphabet, shares of lower case, upper case, digits and others in it) of the token's encoding; null where it is
+    ordinary letters or a mixture."""
+    out = F.lit(None).cast("struct<place:int,alphabet:string,shares:array<double>>")
+    for place, (_, pattern, alphabet, _) in reversed(list(enumerate(ENCODINGS))):
+        kinds = [sum(map(f, alphabet)) for f in (str.islower, str.isupper, str.isdigit)]
+        shares = F.array(*(F.lit(n / len(alphabet)) for n in (*kinds, len(alphabet) - sum(kinds))))
+        out = F.when(token.rlike(pattern), F.struct(F.lit(place).alias("place"), F.lit(alphabet).alias("alphabet"), shares.alias("shares"))).otherwise(out)
     return out
 
 
+def _score(token: Column, encoding: Column) -> Column:
+    """How far a token stands from random symbols towards ordinary text; the sum of three scores in hex alphabets, of five in others."""
+    count = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
+    n, shares, hexadecimal = F.char_length(token).cast("double"), encoding["shares"], encoding["place"] < 2
+    seen = F.array(*(count(token, c) for c in ("[a-z]", "[A-Z]", "[0-9]", "[+/_-]")))
+    cells = F.filter(F.zip_with(seen, shares, lambda x, p: F.struct(x.alias("x"), p.alias("p"))), lambda c: c["p"] > 0)
+    classes = F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.pow(c["x"] - n * c["p"], 2) / (n * c["p"]))
+    freedom = F.size(cells).cast("double") - 1
+
+    letters = F.when(hexadecimal, F.lower(token)).otherwise(F.lower(F.regexp_replace(token, "[^A-Za-z]", "")))
+    symbols = F.split(F.when(hexadecimal, F.lit(_DIGITS + "abcdef")).otherwise(F.lit(_LOWER)), "")
+    k = F.size(symbols).cast("double")
+    even = lambda m, s: F.when(m > 1, _gamma_z(k * s / m - m, k - 1, 2 * (k - 1) * (m - 1) / m)).otherwise(0.0)
+    squares = lambda text: F.aggregate(F.transform(symbols, lambda c: F.char_length(text) - F.char_length(F.replace(text, c, F.lit("")))), F.lit(0.0), lambda a, c: a + c.cast("double") * c)
+    alike = F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * p)
+    binomial = lambda x, trials, chance: F.when(trials > 0, (x - trials * chance) / F.sqrt(trials * chance * (1 - chance))).otherwise(0.0)
+    turns = count(token, "[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])|[+/_-](?=[^+/_-])")
+    vowels = len(_VOWEL) / 26
+
+    def spoken(text: Column) -> Column:
+        pairs = count(token, "[A-Za-z](?=[A-Za-z])")
+        swaps = count(token, f"(?i)[{_VOWEL}](?=[{_CONSONANT}])|[{_CONSONANT}](?=[{_VOWEL}])")
+        return binomial(count(text, f"[{_VOWEL}]"), F.char_length(text).cast("double"), F.lit(vowels)) + binomial(swaps, pairs, F.lit(2 * vowels * (1 - vowels)))
+
+    return _gamma_z(classes, freedom, 2 * freedom) - binomial(turns, n - 1, 1 - alike) + _let(letters, lambda t: even(F.char_length(t).cast("double"), squares(t)) + F.when(hexadecimal, 0.0).otherwise(spoken(t)))
+
+
 def _tests(token: Column, encoding: Column) -> Column:
-    """(p_random, p_text) of a token in its encoding."""
-    alphabet, chance = encoding["alphabet"], encoding["chance"]
+    """(p_random, score, place) of a token in its encoding."""
+    alphabet = encoding["alphabet"]
     n, k = F.char_length(token).cast("double"), F.char_length(alphabet).cast("double")
     letters = F.split(alphabet, "")
     squares = F.aggregate(F.transform(letters, lambda c: F.char_length(token) - F.char_length(F.replace(token, c, F.lit("")))), F.lit(0.0), lambda a, c: a + c.cast("double") * c)
@@ -150,24 +188,17 @@ def _tests(token: Column, encoding: Column) -> Column:
 
     def combined(s: Column, changes: Column, r: Column) -> Column:
         width = (n - 2) / (n * F.sqrt(n - 1))
-        uniform = _tail(_gamma_z(k * s / n - n, k - 1, 2 * (k - 1) * (n - 1) / n))
+        # symbols in more even shares than chance gives (alphabets written out, counters) are not random either
+        uniform = _let(_tail(_gamma_z(k * s / n - n, k - 1, 2 * (k - 1) * (n - 1) / n)), lambda p: F.when(1 - p < ALPHA, 1 - p).otherwise(p))
         even = _binomial(changes, n - 1, 0.5)
         serial = 2 * _tail(F.abs(r + 1 / n) / width)
-        # the same three against ordinary text: too few coincidences, too many changes, too little correlation
-        coincidence = (s - n) / (n * (n - 1))
-        spread = 2 * chance * (1 - chance) / (n * (n - 1)) + chance * chance / n
-        uneven = _tail(-_gamma_z(coincidence, chance, spread))
-        loose = _tail((CORRELATION - F.abs(r)) / width) - _tail((CORRELATION + F.abs(r)) / width)
-        return F.struct(
-            _fisher(uniform, _let(even, lambda e: 2 * F.least(e["low"], e["high"])), serial).alias("p_random"),
-            _fisher(uneven, _binomial(changes, n - 1, CHANGE)["high"], loose).alias("p_text"),
-        )
+        return F.struct(_fisher(uniform, _let(even, lambda e: 2 * F.least(e["low"], e["high"])), serial).alias("p_random"), _score(token, encoding).alias("score"), encoding["place"].alias("place"))
 
     return _let(squares, lambda s: _let(codes, lambda v: judged(s, v)))
 
 
 def _tested(token: Column) -> Column:
-    """(p_random, p_text) of a token, null where it has no encoding; padding at the end does not count."""
+    """(p_random, score, place) of a token, null where it has no encoding; padding at the end does not count."""
     return _let(F.rtrim(token, F.lit("=")), lambda t: _let(_encoding(t), lambda e: F.when(e.isNotNull() & (F.char_length(t) >= CLASSES[0]), _tests(t, e))))
 
 
@@ -178,27 +209,70 @@ def _class(length: Column) -> Column:
     return out
 
 
-def _bin(p: Column) -> Column:
-    return F.least(F.lit(BINS), F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-60)))).cast("int"))
+def _bin(score: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor(10 * (score + 10)))).cast("int")
+
 
+def fitted_limit(bins: dict[int, int], candidates: dict[int, int], mean: float, random: float, rate: float = RATE) -> int | None:
+    """The greatest bin whose candidates Benjamini-Hochberg reports, None if it reports none.
 
-def thresholds(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
-    """For each length class the least bin of p_text that Benjamini-Hochberg rejects, over all tokens of all texts."""
-    runs = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))).alias("run"))
-    tokens = runs.select(F.explode(_tokens(F.col("run"))["token"]).alias("token"))
+    ``bins`` counts all judged tokens by score, ``candidates`` those that may be random; ``mean`` is what ordinary tokens are expected
+    to score, ``random`` the spread of random ones (about 0). Ordinary scores are taken as normal; their mean and spread are
+    fitted by expectation maximisation, with PRIOR tokens of the expected kind added. Tokens beyond their mean are ordinary
+    however far they lie.
+    """
+    if not bins:
+        return None
+    known = mean + SPREAD * np.linspace(-2.5, 2.5, 21)
+    weight = np.exp(-(((known - mean) / SPREAD) ** 2) / 2)
+    places = sorted(bins)
+    score, count = np.array(places) / 10 - 9.95, np.array([bins[b] for b in places], np.float64)
+    x, c = np.concatenate([score, known]), np.concatenate([count, PRIOR * weight / weight.sum()])
+    seen = np.arange(len(x)) < len(score)
+    centre, spread, share = mean, SPREAD, 0.5
+    for _ in range(200):
+        drawn = share * np.exp(-((x / random) ** 2) / 2) / random
+        plain = (1 - share) * np.exp(-(((x - centre) / spread) ** 2) / 2) / spread
+        ordinary = np.where(seen, plain / np.maximum(drawn + plain, 1e-300), 1.0)
+        ordinary = np.where(seen & (x < -2 * random), 0.0, np.where(x > centre, 1.0, ordinary)) * c
+        centre = (ordinary * x).sum() / ordinary.sum()
+        spread = max(1.5, float(np.sqrt((ordinary * (x - centre) ** 2).sum() / ordinary.sum())))
+        share = float(np.clip(1 - ordinary[seen].sum() / count.sum(), 1e-6, 1 - 1e-6))
+    limit, rank = None, 0
+    for b, s in zip(places, score, strict=True):
+        rank += candidates.get(b, 0)
+        tail = math.erfc((centre - s) / (WIDER * spread) / math.sqrt(2)) / 2
+        if candidates.get(b, 0) and tail * count.sum() <= rate * rank:
+            limit = b
+    return limit
+
+
+def thresholds(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, int], int]:
+    """For each encoding (its place) and length class the greatest bin of scores that is reported, over all distinct tokens that
+    ``with_spans`` judges in all texts."""
+    judged = _judged(docs.select(F.col(f"`{text_col}`").alias("text")), "text").select(F.explode("__runs").alias("run"))
+    tokens = judged.select(F.explode(_tokens(F.col("run"))["token"]).alias("token")).distinct()
     tested = tokens.select(_class(F.char_length(F.rtrim("token", F.lit("=")))).alias("least"), _tested(F.col("token")).alias("t")).where("t is not null")
-    counts = tested.groupBy("least", F.when(F.col("t.p_random") >= ALPHA, _bin(F.col("t.p_text"))).otherwise(-1).alias("bin")).count().collect()
+    counts = tested.groupBy("t.place", "least", _bin(F.col("t.score")).alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("t.p_random") >= ALPHA).alias("candidates")).collect()
     out = {}
-    for least in CLASSES:
-        bins = {r["bin"]: r["count"] for r in counts if r["least"] == least}
-        total, rank = sum(bins.values()), 0
-        for b in sorted((b for b in bins if b >= 0), reverse=True):
-            rank += bins[b]
-            if 10 ** (-b / 10) <= RATE * rank / total:
-                out[least] = b
+    for place, least in {(r["place"], r["least"]) for r in counts}:
+        own = [r for r in counts if (r["place"], r["least"]) == (place, least)]
+        ends = dict(zip(CLASSES, (*CLASSES[1:], 2 * CLASSES[-1]), strict=True))
+        mean = ENCODINGS[place][3] * math.sqrt((least + ends[least]) / 2)
+        limit = fitted_limit({r["bin"]: r["n"] for r in own}, {r["bin"]: r["candidates"] for r in own if r["candidates"]}, mean, HEX_SPREAD if place < 2 else RANDOM_SPREAD)
+        if limit is not None:
+            out[place, least] = limit
     return out
 
 
+def _judged(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``__runs``, the runs of token characters outside base spans, and ``__rest``, the text with base spans blanked."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    blanks = F.zip_with(F.split(text, ANY_BASE), F.concat(F.regexp_extract_all(text, F.lit(ANY_BASE), F.lit(0)), F.array(F.lit(""))), lambda gap, m: F.concat(gap, F.repeat(F.lit(" "), F.char_length(m))))
+    out = docs.withColumn("__rest", F.when(text.rlike(ANY_BASE), F.array_join(blanks, "")).otherwise(text))
+    return out.withColumn("__runs", F.regexp_extract_all("__rest", F.lit(TOKEN), F.lit(0)))
+
+
 def _blocks(array: Column) -> Column:
     """An array in parts of BLOCK elements; no part of an empty one."""
     return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / BLOCK).cast("int")), lambda b: F.slice(array, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.slice(F.array(array), 1, 0))
@@ -258,22 +332,26 @@ def _united(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), step)
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", bins: dict[int, int] | None = None) -> DataFrame:
+def with_spans(docs: DataFrame, text_col: str = "text", bins: dict[tuple[int, int], int] | None = None) -> DataFrame:
     """``docs`` with ``__spans``: array of (start, kind, end), kind the place in ``KINDS``, in order of start and kind.
 
     Base spans are leftmost and do not overlap within a kind; random spans are those tokens outside of base spans that pass
-    the battery, tokens that overlap as one span. Null texts have none. ``bins`` are the class thresholds (by default those
-    of ``docs``).
+    the battery, tokens that overlap as one span. Null texts have none. ``bins`` are the limits by encoding and length
+    class (by default those of ``docs``).
     """
     bins = thresholds(docs, text_col) if bins is None else bins
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 
     def random(token: Column) -> Column:
         least = _class(F.char_length(F.rtrim(token, F.lit("="))))
-        limit = F.lit(None).cast("int")
-        for c, b in bins.items():
-            limit = F.when(least == c, b).otherwise(limit)
-        return F.coalesce(_let(_tested(token), lambda t: (t["p_random"] >= ALPHA) & (_bin(t["p_text"]) >= limit)), F.lit(False))
+
+        def limit(place: Column) -> Column:
+            out = F.lit(None).cast("int")
+            for (p, c), b in bins.items():
+                out = F.when((place == p) & (least == c), b).otherwise(out)
+            return out
+
+        return F.coalesce(_let(_tested(token), lambda t: (t["p_random"] >= ALPHA) & (_bin(t["score"]) <= limit(t["place"]))), F.lit(False))
 
     kinds = (
         (ASSIGN, lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= VALUE_LENGTH),
@@ -284,9 +362,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", bins: dict[int, int] | N
     out = docs.withColumns({f"__found{i}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for i, (p, _) in enumerate(kinds)})
     spans = [F.when(F.size(f"__found{i}") > 0, _located(F.col(f"__found{i}"), F.split(text, p), keep, i)) for i, (p, keep) in enumerate(kinds)]
     out = out.withColumn("__base", F.array_sort(F.concat(*(F.coalesce(x, none) for x in spans))))
-    blanks = F.zip_with(F.split(text, ANY_BASE), F.concat(F.regexp_extract_all(text, F.lit(ANY_BASE), F.lit(0)), F.array(F.lit(""))), lambda gap, m: F.concat(gap, F.repeat(F.lit(" "), F.char_length(m))))
-    out = out.withColumn("__rest", F.when(F.size("__base") > 0, F.array_join(blanks, "")).otherwise(text))
-    out = out.withColumn("__runs", F.regexp_extract_all("__rest", F.lit(TOKEN), F.lit(0)))
+    out = _judged(out, text_col)
     places = _located(F.col("__runs"), F.split("__rest", TOKEN), lambda m: F.lit(True), 3)
     shifted = lambda run, s: F.struct((run["start"] + s["start"]).alias("start"), s["kind"].alias("kind"), (run["start"] + s["end"]).alias("end"))
     added = F.flatten(F.zip_with(places, "__runs", lambda run, body: _united(F.transform(F.filter(_tokens(body), lambda s: random(s["token"])), lambda s: shifted(run, s)))))

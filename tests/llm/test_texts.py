@@ -75,12 +75,16 @@ def test_battery_is_calibrated(spark):
     from pyspark.sql import functions as F
 
     rng = random.Random(1)
-    for _, _, alphabet, chance in secrets.ENCODINGS[::2]:
-        encoding = F.struct(F.lit(alphabet).alias("alphabet"), F.lit(chance).alias("chance"))
+    for place, (_, _, alphabet, _) in list(enumerate(secrets.ENCODINGS))[::2]:
+        kinds = [sum(map(f, alphabet)) for f in (str.islower, str.isupper, str.isdigit)]
+        shares = [n / len(alphabet) for n in (*kinds, len(alphabet) - sum(kinds))]
+        encoding = F.struct(F.lit(place).alias("place"), F.lit(alphabet).alias("alphabet"), F.array(*map(F.lit, shares)).alias("shares"))
         rows = [("".join(rng.choice(alphabet) for _ in range(n)), n) for n in (20, 44) for _ in range(1500)]
         tested = spark.createDataFrame(rows, "t string, n int").select("n", secrets._tests(F.col("t"), encoding).alias("p"))
-        for r in tested.groupBy("n").agg(*(F.avg((F.col("p.p_random") <= a).cast("int")).alias(f"a{i}") for i, a in enumerate((0.01, 0.05)))).collect():
+        scores = (F.avg("p.score").alias("mean"), F.stddev("p.score").alias("spread"))
+        for r in tested.groupBy("n").agg(*(F.avg((F.col("p.p_random") <= a).cast("int")).alias(f"a{i}") for i, a in enumerate((0.01, 0.05))), *scores).collect():
             assert r["a0"] < 0.02 and 0.02 < r["a1"] < 0.06
+            assert abs(r["mean"]) < 0.3 and abs(r["spread"] - (secrets.HEX_SPREAD if place < 2 else secrets.RANDOM_SPREAD)) < 0.25
 
 
 def test_tails_are_exact(spark):
@@ -109,6 +113,99 @@ def test_text_of_very_many_spans(spark):
     assert one == " ".join("[REDACTED] [REDACTED] x" for _ in range(3000)) + " end"
 
 
+WORDS = (
+    "get set user list table name value index count total query order entry parser reader writer buffer stream cache block shard task stage broker topic offset commit header footer column vector matrix tensor "
+    "kernel module class object method field record schema catalog session context config option filter select insert update delete upsert merge window frame group join left right inner outer hash sort range scan "
+    "file path folder bucket region zone host port proxy client server socket channel packet frame retry timeout error warning status state event listener handler callback future promise thread worker pool queue stack "
+    "heap tree node edge graph path cycle weight score metric gauge timer clock date year month week day hour minute second zone locale language country city street number price amount invoice account balance customer"
+).split()
+
+
+def named(rng, form, low, high):
+    """A name of several words and a number, as code and configuration write them."""
+    while True:
+        words = [rng.choice(WORDS) for _ in range(rng.randint(2, 8))]
+        n = str(rng.randint(1, 999))
+        name = {
+            "camel": "".join(w.title() for w in words) + n, "lower camel": words[0] + "".join(w.title() for w in words[1:]) + n, "number inside": words[0].title() + n + "".join(w.title() for w in words[1:]),
+            "lower": "".join(words) + n, "upper": "".join(words).upper() + "2" * len(n), "snake": "_".join(w.title() for w in words) + "_" + n, "path": "/".join(w.title() for w in words) + "/" + n,
+        }[form]
+        if low <= len(name) <= high:
+            return name
+
+
+@pytest.mark.parametrize("form", ["camel", "lower camel", "number inside", "lower", "upper", "snake", "path"])
+@pytest.mark.parametrize("low,high", [(20, 23), (24, 31), (32, 47)])
+def test_false_discoveries_stay_below_the_rate(spark, form, low, high):
+    """3,000 names and 20 random values; with 3,000 hex values beside them, which base spans take; and names alone."""
+    import random
+    import string
+
+    rng = random.Random(f"{form} {low}")
+    letters = {"lower": string.ascii_lowercase + string.digits, "upper": string.ascii_uppercase + "234567"}.get(form, string.ascii_letters + string.digits)
+    names = sorted({named(rng, form, low, high) for _ in range(3000)})
+    values = ["".join(rng.choice(letters) for _ in range(rng.randint(low, high))) for _ in range(20)]
+    shares = {}
+    for case, drawn, more in (("few", values, []), ("beside hex", values, ["".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(24, 31))) for _ in range(3000)]), ("none", [], [])):
+        rows = [(f"see {t} now", k) for k, part in enumerate((names, drawn, more)) for t in part]
+        df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+        hit = [r["doc_id"] for r in secrets.scan(df).where("n_random > 0").select("doc_id").collect()]
+        kinds = [rows[i][1] for i in hit]
+        shares[case] = (kinds.count(0), kinds.count(1), kinds.count(2))
+    assert shares["none"][0] <= 1 and shares["beside hex"] == shares["few"]  # base spans change nothing
+    false, true, _ = shares["few"]
+    assert false <= max(1, 0.05 * (false + true)), shares
+    # what is found: few of the shortest, whose words tell less, most beyond 32 characters
+    assert true >= (4 if high < 24 else 10 if high < 32 else 15) or form in ("upper", "lower", "path", "snake") and true >= (0 if high < 24 else 6), shares
+
+
+def plain_score(token, place):
+    """The score of a token, stated plainly."""
+    from collections import Counter
+
+    alphabet = secrets.ENCODINGS[place][2]
+    kind = lambda c: "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "other"
+    normal = lambda x, mean, variance: ((x / mean) ** (1 / 3) - 1 + variance / (9 * mean * mean)) * 3 * mean / variance**0.5
+    binomial = lambda x, n, p: (x - n * p) / (n * p * (1 - p)) ** 0.5 if n else 0.0
+    n, k = len(token), len(alphabet)
+    shares, seen = Counter(map(kind, alphabet)), Counter(map(kind, token))
+    out = normal(sum((seen[c] - n * x / k) ** 2 / (n * x / k) for c, x in shares.items()), len(shares) - 1, 2 * (len(shares) - 1))
+    out -= binomial(sum(kind(a) != kind(b) for a, b in zip(token, token[1:])), n - 1, 1 - sum((x / k) ** 2 for x in shares.values()))
+    letters = [c for c in token.lower() if place < 2 or c.isalpha()]
+    symbols = 16 if place < 2 else 26
+    m = len(letters)
+    if m > 1:
+        out += normal(symbols * sum(v * v for v in Counter(letters).values()) / m - m, symbols - 1, 2 * (symbols - 1) * (m - 1) / m)
+    if place >= 2:
+        pairs = [(a in "aeiouy") != (b in "aeiouy") for a, b in zip(token.lower(), token.lower()[1:]) if a.isalpha() and b.isalpha()]
+        out += binomial(sum(c in "aeiouy" for c in letters), m, 6 / 26) + binomial(sum(pairs), len(pairs), 2 * 6 / 26 * 20 / 26)
+    return out
+
+
+def test_scores_equal_their_plain_statement(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    tokens = ["".join(rng.choice(alphabet) for _ in range(rng.choice([20, 33, 100]))) for _, _, alphabet, _ in secrets.ENCODINGS for _ in range(40)] + [named(rng, f, 20, 60) for f in ("camel", "lower", "upper", "snake", "path") for _ in range(40)]
+    out = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets._tested(F.col("t")).alias("p")).where("p is not null").collect()
+    assert len(out) > 300 and {r["p"]["place"] for r in out} == set(range(len(secrets.ENCODINGS)))
+    assert all(abs(r["p"]["score"] - plain_score(r["t"], r["p"]["place"])) < 1e-6 for r in out)
+
+
+def test_copies_of_a_token_are_one_hypothesis(spark):
+    """A name that a third of all rows repeat does not change what is found."""
+    import random
+    import string
+
+    rng = random.Random(8)
+    names = [named(rng, "camel", 24, 31) for _ in range(300)]
+    values = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(28)) for _ in range(10)]
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    assert secrets.thresholds(frame(names + values)) == secrets.thresholds(frame(names + values + names[:1] * 3000))
+
+
 def test_random_tokens_are_told_from_words(spark):
     import random
     import string
