@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tesserae.llm import decontaminate, jaccard_join, sharding, suffix_dedup
 from tests.llm import brute
@@ -126,6 +127,51 @@ def test_decontamination(spark, odd, odd_rows, none, prose):
     assert kept.columns == odd.columns and kept.count() == len([i for i, _ in odd_rows if i is None or (i, 1) not in found])
 
 
+def test_unrelated_fingerprints_seldom_meet(spark):
+    """Rows of the index join on random fingerprints are below a tenth of all pairs, and none passes the radius."""
+    n = 600
+    drawn = lambda seed: F.array(*(F.xxhash64("id", F.lit(seed + i)) for i in range(decontaminate.BITS // 64)))
+    prints = spark.range(n).select("id", F.lit(40).alias("n_words"), drawn(0).alias("fingerprint"))
+    items = spark.range(n).select(F.col("id").alias("item_id"), F.lit(40).alias("n_words"), drawn(100).alias("item_print"))
+    rows = decontaminate.met(prints, items)
+    assert rows.count() < n * n / 10
+    assert rows.where(decontaminate._distance(F.col("fingerprint"), F.col("item_print")) <= decontaminate.RADIUS).count() == 0
+
+
+def test_index_finds_all_within_the_radius(spark):
+    import random
+
+    rng = random.Random(4)
+    whole = lambda x: [int(v) for v in np.array([x & (1 << 64) - 1, x >> 64], np.uint64).view(np.int64)]
+    pairs = []
+    for i in range(400):
+        x, d = rng.getrandbits(128), rng.randint(0, decontaminate.RADIUS)
+        pairs.append((i, 40, whole(x), whole(x ^ sum(1 << b for b in rng.sample(range(128), d)))))
+    frame = spark.createDataFrame(pairs, "id long, n_words int, fingerprint array<long>, item_print array<long>")
+    found = decontaminate.met(frame.drop("item_print"), frame.select(F.col("id").alias("item_id"), "n_words", "item_print")).where("id = item_id").select("id").distinct()
+    assert found.count() == 400
+
+
+def test_recall_of_edited_passages(spark, prose):
+    """Passages of invented edits, also with very long words: what is similar by brute force, and what is found of it."""
+    import random
+
+    rng = random.Random(12)
+    items, rows = [], []
+    for i in range(120):
+        words = prose(5000 + i, rng.choice([20, 35, 60])).split()
+        if i % 3 == 0:
+            words[rng.randrange(len(words))] = "y" * rng.randint(20, 90)
+        items.append((i, " ".join(words)))
+        edited = list(words)
+        for _ in range(rng.randint(0, 2)):
+            edited[rng.randrange(len(words))] = "z" * rng.choice([3, 8, 40])
+        rows.append((i, prose(6000 + i, 15) + " " + " ".join(edited) + " " + prose(7000 + i, 15)))
+    wanted = similar(rows, items)
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found <= wanted and len(wanted) > 60 and len(found) >= 0.98 * len(wanted)
+
+
 def test_decontamination_of_edited_beginnings(spark, prose):
     item = prose(170, 40).split()
     long = "https://host.example/" + "x" * 480
