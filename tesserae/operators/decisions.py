@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.reasons import first_reason
-from tesserae.operators.graph import closure, components, key_groups
+from tesserae.operators.graph import components, key_groups, reached
 from tesserae.operators.ledger import latest
 from tesserae.sources.stored import stored
 
@@ -80,19 +80,69 @@ def by_precedence(found: DataFrame, key: str, route: str, order: list[str]) -> D
 
 def effective(decisions: DataFrame, needs: DataFrame, evidence: DataFrame) -> DataFrame:
     """(id, status): accepted decisions stay accepted only while their evidence is there and all they depend on, however
-    far, is accepted; else they are invalidated. Other statuses stay."""
-    reach = closure(needs, "id", "needs")
-    gone = decisions.join(evidence.select("id"), "id", "left_anti").select("id").unionByName(decisions.where("status <> 'accepted'").select("id")).distinct()
-    broken = reach.join(gone.withColumnRenamed("id", "node"), "node", "left_semi").select(F.col("ancestor").alias("id"))
-    bad = broken.unionByName(decisions.join(evidence.select("id"), "id", "left_anti").select("id")).distinct().withColumn("__bad", F.lit(True))
+    far, is accepted; else they are invalidated. Other statuses stay.
+
+    What fails is sent on along dependencies, so the work grows with what is lost, not with all pairs that depend on each other."""
+    bare = decisions.join(evidence.select("id"), "id", "left_anti").select("id")
+    lost = bare.unionByName(decisions.where("status <> 'accepted'").select("id")).select(F.col("id").alias("node"))
+    bad = reached(needs, lost, "needs", "id").select(F.col("node").alias("id"), F.lit(True).alias("__bad"))
     status = F.when((F.col("status") == "accepted") & F.col("__bad"), "invalidated").otherwise(F.col("status"))
     return decisions.join(bad, "id", "left").select("id", status.alias("status"))
 
 
 def impact(decisions: DataFrame, needs: DataFrame, reversed_id) -> DataFrame:
     """Accepted decisions that a reversal of ``reversed_id`` would invalidate."""
-    reach = closure(needs, "id", "needs").where(F.col("node") == F.lit(reversed_id)).select(F.col("ancestor").alias("id"))
-    return decisions.where("status = 'accepted'").join(reach, "id", "left_semi").select("id")
+    start = decisions.sparkSession.range(1).select(F.lit(reversed_id).cast(decisions.schema["id"].dataType).alias("node"))
+    behind = reached(needs, start, "needs", "id").where("steps > 0").select(F.col("node").alias("id"))
+    return decisions.where("status = 'accepted'").join(behind, "id", "left_semi").select("id")
+
+
+def _outcome(broken: Column) -> Column:
+    """materialized, or what keeps a decision from it."""
+    return first_reason(
+        ("reversed", F.col("active") & (F.col("failing").isNotNull() | broken)),
+        ("unresolved", F.col("failing").isNotNull()),
+        ("blocked", broken),
+        otherwise="materialized",
+    )
+
+
+def applied(decisions: DataFrame, needs: DataFrame) -> DataFrame:
+    """(id, outcome, reason) of decisions (id, failing: a reason of its own or null, active: applied before).
+
+    A decision is materialized if neither it nor anything it needs, however far, fails. Else it is reversed if it was
+    applied before; if not, unresolved for a reason of its own, or blocked by what it needs (``dependency-unapproved``). A
+    need that is not listed fails.
+    """
+    missing = needs.join(decisions.select(F.col("id").alias("needs")), "needs", "left_anti").select(F.col("id").alias("node"))
+    own = decisions.where("failing is not null").select(F.col("id").alias("node"))
+    # steps 0 are the failing ones themselves; what lacks a need is as good as one step away
+    behind = reached(needs, own.unionByName(missing), "needs", "id")
+    broken = behind.where("steps > 0").select(F.col("node").alias("id")).unionByName(missing.select(F.col("node").alias("id"))).distinct().withColumn("__broken", F.lit(True))
+    rows = decisions.join(broken, "id", "left").withColumn("__broken", F.coalesce("__broken", F.lit(False)))
+    return rows.select("id", _outcome(F.col("__broken")).alias("outcome"), F.coalesce("failing", F.when(F.col("__broken"), "dependency-unapproved")).alias("reason"))
+
+
+def reapplied(before: DataFrame, decisions: DataFrame, needs: DataFrame, changed: DataFrame) -> DataFrame:
+    """What ``applied`` returns, from its last result ``before`` and the ids (id) of decisions that are new or have changed since,
+    or whose needs have: only these and what needs them, however far, is judged again.
+
+    ``active`` of a decision that has not changed must be as it was.
+    """
+    touched = stored(reached(needs, changed.select(F.col("id").alias("node")), "needs", "id").select(F.col("node").alias("id")), "touched")
+    inner = needs.join(touched, "id", "left_semi")
+    # a need outside of what is touched keeps its outcome: if it is not materialized, it counts as failing
+    standing = before.join(touched, "id", "left_anti")
+    firm = standing.where("outcome = 'materialized'").select(F.col("id").alias("needs")).unionByName(touched.select(F.col("id").alias("needs")))
+    blocked = inner.join(firm, "needs", "left_anti").select("id").distinct()
+    within = inner.join(touched.select(F.col("id").alias("needs")), "needs", "left_semi")
+    own = decisions.join(touched, "id", "left_semi")
+    starts = own.where("failing is not null").select(F.col("id").alias("node")).unionByName(blocked.select(F.col("id").alias("node")))
+    behind = reached(within, starts, "needs", "id").where("steps > 0").select(F.col("node").alias("id"))
+    broken = behind.unionByName(blocked).distinct().withColumn("__broken", F.lit(True))
+    rows = own.join(broken, "id", "left").withColumn("__broken", F.coalesce("__broken", F.lit(False)))
+    again = rows.select("id", _outcome(F.col("__broken")).alias("outcome"), F.coalesce("failing", F.when(F.col("__broken"), "dependency-unapproved")).alias("reason"))
+    return standing.unionByName(again)
 
 
 def stable(rows: DataFrame, links: DataFrame, rule: Column, key: str) -> DataFrame:
@@ -102,7 +152,7 @@ def stable(rows: DataFrame, links: DataFrame, rule: Column, key: str) -> DataFra
     count = kept.count()
     while True:
         lost = links.join(kept.select(F.col(key).alias("needs")), "needs", "left_anti").select(key).distinct()
-        kept = stored(kept.join(lost, key, "left_anti"), "eligible")
+        kept = stored(kept.join(lost, key, "left_anti"), "eligible", kept)
         if (now := kept.count()) == count:
             return rows.join(kept, key, "left_semi")
         count = now

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tesserae.sources.stored import removed, stored
 
+#: So many tables of single rounds are kept before they are merged.
+MERGE = 8
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable by links, for each node that has a link.
@@ -56,21 +61,57 @@ def closure(edges: DataFrame, source: str, target: str, rounds: int = 64) -> Dat
     return reach
 
 
+def reached(edges: DataFrame, starts: DataFrame, source: str, target: str) -> DataFrame:
+    """(node, steps): the nodes of ``starts`` (node) and all that edges lead to from there, with the fewest steps.
+
+    A round follows the edges of the nodes that the round before has found, and no others; rounds are as many as the longest
+    of these ways has steps. Each round is one job; tables of earlier rounds are merged now and then, so that plans stay short.
+    """
+    links = stored(edges.select(F.col(source).alias("node"), F.col(target).alias("next")).where("node is not null and next is not null").distinct(), "links")
+    front = stored(starts.select("node").where("node is not null").distinct().withColumn("steps", F.lit(0).cast("long")), "reached")
+    parts, step = [front], 0
+    while True:
+        step += 1
+        seen = functools.reduce(DataFrame.unionByName, parts)
+        found = Observation()
+        fresh = links.join(front.select("node"), "node", "left_semi").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("steps", F.lit(step).cast("long"))
+        front = stored(fresh.observe(found, F.count("*").alias("n")), "reached")
+        if not found.get["n"]:
+            removed(links)
+            return seen
+        parts.append(front)
+        if len(parts) > MERGE:
+            # the last part is the front of the next round
+            whole = stored(functools.reduce(DataFrame.unionByName, parts[:-1]), "reached")
+            for part in parts[:-1]:
+                removed(part)
+            parts = [whole, front]
+
+
 def waves(nodes: DataFrame, edges: DataFrame, node: str, needs: str, needed: str) -> DataFrame:
     """(node, wave): 0 for nodes that need nothing, else one more than the latest wave they need; nodes on or behind a cycle
-    have a null wave."""
-    left = stored(nodes.select(F.col(node).alias("node")).distinct(), "waiting")
-    links = stored(edges.select(F.col(needs).alias("node"), F.col(needed).alias("needed")).distinct(), "needs")
-    done, wave = None, 0
-    while True:
-        blocked = links.join(left.withColumnRenamed("node", "needed"), "needed", "left_semi").select("node").distinct()
-        ready = stored(left.join(blocked, "node", "left_anti").withColumn("wave", F.lit(wave).cast("long")), "ready")
-        if ready.isEmpty():
-            rest = left.withColumn("wave", F.lit(None).cast("long"))
-            return rest if done is None else done.unionByName(rest)
-        done = ready if done is None else done.unionByName(ready)
-        left = stored(left.join(ready, "node", "left_anti"), "waiting")
-        wave += 1
+    have a null wave, as have nodes that need one that is not listed.
+
+    Each node carries the number of needs that are still open. A wave is one job: it closes needs of the nodes that the last wave
+    has met and writes the nodes anew, replacing the table before.
+    """
+    listed = nodes.select(F.col(node).alias("node")).distinct()
+    links = stored(edges.select(F.col(needs).alias("node"), F.col(needed).alias("needed")).where("node is not null").distinct(), "needs")
+    open_ = links.groupBy("node").agg(F.count("*").alias("open"))
+    wave, ready = 0, Observation()
+    first = listed.join(open_, "node", "left").select("node", F.coalesce("open", F.lit(0).cast("long")).alias("open"))
+    first = first.withColumn("wave", F.when(F.col("open") == 0, F.lit(0).cast("long"))).observe(ready, F.count_if(F.col("wave") == 0).alias("n"))
+    state = stored(first, "waves")
+    while ready.get["n"]:
+        wave, before = wave + 1, wave
+        met = state.where(F.col("wave") == before).select(F.col("node").alias("needed"))
+        closed = links.join(met, "needed", "left_semi").groupBy("node").agg(F.count("*").alias("closed"))
+        ready = Observation()
+        left = F.col("open") - F.coalesce("closed", F.lit(0))
+        now = F.when(F.col("wave").isNull() & (left == 0), F.lit(wave).cast("long")).otherwise(F.col("wave"))
+        state = stored(state.join(closed, "node", "left").select("node", left.alias("open"), now.alias("wave")).observe(ready, F.count_if(F.col("wave") == wave).alias("n")), "waves", state)
+    removed(links)
+    return state.select("node", "wave")
 
 
 def leaks(rows: DataFrame, key: str, split: str) -> DataFrame:
