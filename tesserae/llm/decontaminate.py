@@ -117,7 +117,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     wanted = items.select("n_words", F.inline("shingles")).distinct().join(lightest, "n_words")
     # copies of items count too: the bounds hold for the rows that would be sent
     n_items, n_shingles = items.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
-    near = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    # beyond the bound a shuffle is asked for: Spark's own estimate does not see what explode makes of a small table
+    near = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
 
     # a text is told from others of its id by its hash
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text")).where("doc_id is not null")
