@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.operators.ordering import beside, numbered
+
 
 def reusable(acquisitions: DataFrame, key: str, mime: str, least_bytes: int) -> DataFrame:
     """The newest verified acquisition of each key with the wanted type and size."""
@@ -85,8 +86,9 @@ def accounting(df: DataFrame, *checks: tuple[str, int, Column]) -> DataFrame:
 def agreement_sample(agreed: DataFrame, id_col: str, group: str, seed: str) -> DataFrame:
     """A tenth (rounded up) of each group, those of least sha256(seed:id)."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256)
-    ranked = agreed.withColumn("__r", F.row_number().over(W.partitionBy(group).orderBy(order, id_col))).withColumn("__n", F.count("*").over(W.partitionBy(group)))
-    return ranked.where(F.col("__r") <= F.ceil(F.col("__n") / 10)).drop("__r", "__n")
+    sizes = agreed.groupBy(group).agg(F.count("*").alias("__n"))
+    placed = beside(numbered(agreed.withColumn("__order", order), [group], ["__order", id_col], "__r"), sizes, [group])
+    return placed.where(F.col("__r") <= F.ceil(F.col("__n") / 10)).drop("__r", "__n", "__order")
 
 
 def disagreements(rows: DataFrame, before: list[str], after: list[str], *keys: str) -> DataFrame:

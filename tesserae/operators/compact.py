@@ -3,22 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.operators.graph import components
-from tesserae.sources.stored import stored
-
-
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``rows`` with their place from 1 in an order, without one task that sees them all: ranges of the first column are
-    counted, and a place is the rows of the ranges before plus the place within."""
-    # written once: bounds of ranges are drawn anew each time that they are asked for
-    ranged = stored(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # a row a partition
-    before = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
-    inner = F.row_number().over(W.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn("__inner", inner).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__inner")).drop("__part", "__inner", "__before")
+from tesserae.operators.ordering import numbered
 
 
 def compacted(sources: DataFrame, order: str, tokens: list[str], excerpt: str) -> tuple[DataFrame, DataFrame]:
@@ -34,7 +22,7 @@ def compacted(sources: DataFrame, order: str, tokens: list[str], excerpt: str) -
     linked = components(keyed.join(anchor, "token").select("anchor", "id"), "anchor", "id")
     rows = sources.join(linked.withColumnsRenamed({"node": order, "component": "__linked"}), order, "left").withColumn("dependence", F.coalesce("__linked", order)).drop("__linked")
     first = rows.groupBy("dependence", excerpt).agg(F.min(order).alias("__first"))
-    labelled = numbered(first, ["__first"], "__place").withColumn("label", F.concat(F.lit("s"), F.col("__place").cast("string"))).select("label", "dependence", excerpt)
+    labelled = numbered(first, [], ["__first"], "__place").withColumn("label", F.concat(F.lit("s"), F.col("__place").cast("string"))).select("label", "dependence", excerpt)
     same = rows.alias("r").join(labelled.alias("e"), (F.col("r.dependence") == F.col("e.dependence")) & F.col(f"r.{excerpt}").eqNullSafe(F.col(f"e.{excerpt}")))
     return same.select(*(F.col(f"r.{c}").alias(c) for c in sources.columns if c != excerpt), F.col("e.label").alias("label")), labelled
 

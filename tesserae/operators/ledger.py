@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.operators.ordering import known_before
+
 
 def latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last event of each key by ``order``; no sort of whole keys, a maximum with map-side combine."""
@@ -72,10 +74,9 @@ def running_budget(rows: DataFrame, keys: list[str], order: list[str], amount: s
 def version_history(checks: DataFrame, keys: list[str], order: list[str], digest: str) -> DataFrame:
     """status of each check: gap without a digest, first_version, unchanged_bytes, or changed_bytes against the last known
     digest."""
-    window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    before = F.last(digest, ignorenulls=True).over(window)
+    before = F.col("__known")
     status = F.when(F.col(digest).isNull(), "gap").when(before.isNull(), "first_version").when(F.col(digest) == before, "unchanged_bytes").otherwise("changed_bytes")
-    return checks.withColumn("version_status", status)
+    return known_before(checks, keys, order, digest, "__known").withColumn("version_status", status).drop("__known")
 
 
 def forbidden_transitions(rows: DataFrame, keys: list[str], order: list[str], state: str, allowed: DataFrame) -> DataFrame:

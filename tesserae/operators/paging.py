@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.operators.ordering import numbered
+
 MOST_ROWS, MOST_OFFSET = 100, 100_000
 
 
@@ -41,7 +42,7 @@ def bounded(df: DataFrame, most: int) -> DataFrame:
 
 def queue(df: DataFrame, score: str, *order: str) -> DataFrame:
     """queue_position within ``order[0]``: scored rows ascending, then scoreless ones, ties by the other columns."""
-    return df.withColumn("queue_position", F.row_number().over(W.partitionBy(order[0]).orderBy(F.col(score).isNull(), score, *order[1:])).cast("long"))
+    return numbered(df, [order[0]], [F.asc_nulls_last(score), *order[1:]], "queue_position")
 
 
 def newest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.reasons import reasons, status
 from tesserae.functions.scalars import floor_to
+from tesserae.operators.ordering import beside, numbered, sums_before
 
 #: Points for each whole unit of a discipline's final (static time in seconds, distances in metres).
 INCREMENTS = {"sta": "0.2", "dynamic": "0.5", "depth": "1"}
@@ -26,36 +25,19 @@ def competition_rank(order: Column, *within: str) -> Column:
     return F.rank().over(window).cast("long")
 
 
-#: Ranges that a ranked value is cut into.
-RANGES = 1024
-
-
 def ranked(df: DataFrame, value: str, rank: str, within: tuple[str, ...] = (), descending: bool = True, order: tuple[str, ...] = (), position: str | None = None) -> DataFrame:
-    """``df`` with the competition rank of a numeric ``value`` inside ``within`` (the whole table if that is empty), and with
-    ``position``, a display position whose ties ``order`` breaks. Null values come last and get no rank.
+    """``df`` with the competition rank of a ``value`` inside ``within`` (the whole table if that is empty), and with ``position``, a
+    display position whose ties ``order`` breaks. Null values come last and get no rank.
 
-    No group passes through one task: the span of a group's values is cut into RANGES equal ranges, rows are counted by
-    range, and windows run inside a range only, on top of the number of rows before it.
+    Ranks come from counts: rows are counted by group and value, a value's rank is one more than the rows of better values, and is
+    joined to the rows of that value. Positions come from ranges of the whole order. Neither passes a group through one task.
     """
-    keys = [f"__k{i}" for i in range(len(within))]
-    rows = df.withColumns({k: F.col(c) for k, c in zip(keys, within, strict=True)} | {"__v": F.col(value).cast("double")})
-    spans = rows.groupBy(*(F.col(k).alias(f"{k}_s") for k in keys)).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
-    same = lambda end, *more: functools.reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(k + end)) for k in (*keys, *more)), F.lit(True))
-    joined = rows.join(spans if keys else F.broadcast(spans), same("_s"), "left")  # one row without keys
-    far = F.col("__high") - F.col("__v") if descending else F.col("__v") - F.col("__low")
-    width = F.col("__high") - F.col("__low")
-    bucket = F.when(F.col("__v").isNull(), RANGES + 1).when(width > 0, F.floor(far / width * RANGES)).otherwise(0).cast("int")
-    cut = joined.withColumn("__range", bucket).drop("__low", "__high", *(f"{k}_s" for k in keys))
-    counts = cut.groupBy(*(F.col(k).alias(f"{k}_b") for k in keys), F.col("__range").alias("__range_b")).agg(F.count("*").alias("__n"))
-    running = F.sum("__n").over(W.partitionBy(*(f"{k}_b" for k in keys)).orderBy("__range_b"))
-    before = counts.withColumn("__before", running - F.col("__n")).drop("__n")
-    placed = cut.join(before, same("_b", "__range"), "left").drop("__range_b", *(f"{k}_b" for k in keys))
-    turn = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
-    inner = W.partitionBy(*keys, "__range").orderBy(turn)
-    out = placed.withColumn(rank, F.when(F.col("__v").isNotNull(), F.rank().over(inner).cast("long") + F.col("__before")))
-    if position:
-        out = out.withColumn(position, F.row_number().over(inner.orderBy(turn, *order)).cast("long") + F.col("__before"))
-    return out.drop(*keys, "__v", "__range", "__before")
+    keys = list(within)
+    turn = F.desc_nulls_last if descending else F.asc_nulls_last
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    steps = sums_before(counts, keys, turn(value), "__n", "__better").drop("__n")
+    out = beside(df, steps, [*keys, value]).withColumn(rank, F.when(F.col(value).isNotNull(), (F.col("__better") + 1).cast("long"))).drop("__better")
+    return numbered(out, keys, [turn(value), *order], position) if position else out
 
 
 def global_rank(df: DataFrame, value: str, name: str, descending: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.reasons import reasons
 from tesserae.functions.scalars import canonical_hash, composite_id, first_filled, safe_url
 from tesserae.operators import paging, snapshot
+from tesserae.operators.ordering import numbered
 from tesserae.plans.registry import query
 from tesserae.sources.tables import table
 
@@ -104,10 +105,8 @@ def queue_scored_first(spark, sf):
 
 @query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY coalesce(CASE WHEN o_orderpriority <> '5-LOW' THEN year(o_orderdate) END, 9999), o_orderpriority, o_orderkey) AS place FROM orders""")
 def null_last_order(spark, sf):
-    from pyspark.sql import Window as W
-
     year = F.coalesce(F.when(F.col("o_orderpriority") != "5-LOW", F.year("o_orderdate")), F.lit(9999))
-    return table(spark, sf, "orders").select("o_orderkey", F.row_number().over(W.partitionBy("o_orderstatus").orderBy(year, "o_orderpriority", "o_orderkey")).cast("long").alias("place"))
+    return numbered(table(spark, sf, "orders").withColumn("year", year), ["o_orderstatus"], ["year", "o_orderpriority", "o_orderkey"], "place").select("o_orderkey", "place")
 
 
 @query("SELECT doc_id, lang FROM documents ORDER BY sha256('audit:' || doc_id::VARCHAR), doc_id LIMIT 40")
