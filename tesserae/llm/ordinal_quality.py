@@ -132,9 +132,9 @@ def _numbers(batches):
 def fitted(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The model of ``ratings`` (``doc_id``, ``grade`` from 0 to n_grades - 1), from ``sample`` rated documents at most.
 
-    Ratings with a null in either column are left out. Without any rated document all weights are 0.
+    Ratings with a null in either column, or outside of these grades, are left out. Without any rated document all weights are 0.
     """
-    chosen = ratings.where("doc_id is not null and grade is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
+    chosen = ratings.where(f"doc_id is not null and grade between 0 and {n_grades - 1}").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     rows = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers

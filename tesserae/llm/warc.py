@@ -50,7 +50,8 @@ def plain_text(source: str) -> str:
 
 
 def fields(source: str) -> str:
-    """The title and outlinks as warc-fields."""
+    """The title and outlinks as warc-fields. A link stands as the page writes it, relative ones too (the target URI is
+    beside it); white space in it is collapsed, and an empty href is an empty outlink."""
     title = _TITLE.search(source)
     lines = [f"title: {' '.join(html.unescape(title[1]).split())}"] if title else []
     lines += [f"outlink: {' '.join(html.unescape(m[1] or m[2] or m[3] or '').split())} L a/@href" for m in _LINK.finditer(source)]

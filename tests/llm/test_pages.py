@@ -1,6 +1,11 @@
 """Operators 6 and 9."""
 
+import base64
+import hashlib
+import random
 import re
+import uuid
+from html.parser import HTMLParser
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,6 +70,70 @@ def test_plain_text_and_fields():
     assert warc.plain_text("") == warc.fields("") == "" and warc.plain_text("<script>open") == ""
 
 
+class Reader(HTMLParser):
+    """Text and links of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.links, self.title, self.skipped, self.titled = "", [], None, 0, False
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "template", "noscript"):
+            self.skipped += 1
+        elif tag == "title":
+            self.titled = True
+        elif tag not in warc._INLINE:
+            self.text += "\n"
+        if tag in ("a", "area") and "href" in dict(attrs) and not self.skipped:
+            self.links.append(" ".join((dict(attrs)["href"] or "").split()))
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "template", "noscript"):
+            self.skipped -= 1
+        elif tag == "title":
+            self.titled = False
+        elif tag not in warc._INLINE:
+            self.text += "\n"
+
+    def handle_data(self, data):
+        if self.titled:
+            self.title = (self.title or "") + data
+        elif not self.skipped:
+            self.text += data
+
+
+def read(source):
+    reader = Reader()
+    reader.feed(source)
+    reader.close()
+    lines = [" ".join(re.split(r"[ \t\r\f\v\xa0]+", line)).strip(" ") for line in reader.text.split("\n")]
+    fields = ([f"title: {' '.join(reader.title.split())}"] if reader.title is not None else []) + [f"outlink: {x} L a/@href" for x in reader.links]
+    return "\n".join(x for x in lines if x), "".join(f + "\r\n" for f in fields)
+
+
+def test_derivatives_equal_a_parser(spark):
+    """Every record of the given pages and of invented ones: all columns, from a parser of its own and plain hashes."""
+    rng = random.Random(3)
+    tags = ["<p>", "</p>", "<b>", "</b>", "<div class='x y'>", "</div>", "<br/>", "<a href='/r?a=1&amp;b=2'>", "<a href=''>", "<a href=\" x  y \">", "<A HREF=up.html>", "</a>", "<script>if (a) { b() }</script>", "<style>p {}</style>", "<!-- c -->", "&amp;", "&lt;x&gt;", "&nbsp;", " word ", "é😀", "\n", "\t", "<li>", "<a name=n>"]
+    invented = [(1000 + i, f"http://h/{i}", "<html><head><title>T &amp; " + str(i) + "</title></head><body>" + "".join(rng.choice(tags) for _ in range(rng.randint(0, 60))) + "</body></html>") for i in range(60)]
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html").unionByName(spark.createDataFrame(invented, "page_id long, url string, html string"))
+    out = {(r["page_id"], r["warc_type"]): r.asDict() for r in warc.derivatives(warc.responses(pages)).collect()}
+    rows = pages.collect()
+    assert len(out) == 2 * len(rows)
+    sha1 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    named = lambda *parts: f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(chr(0).join(parts).encode()).digest()[:16], version=4)}>"
+    for page, url, body in rows:
+        payload, date = body.encode(), "1970-01-01T00:00:00Z"
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
+        source = named("response", str(page), url, date, sha1(payload))
+        text, fields = read(body)
+        told = fields + f"source-record: {source}\r\nsource-payload-digest: {sha1(payload)}\r\nsource-block-digest: {sha1(head.encode() + payload)}\r\n" + "".join(f"source-http: {x}\r\n" for x in head.split("\r\n") if x)
+        for kind, block, content in (("metadata", told, "application/warc-fields"), ("conversion", text, "text/plain; charset=utf-8")):
+            own = sha1(block.encode())
+            wanted = (page, kind, named(kind, source, own), source, url, date, head, content, len(block.encode()), own, own, sha1(payload), block)
+            assert tuple(out[page, kind].values()) == wanted
+
+
 def test_derivatives_are_linked_and_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", PAGE), (2, None, "x"), (3, "http://b/", None), (4, "http://c/", ""), (1, "http://a/", PAGE), (5, "http://d/", "é\r\n\r\nWARC/1.1 😀" + "long " * 20000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, block string")

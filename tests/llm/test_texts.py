@@ -1,5 +1,6 @@
 """Operators 1, 3, 4, 7: per-document work."""
 
+import re
 import zlib
 
 import numpy as np
@@ -262,6 +263,58 @@ def test_ordinal_model_orders_grades(prose):
     assert np.mean((tails[:, 0] < 0.5) == (np.array(grades[600:]) == 0)) > 0.9
 
 
+def plain_features(text):
+    """The feature numbers of operator 4, with whole numbers instead of arrays."""
+    from tesserae.llm import textkernel as tk
+
+    mask, table = (1 << 64) - 1, [int(x) for x in tk._BYTE]
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def hashed(word):
+        out, power = 0, 1
+        for b in word:
+            out, power = (out + table[b] * power) & mask, power * tk._BASE & mask
+        return mixed(out)
+
+    data = (text or "").encode()
+    words = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", data)]
+    codes = [h for w in words for h in (hashed(w), hashed(w[:4]) ^ 0x1111, hashed(w[:6]) ^ 0x2222)]
+    out = {(h * 0x9E3779B97F4A7C15 & mask) >> 64 - ordinal_quality.BITS for h in codes}
+    if words:
+        n, size = len(words), len(data)
+        shares = [sum(c in b"#*$%&|<>!" for c in data) / size, sum(65 <= c <= 90 for c in data) / size, sum(48 <= c <= 57 for c in data) / size, sum(a == b for a, b in zip(words, words[1:])) / n, 1 - len(set(words)) / n]
+        extra = [1000 + int(np.log2(n))] + [100 * at + band for at, share in enumerate(shares) for band in range(int(4 * np.log2(1 + 200 * share)) + 1)]
+        out |= {mixed(x) >> 64 - ordinal_quality.BITS for x in extra}
+    return out
+
+
+def test_grades_equal_brute_force(spark, odd, odd_rows, prose):
+    """Expected grades and tails of a fitted model, stated with sets and whole numbers; also on the given documents."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", ordinal_quality.toxicity_grade().alias("grade"))
+    model = ordinal_quality.fitted(docs, labels, 3)
+    assert np.count_nonzero(model.weights) > 50
+    sigmoid = lambda x: 1 / (1 + math.exp(-min(50, max(-50, x))))
+    for table in (docs, odd):
+        for r in ordinal_quality.graded(table.select("doc_id", "text"), model).collect():
+            score = sum(float(model.weights[x]) for x in plain_features(r["text"]))
+            tails = [sigmoid(score - t) for t in model.thresholds]
+            assert abs(r["tail_1"] - tails[0]) < 1e-9 and abs(r["tail_2"] - tails[1]) < 1e-9 and abs(r["expected_grade"] - sum(tails)) < 1e-9
+            assert r["kept"] == (r["tail_2"] >= 0.5)
+
+
+def test_ratings_outside_the_grades_are_left_out(spark, odd):
+    wrong = spark.createDataFrame([(1, 2), (9, 0), (14, 1), (10, 7), (7, -1), (6, None)], "doc_id long, grade int")
+    a, b = (ordinal_quality.fitted(odd, ratings, 3) for ratings in (wrong, wrong.where("grade between 0 and 2")))
+    assert (a.weights == b.weights).all() and (a.thresholds == b.thresholds).all()
+
+
 def test_graded(spark, odd, odd_rows, none):
     ratings = spark.createDataFrame([(1, 2), (9, 0), (14, 1), (None, 1), (10, None)], "doc_id long, grade int")
     model = ordinal_quality.fitted(odd, ratings, 3)
