@@ -23,7 +23,7 @@ def publication_bindings(spark, sf):
     orders = table(spark, sf, "orders")
     sha = lambda *c: F.sha2(F.concat_ws("/", *c), 256)
     own, observed, source, artifact = sha(F.lit("result"), key.cast("string")), sha(F.lit("observation"), key.cast("string")), sha(F.lit("source"), F.col("o_custkey").cast("string")), sha(F.lit("artifact"), F.col("o_custkey").cast("string"))
-    line = (key % 1000).cast("int")
+    line = key.cast("int")
     fact = lambda name: F.struct(F.lit(name).alias("name"), own.alias("result_id"), F.lit("p").alias("policy"), source.alias("source_sha256"), artifact.alias("artifact_sha256"), F.lit(1).alias("page"), F.when(key % 13 == 0, -1).otherwise(line).alias("line"))
     facts = F.when(key % 19 == 0, F.array(*map(fact, exact.FACTS[1:]))).otherwise(F.array(*map(fact, exact.FACTS)))
     reference = [own.alias("result_id"), observed.alias("observation_id"), F.lit(0).alias("ordinal"), source.alias("source_sha256"), artifact.alias("artifact_sha256")]
