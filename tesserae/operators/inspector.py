@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators import eligibility, paging, ranking, sporting
+from tesserae.sources.stored import stored
 
 REFERENCE = ["job_id", "ordinal", "candidate_id", "source_sha256", "artifact_sha256"]
 #: What a claim about an attempt says; an observation without exactly one claim says nothing of it.
@@ -46,7 +47,7 @@ def inspect(observations: DataFrame, claims: DataFrame, scope: eligibility.Scope
     filters = filters or {}
     if set(filters) - set(FILTERS):
         raise ValueError(f"unsupported filters: {sorted(set(filters) - set(FILTERS))}")
-    judged = eligibility.attempt_accounts(bound(observations, claims), scope, REFERENCE)
+    judged = stored(eligibility.attempt_accounts(bound(observations, claims), scope, REFERENCE), "judged")
     facets = judged.agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in FILTERS))
     kept = judged
     for column, value in filters.items():

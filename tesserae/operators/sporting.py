@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.operators.ranking import scope_match
+from tesserae.sources.stored import stored
 from tesserae.sources.versions import BUCKET, Pinned, Store
 
 #: Publication policies under which a result may be shown.
@@ -93,11 +94,12 @@ def sporting_ranks(rows: DataFrame) -> DataFrame:
     spread = rows.select("cohort_id", "score", F.explode(F.array(*(F.struct(F.lit(s).alias("scope"), p.alias("place")) for s, p in known.items()))).alias("at")).select("cohort_id", "score", "at.*")
     counts = spread.where("place is not null and score is not null").groupBy("cohort_id", "scope", "place", "score").agg(F.count("*").alias("n"))
     over = W.partitionBy("cohort_id", "scope", "place")
-    steps = counts.withColumns({"rank": F.sum("n").over(over.orderBy(F.desc("score"))) - F.col("n") + 1, "peers": F.sum("n").over(over)}).drop("n")
+    # distinct scores of each place, read twice for each scope
+    steps = stored(counts.withColumns({"rank": F.sum("n").over(over.orderBy(F.desc("score"))) - F.col("n") + 1, "peers": F.sum("n").over(over)}).drop("n"), "steps")
     out = rows
     for s in SCOPES:
         mine = steps.where(F.col("scope") == s).select("cohort_id", F.col("place").alias("__place"), "score", F.col("rank").alias(f"{s}_rank"))
-        size = steps.where(F.col("scope") == s).select("cohort_id", F.col("place").alias("__place"), F.col("peers").alias(f"{s}_peers")).distinct()
+        size = steps.where(F.col("scope") == s).groupBy("cohort_id", F.col("place").alias("__place")).agg(F.max("peers").alias(f"{s}_peers"))
         out = out.withColumn("__place", known[s]).join(mine, ["cohort_id", "__place", "score"], "left").join(size, ["cohort_id", "__place"], "left")
         out = out.withColumn(f"{s}_peers", F.when(F.col("__place").isNotNull(), F.coalesce(f"{s}_peers", F.lit(0).cast("long")))).drop("__place")
     return out.withColumn("status", F.when(F.col("international_rank").isNotNull(), "ranked").otherwise("withheld"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import scalars
-from tesserae.operators import eligibility, evidence, matching, paging, roster
+from tesserae.operators import eligibility, evidence, inspector, matching, paging, roster
 from tesserae.plans.registry import query
 from tesserae.sources.tables import table
 
@@ -25,18 +25,15 @@ _FILTERED = " OR ".join(f"({condition})" for name, condition in _BROKEN if name
 _REASONS = ", ".join(f"CASE WHEN {condition} THEN '{name}' END" for name, condition in _BROKEN)
 
 
-@query(f"""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_quantity::BIGINT AS q, CASE l_orderkey % 3 WHEN 0 THEN 'CMAS' WHEN 1 THEN 'AIDA' ELSE 'FIPSAS' END AS f FROM lineitem),
-c AS (SELECT *, count(*) OVER (PARTITION BY k, n, p) > 1 AS twice, k % 13 = 0 AND n = 1 AS other FROM a)
-SELECT k AS l_orderkey, n AS l_linenumber, p AS l_partkey, concat_ws(',', {_REASONS}, CASE WHEN twice THEN 'duplicate-reference' END, CASE WHEN other THEN 'non-selected-source-claim' END) AS reasons,
-  CASE WHEN {_FILTERED} THEN 'excluded' WHEN concat_ws(',', {_REASONS}) <> '' OR twice OR other THEN 'withheld' ELSE 'ranked' END AS status FROM c""")
-def attempt_eligibility(spark, sf):
+def _attempts(spark, sf):
+    """Order lines as attempts; each rule of eligibility is broken by some."""
     k = F.col("l_orderkey")
     broken = lambda n, good, bad=None: F.when(k % n != 0, good).otherwise(F.lit(bad).cast("string"))
     federation = F.when(k % 3 == 0, "CMAS").when(k % 3 == 1, "AIDA").otherwise("FIPSAS")
     sha = F.lit("0" * 64)
     quantity = F.col("l_quantity").cast("decimal(12,2)")
-    rows = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", broken(41, "job", " ").alias("job_id"), F.col("l_linenumber").alias("ordinal"), F.lit("c").alias("candidate_id"), sha.alias("source_sha256"), sha.alias("artifact_sha256"),
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", broken(41, "job", " ").alias("job_id"), F.col("l_linenumber").alias("ordinal"), F.lit("c").alias("candidate_id"), sha.alias("source_sha256"), sha.alias("artifact_sha256"),
         federation.alias("federation"), F.lit("2026-06-11").alias("view_id"), (k % 37 != 0).alias("view_selected"), broken(29, "pool", "sea").alias("environment"), broken(61, "official-results").alias("authority"),
         broken(67, "verified-final", "provisional").alias("finality"), broken(71, "eligible").alias("sanction"), F.when(k % 31 != 0, federation).alias("parsed_federation"), broken(43, "2026-06-11", "2025-06-11").alias("event_date"),
         broken(23, "DNF", "DYN").alias("discipline"), broken(19, "SENIORS – WOMEN", "JUNIORS").alias("category"), broken(19, "Women", "Men").alias("gender"), broken(47, "ITA").alias("representation"),
@@ -45,11 +42,40 @@ def attempt_eligibility(spark, sf):
         F.when(F.col("l_quantity") % 7 == 0, quantity + F.lit("0.55").cast("decimal(12,2)")).otherwise(quantity).alias("final_value"), F.when(F.col("l_quantity") != 1, "m").alias("final_unit"),
         F.lit("verified-post-penalty").alias("final_basis"), F.lit(1).alias("final_places"), broken(89, "verified").alias("conversion"),
     )
+
+
+@query(f"""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_quantity::BIGINT AS q, CASE l_orderkey % 3 WHEN 0 THEN 'CMAS' WHEN 1 THEN 'AIDA' ELSE 'FIPSAS' END AS f FROM lineitem),
+c AS (SELECT *, count(*) OVER (PARTITION BY k, n, p) > 1 AS twice, k % 13 = 0 AND n = 1 AS other FROM a)
+SELECT k AS l_orderkey, n AS l_linenumber, p AS l_partkey, concat_ws(',', {_REASONS}, CASE WHEN twice THEN 'duplicate-reference' END, CASE WHEN other THEN 'non-selected-source-claim' END) AS reasons,
+  CASE WHEN {_FILTERED} THEN 'excluded' WHEN concat_ws(',', {_REASONS}) <> '' OR twice OR other THEN 'withheld' ELSE 'ranked' END AS status FROM c""")
+def attempt_eligibility(spark, sf):
+    rows = _attempts(spark, sf)
     key = ["l_orderkey", "l_linenumber", "l_partkey"]
     others = rows.where("l_orderkey % 13 = 0 and l_linenumber = 1").select(*key)
     return eligibility.attempt_accounts(rows, _SCOPE, key, others).select(*key, F.array_join("reasons", ",").alias("reasons"), "status")
 
 
+@query(f"""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_extendedprice AS price, l_quantity AS qty, l_quantity::BIGINT AS q, CASE l_orderkey % 3 WHEN 0 THEN 'CMAS' WHEN 1 THEN 'AIDA' ELSE 'FIPSAS' END AS f FROM lineitem),
+j AS (SELECT *, CASE WHEN {_FILTERED} THEN 'excluded' WHEN concat_ws(',', {_REASONS}) <> '' THEN 'withheld' ELSE 'ranked' END AS comparison, CASE n % 4 WHEN 1 THEN 'ITA' WHEN 2 THEN 'FRA' WHEN 3 THEN 'JPN' END AS country, CASE n % 4 WHEN 1 THEN 'Europe' WHEN 2 THEN 'Europe' WHEN 3 THEN 'Asia' END AS continent FROM a WHERE k % 19 <> 0),
+v AS (SELECT *, CASE WHEN comparison = 'ranked' THEN q * 0.5 END AS score FROM j)
+SELECT k, n, p, s, price, qty, comparison, score::DOUBLE AS score, CASE WHEN score IS NOT NULL AND country IS NOT NULL THEN rank() OVER (PARTITION BY country ORDER BY score DESC NULLS LAST) END AS national_rank, CASE WHEN country IS NOT NULL THEN count(score) OVER (PARTITION BY country) END AS national_peers,
+  CASE WHEN score IS NOT NULL AND country IS NOT NULL THEN rank() OVER (PARTITION BY continent ORDER BY score DESC NULLS LAST) END AS continental_rank, CASE WHEN country IS NOT NULL THEN count(score) OVER (PARTITION BY continent) END AS continental_peers,
+  CASE WHEN score IS NOT NULL THEN rank() OVER (ORDER BY score DESC NULLS LAST) END AS international_rank, count(score) OVER () AS international_peers FROM v""")
+def attempt_inspection(spark, sf):
+    """Attempts with their claims apart, bound by full reference, compared, scored and ranked in three scopes; women only."""
+    n = F.col("l_linenumber")
+    own = F.concat_ws("/", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")))
+    rows = _attempts(spark, sf).withColumn("candidate_id", own)
+    observations = rows.drop(*(c for c in inspector.CLAIM if c in rows.columns))
+    claims = rows.select(
+        *inspector.REFERENCE, *(c for c in inspector.CLAIM if c not in ("country", "continent")), F.when(n % 4 == 1, "ITA").when(n % 4 == 2, "FRA").when(n % 4 == 3, "JPN").alias("country"), F.when(n % 4 == 3, "Asia").when(n % 4 > 0, "Europe").alias("continent")
+    )
+    out = inspector.inspect(observations, claims, _SCOPE, "dynamic", {"gender": "Women", "review": "all"}).all
+    part = lambda i, kind: F.split("candidate_id", "/")[i].cast(kind)
+    kinds = (("k", "long"), ("n", rows.schema["l_linenumber"].dataType), ("p", "long"), ("s", "long"), ("price", "double"), ("qty", "double"))
+    return out.select(*(part(i, kind).alias(c) for i, (c, kind) in enumerate(kinds)), "comparison", F.col("score").cast("double").alias("score"), *(f"{s}_{c}" for s in ("national", "continental", "international") for c in ("rank", "peers")))
+
+
 def _roster(spark, sf):
     """Customers as routes of the newest roster, orders as their leads."""
     routes = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"))
