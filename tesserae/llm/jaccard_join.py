@@ -5,7 +5,9 @@ The global order of n-grams is the order of their 64-bit hashes. It is cut into
 1. documents with equal sets are one node, named by a 64-bit hash of the set, so copies are never expanded to pairs;
 2. every node's n-grams go, packed, to the fragments they lie in. A fragment counts how often each of its n-grams stands
    and returns those that stand twice or oftener, with that count. There are as many fragments as the counted n-grams need
-   for ``FRAGMENT`` n-grams each;
+   for ``FRAGMENT`` n-grams each. An n-gram that ``OFTEN`` sets or more of one chunk of documents hold goes to its fragment once
+   for the chunk, with their number, while the chunk keeps who holds it; so an n-gram of a third of all documents is a row a
+   chunk there, not a row a document;
 3. a set of n n-grams can only reach the threshold if at least ``ceil(t * n)`` of its n-grams are shared at all. For those
    that do, the rarest ``n - ceil(t * n) + 1`` are its prefix; two nodes that link share a prefix n-gram;
 4. candidate pairs are verified exactly: the sets are cut into fragments, each fragment's task counts the overlaps of its
@@ -38,6 +40,8 @@ from tesserae.sources.stored import removed, stored
 
 #: n-grams that a task packs before it hands them on (7 bytes each and 2 for the document), and documents of such a chunk.
 FLUSH, CHUNK = 1_000_000, 65_000
+#: Sets of a chunk that hold an n-gram, from which on it is counted in the chunk.
+OFTEN = 16
 #: n-grams of a fragment, about.
 FRAGMENT = 2_000_000
 #: Fragments in which the overlap of a candidate pair is counted, and pairs of a block.
@@ -105,9 +109,11 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
-#: Of a chunk: its documents (fragment below 0: nodes and set sizes), and what they hold of each fragment (place of the
-#: document in the chunk and n-gram).
-_PACKED = pa.schema([("fragment", pa.int64()), ("chunk", pa.int64()), ("docs", pa.binary()), ("grams", pa.binary())])
+#: Of a chunk: its documents (fragment below 0: nodes and set sizes), what they hold of each fragment (place of the document in
+#: the chunk and n-gram), how many of them hold its frequent n-grams (``times``), and who holds these (fragment below 0, ``own``).
+_PACKED = pa.schema([("fragment", pa.int64()), ("chunk", pa.int64()), ("docs", pa.binary()), ("grams", pa.binary()), ("often", pa.binary()), ("times", pa.binary()), ("own", pa.bool_())])
+#: Back at the chunk: documents (heads), shared n-grams with their holders and counts, counts of frequent ones (no docs), and holders of
+#: frequent ones (no counts).
 _SHARED = pa.schema([("chunk", pa.int64()), ("heads", pa.bool_()), ("docs", pa.binary()), ("grams", pa.binary()), ("found", pa.binary())])
 _NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("centre", pa.float64()), ("shared", pa.int64()), ("parts", pa.list_(pa.binary())), ("prefix", pa.list_(pa.int64()))])
 
@@ -117,7 +123,7 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def _deal(k: int, bits: int, flush_at: int, chunk_docs: int):
+def _deal(k: int, bits: int, flush_at: int, chunk_docs: int, often: int):
     """Documents -> for each chunk of them its documents, and one row for each fragment; equal sets of a chunk once."""
 
     def run(batches):
@@ -129,14 +135,24 @@ def _deal(k: int, bits: int, flush_at: int, chunk_docs: int):
             rows, chunk = [], (part << 32) | seq
             if held:
                 sizes = np.array([len(x) for x in sets], np.int32)
-                rows.append((-1 - chunk % 1024, chunk, _raw(np.fromiter(nodes, np.int64)), _raw(sizes)))
+                rows.append((-1 - chunk % 1024, chunk, _raw(np.fromiter(nodes, np.int64)), _raw(sizes), None, None, False))
                 grams = np.concatenate(sets)
                 doc = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
-                fragment = (grams >> _U(64 - bits)).astype(np.int64)
-                order = np.argsort(fragment, kind="stable")
-                fragment, grams, doc = fragment[order], grams[order], doc[order]
-                cuts = np.concatenate(([0], np.flatnonzero(np.diff(fragment)) + 1, [len(fragment)]))
-                rows += [(int(fragment[a]), chunk, _raw(doc[a:b]), _low(grams[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                order = np.argsort(grams, kind="stable")
+                grams, doc = grams[order], doc[order]
+                first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+                times = np.diff(np.append(first, len(grams)))
+                many = times >= often
+                hot, hot_times = grams[first[many]], times[many]
+                if len(hot):
+                    held_often = np.repeat(many, times)
+                    rows.append((-1 - chunk % 1024, chunk, _raw(doc[held_often]), _raw(grams[held_often]), None, None, True))
+                    grams, doc = grams[~held_often], doc[~held_often]
+                cut = lambda x: np.searchsorted(x >> _U(64 - bits), np.arange(1 << bits, dtype=np.uint64))
+                at, hot_at = np.append(cut(grams), len(grams)), np.append(cut(hot), len(hot))
+                for f in np.flatnonzero((np.diff(at) > 0) | (np.diff(hot_at) > 0)):
+                    a, b, c, d = at[f], at[f + 1], hot_at[f], hot_at[f + 1]
+                    rows.append((int(f), chunk, _raw(doc[a:b]), _low(grams[a:b]), _low(hot[c:d]), _raw(hot_times[c:d], np.uint32), False))
                 seq += 1
             nodes.clear()
             sets.clear()
@@ -164,22 +180,30 @@ def _count(bits: int):
         fragment = table["fragment"][0].as_py()
         chunks, docs = table["chunk"].to_pylist(), table["docs"].to_pylist()
         if fragment < 0:
-            return pa.Table.from_batches([_rows([(c, True, d, g, None) for c, d, g in zip(chunks, docs, table["grams"].to_pylist(), strict=True)], _SHARED)])
-        parts = [_whole(x, fragment << (64 - bits)) for x in table["grams"].to_pylist()]
-        grams = np.concatenate(parts)
+            return pa.Table.from_batches([_rows([(c, not own, d, g, None) for c, d, g, own in zip(chunks, docs, table["grams"].to_pylist(), table["own"].to_pylist(), strict=True)], _SHARED)])
+        high = fragment << (64 - bits)
+        parts = [_whole(x, high) for x in table["grams"].to_pylist()]
+        often = [_whole(x, high) for x in table["often"].to_pylist()]
+        times = [np.frombuffer(x, np.uint32) for x in table["times"].to_pylist()]
+        grams = np.concatenate([*parts, *often])
+        weight = np.concatenate([np.ones(sum(map(len, parts)), np.int64), *(t.astype(np.int64) for t in times)])
         order = np.argsort(grams, kind="stable")
         ordered = grams[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        runs = np.diff(np.append(np.flatnonzero(new), len(new)))
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         found = np.empty(len(grams), np.int64)
-        found[order] = np.repeat(runs, runs)
+        found[order] = np.repeat(np.add.reduceat(weight[order], first), np.diff(np.append(first, len(ordered))))
+        found = np.minimum(found, 2**32 - 1).astype(np.uint32)
         rows, at = [], 0
         for chunk, doc, part in zip(chunks, docs, parts, strict=True):
             own = found[at : at + len(part)]
             at += len(part)
             keep = own > 1
             if keep.any():
-                rows.append((chunk, False, _raw(np.frombuffer(doc, np.uint16)[keep]), _raw(part[keep]), _raw(np.minimum(own[keep], 2**32 - 1), np.uint32)))
+                rows.append((chunk, False, _raw(np.frombuffer(doc, np.uint16)[keep]), _raw(part[keep]), _raw(own[keep])))
+        for chunk, part in zip(chunks, often, strict=True):
+            if len(part):
+                rows.append((chunk, False, None, _raw(part), _raw(found[at : at + len(part)])))
+            at += len(part)
         return pa.Table.from_batches([_rows(rows, _SHARED)])
 
     return run
@@ -192,10 +216,19 @@ def _assemble(percent: int):
         heads = table["heads"].to_pylist()
         columns = [table[n].to_pylist() for n in ("docs", "grams", "found")]
         nodes, sizes = next((np.frombuffer(d, np.int64), np.frombuffer(g, np.int32)) for h, d, g in zip(heads, *columns[:2], strict=True) if h)
-        joined = lambda i, kind: np.concatenate([np.frombuffer(x, kind) for x, h in zip(columns[i], heads, strict=True) if not h])
         if all(heads):
             return pa.Table.from_batches([_rows([], _NODES)])
-        docs, grams, found = joined(0, np.uint16), joined(1, np.uint64), joined(2, np.uint32)
+        rest = [row for row, h in zip(zip(*columns, strict=True), heads, strict=True) if not h]
+        joined = lambda rows, i, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(row[i], kind) for row in rows)])
+        shared, told, holders = [r for r in rest if r[0] is not None and r[2] is not None], [r for r in rest if r[0] is None], [r for r in rest if r[2] is None]
+        docs, grams, found = joined(shared, 0, np.uint16), joined(shared, 1, np.uint64), joined(shared, 2, np.uint32)
+        if holders:
+            known, totals, own = joined(told, 1, np.uint64), joined(told, 2, np.uint32), joined(holders, 1, np.uint64)
+            order = np.argsort(known)
+            docs, grams = np.concatenate([docs, joined(holders, 0, np.uint16)]), np.concatenate([grams, own])
+            found = np.concatenate([found, totals[order][np.searchsorted(known[order], own)]])
+        if not len(docs):
+            return pa.Table.from_batches([_rows([], _NODES)])
         order = np.lexsort((grams, found, docs))
         docs, grams, weight = docs[order], grams[order], np.log(found[order])
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(docs)) + 1, [len(docs)]))
@@ -290,7 +323,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = stored(summary.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("held")), "classes")
 
     bits = max(8, ((n_grams or 0) // FRAGMENT).bit_length())
-    packed = rows.select("text").mapInArrow(_deal(k, bits, FLUSH, CHUNK), _ddl(_PACKED))
+    packed = rows.select("text").mapInArrow(_deal(k, bits, FLUSH, CHUNK, OFTEN), _ddl(_PACKED))
     shared = packed.groupBy("fragment").applyInArrow(_count(bits), _ddl(_SHARED))
     able = shared.groupBy("chunk").applyInArrow(_assemble(percent), _ddl(_NODES))
     nodes = stored(able.dropDuplicates(["node"]), "nodes")

@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import decontaminate, jaccard_join, sharding, suffix_dedup
@@ -31,9 +33,11 @@ def test_jaccard_join_of_repeated_ids(spark, prose):
     assert sorted(map(str, out)) == sorted(f"Row(doc_id={a}, n_shingles={b}, component_id={c})" for a, b, c in want)
 
 
-def test_jaccard_join_in_many_blocks(spark, prose, monkeypatch):
-    """Small blocks of pairs and lists, small chunks, and broadcast tables of hot keys give the same."""
-    for name, value in {"FLUSH": 400, "PAIRS": 7, "LIST": 3, "HOT": 1, "CHUNK": 5}.items():
+@pytest.mark.parametrize("often", [2, 16, 10**6])
+def test_jaccard_join_in_many_blocks(spark, prose, monkeypatch, often):
+    """Small blocks of pairs and lists, small chunks, n-grams counted in chunks or not, and broadcast tables of hot keys give
+    the same."""
+    for name, value in {"OFTEN": often, "FLUSH": 400, "PAIRS": 7, "LIST": 3, "HOT": 1, "CHUNK": 5}.items():
         monkeypatch.setattr(jaccard_join, name, value)
     rng, rows = random.Random(12), []
     passage = prose(888, 12)
@@ -45,6 +49,22 @@ def test_jaccard_join_in_many_blocks(spark, prose, monkeypatch):
     assert out == brute.linked(rows)
 
 
+def test_a_frequent_gram_is_a_row_a_chunk(prose):
+    """What a fragment gets of an n-gram that all documents share does not grow with the documents of a chunk."""
+    from unittest import mock
+
+    passage = prose(5, 5)
+    deal = jaccard_join._deal(5, 8, 10**6, 65_000, 16)
+    texts = [f"{passage} {prose(100 + i, 6)}" for i in range(400)]
+    with mock.patch.object(jaccard_join, "TaskContext") as context:
+        context.get.return_value.partitionId.return_value = 0
+        rows = [r for batch in deal(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])) for r in batch.to_pylist()]
+    counted = [np.frombuffer(r["times"], np.uint32) for r in rows if r["times"]]
+    assert [x.tolist() for x in counted if len(x)] == [[400]]
+    packed = sum(len(r["docs"]) // 2 for r in rows if r["fragment"] >= 0)
+    assert packed == sum(len(brute.shingles(t)) for t in texts) - 400
+
+
 def test_jaccard_join_of_edited_families(spark, prose):
     """Families of copies with more and more edits, chains of edits, and a passage that all documents share."""
     rng, rows = random.Random(2), []
