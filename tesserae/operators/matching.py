@@ -73,6 +73,34 @@ def pair_edges(rows: DataFrame, key: str | Column, id_col: str, kind: str) -> Da
     return keyed.join(anchor, "key").where("id <> left").select("left", F.col("id").alias("right"), F.lit(kind).alias("kind"))
 
 
+def normal_url(url: Column) -> Column:
+    """A URL with its path's ``.`` and ``..`` steps taken, as far as they stand behind a step."""
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        up = (part == "..") & F.coalesce(last != "..", F.lit(False)) & (F.size(done) > 1)
+        return F.when(part == ".", done).when(up, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.array_append(done, part))
+
+    head, path, tail = (F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)(.*)$", i) for i in (1, 2, 3))
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    end = F.when(path.rlike(r"(^|/)\.{1,2}$"), "/").otherwise("")
+    return F.when(url.isNotNull(), F.concat(head, F.regexp_replace(F.concat(F.array_join(parts, "/"), end), "//$", "/"), tail))
+
+
+def version_relationships(acquisitions: DataFrame) -> DataFrame:
+    """(left, right, kind, reason) of acquisitions (acquisition_id, sha256, publisher, final_url): ``source-duplicate`` for equal bytes, ``unknown``
+    with reason possible-source-revision for other bytes at one publisher's URL.
+
+    Edges are stars: copies lead to their first acquisition, and the first acquisitions of the several versions at a URL to the
+    smallest of them; a group of n versions has n - 1 edges and the components of all its pairs.
+    """
+    copies = pair_edges(acquisitions, "sha256", "acquisition_id", "source-duplicate").withColumn("reason", F.lit(None).cast("string"))
+    place = F.when(F.col("publisher").isNotNull() & F.col("final_url").isNotNull(), F.concat_ws("\x1f", "publisher", normal_url(F.col("final_url"))))
+    versions = acquisitions.withColumn("__place", place).where("__place is not null and sha256 is not null").groupBy("__place", "sha256").agg(F.min("acquisition_id").alias("acquisition_id"))
+    revised = pair_edges(versions, "__place", "acquisition_id", "unknown").withColumn("reason", F.lit("possible-source-revision"))
+    return copies.unionByName(revised)
+
+
 def agreed_edges(edges: DataFrame) -> DataFrame:
     """One row for each unordered pair; kinds that disagree become ``unknown``."""
     ordered = edges.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "kind")

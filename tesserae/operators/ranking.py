@@ -93,6 +93,15 @@ def peer_ranks(rows: DataFrame, value: str, *cohort: str) -> DataFrame:
     return rows.withColumn("peer_rank", F.when(known, F.rank().over(window.orderBy(F.desc_nulls_last(value))).cast("long"))).withColumn("peers", F.count(value).over(window).cast("long"))
 
 
+def peer_lists(rows: DataFrame, value: str, id_col: str, *cohort: str) -> DataFrame:
+    """(cohort, place, peer, peer_rank, peers): the ordered list of each cohort's peers, one row a peer, by value descending, then id.
+    Rows without a value are no peers. ``place`` counts from 1 without gaps; equal values share a peer_rank."""
+    known = rows.where(F.col(value).isNotNull()).select(*cohort, F.col(id_col).alias("peer"), F.col(value).alias("__value"))
+    placed = ranked(known, "__value", "peer_rank", cohort, order=("peer",), position="place")
+    sizes = known.groupBy(*cohort).agg(F.count("*").alias("peers"))
+    return beside(placed, sizes, list(cohort)).select(*cohort, "place", "peer", "peer_rank", "peers")
+
+
 def hypothetical_rank(rows: DataFrame, questions: DataFrame, value: str, asked: str, *cohort: str) -> DataFrame:
     """hypothetical_rank of each asked value: one more than the rows of the cohort that are strictly better.
 

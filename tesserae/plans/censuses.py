@@ -108,7 +108,7 @@ def overlay_counts(spark, sf):
 
 @query()
 def attempt_groups(spark, sf):
-    parts = table(spark, sf, "part").select("p_partkey", F.concat("p_brand", F.col("p_size").cast("string")).alias("position"), F.concat("p_name", "p_type").alias("scope"))
+    parts = table(spark, sf, "part").select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("position"), F.concat_ws("/", "p_name", "p_type").alias("scope"))
     star = lambda key: matching.pair_edges(parts, key, "p_partkey", key)
     return decisions.attempt_groups(parts, "p_partkey", star("position"), star("scope"), star("scope").limit(0))
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "comparison_score"
-MODULES = ("snapshots", "rankings", "matches", "identities", "ledgers", "graphs", "reports", "decided", "censuses", "facts", "bindings", "stores", "pages", "streams", "rules", "exactness")
+MODULES = ("snapshots", "rankings", "matches", "identities", "ledgers", "graphs", "reports", "decided", "censuses", "facts", "bindings", "stores", "pages", "streams", "rules", "exactness", "archives")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}

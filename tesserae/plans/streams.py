@@ -25,9 +25,11 @@ def import_dedupe_stream(spark, sf):
     return _run(spark, flows.imports(_events(spark, sf).select("user_id"), "user_id"), "imports")
 
 
-@query()
+@query("SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def request_dedupe_stream(spark, sf):
-    return _run(spark, flows.requests(_events(spark, sf).select("user_id", "event_id", "at"), "user_id", "at", "36500 days"), "requests").select("user_id", "event_id")
+    """One request of a user and day: what repeats it within two days is dropped, and state is held no longer."""
+    asked = _events(spark, sf).select("user_id", F.date_format("at", "yyyy-MM-dd").alias("day"), "at").withColumn("request", F.concat_ws("/", F.col("user_id").cast("string"), "day"))
+    return _run(spark, flows.requests(asked, "request", "at", "2 days"), "requests").select("user_id", "day")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts)::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
@@ -47,6 +49,10 @@ def version_history_stream(spark, sf):
     return _run(spark, flows.versions(docs, "source", "doc_id", "digest"), "versions")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e),
+g AS (SELECT user_id, min(ts) AS "begin", max(ts) + INTERVAL 12 HOURS AS "end", count(*) AS events FROM s GROUP BY user_id, n)
+SELECT user_id, "begin", "end", events FROM g WHERE "end" <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def session_stream(spark, sf):
+    """Sessions that are closed when the stream is drained: the watermark is a day behind its last event."""
     return _run(spark, flows.sessions(_events(spark, sf).select("user_id", "at"), "user_id", "at", "12 hours", "1 day"), "sessions")

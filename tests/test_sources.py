@@ -3,7 +3,7 @@ import zipfile
 
 import pytest
 
-from tesserae.sources import archive, documents, stored, tables
+from tesserae.sources import archive, documents, stored, tables, versions
 from tesserae.streaming import flows
 
 
@@ -64,9 +64,29 @@ def test_snapshots_and_imports(spark, tmp_path):
     path = str(tmp_path / "snap")
     archive.write_snapshot(df, path)
     assert archive.read_snapshot(spark, path).count() == 3
-    spark.createDataFrame([("c", 9)], "job string, n long").write.mode("append").parquet(path + "/records")
+    assert archive.replayed(spark, path, df.repartition(3)) and not archive.replayed(spark, path, df.limit(2))
+    second = spark.createDataFrame([("c", 9)], "job string, n long")
+    # a writer that is lost before its digest leaves the snapshot before
+    lost = versions.Store(spark, path)
+    lost.commit(lost.pin(), replace={"records": second})
+    assert archive.read_snapshot(spark, path).count() == 3
+    archive.write_snapshot(second, path)
+    assert [tuple(r) for r in archive.read_snapshot(spark, path).collect()] == [("c", 9)]
+    part = versions.Store(spark, path).pin().tables["records"]["parts"][0]["path"]
+    second.write.mode("append").parquet(part)
     with pytest.raises(ValueError):
         archive.read_snapshot(spark, path)
+    with pytest.raises(ValueError):
+        archive.read_snapshot(spark, str(tmp_path / "nothing"))
+    copy = str(tmp_path / "copy")
+    archive.exported(df, copy)
+    assert archive.restored(spark, copy).exceptAll(df).isEmpty()
+    second.write.mode("append").parquet(copy + "/files")
+    with pytest.raises(ValueError):
+        archive.restored(spark, copy)
+    held = spark.createDataFrame([("h", "p")], "sha256 string, path string")
+    states = archive.inventory(held, spark.createDataFrame([("a1", "h"), ("a2", "g")], "acquisition_id string, sha256 string"))
+    assert {r["acquisition_id"]: r["state"] for r in states.collect()} == {"a1": "verified", "a2": "missing"}
     batch = spark.createDataFrame([("b", 1), ("c", 5)], "job string, n long")
     assert [tuple(r) for r in archive.imported(df, batch, "job").collect()] == [("c", 5)]
     with pytest.raises(ValueError):
