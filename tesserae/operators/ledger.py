@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tesserae.operators.ordering import known_before
 
@@ -28,23 +31,30 @@ def field_states(decisions: DataFrame, keys: list[str], revision: str = "revisio
     restores what was active before it, at the bottom that proposal's ``before``; a rejection changes nothing. Decisions
     that break this are counted as violations.
     """
-    row = F.struct(F.col(revision).alias("rev"), "action", "event_id", "target", "before", "after")
-    entry = "struct<id:string,before:string,after:string>"
-    start = F.struct(F.array().cast(f"array<{entry}>").alias("stack"), F.lit(None).cast("string").alias("value"), F.lit(0).alias("violations"))
-
-    def step(s: Column, e: Column) -> Column:
-        top = F.try_element_at(s["stack"], F.lit(-1))
-        push = F.struct(
-            F.array_append(s["stack"], F.struct(e["event_id"].cast("string").alias("id"), e["before"].alias("before"), e["after"].alias("after"))).alias("stack"),
-            e["after"].alias("value"),
-            s["violations"].alias("violations"),
-        )
-        pop = F.struct(F.slice(s["stack"], F.lit(1), F.greatest(F.lit(0), F.size(s["stack"]) - 1)).alias("stack"), top["before"].alias("value"), s["violations"].alias("violations"))
-        bad = F.struct(s["stack"].alias("stack"), s["value"].alias("value"), (s["violations"] + 1).alias("violations"))
-        return F.when(e["action"] == "approve", push).when((e["action"] == "reverse") & top["id"].eqNullSafe(e["target"].cast("string")), pop).when(e["action"] == "reverse", bad).otherwise(s)
-
-    folded = decisions.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step).alias("s"))
-    return folded.select(*keys, F.col("s.value").alias("value"), F.size("s.stack").cast("long").alias("depth"), F.col("s.violations").cast("long").alias("violations"))
+    kind = decisions.schema[revision].dataType
+    parts = [F.col(revision)[f.name] for f in kind.fields] if isinstance(kind, StructType) else [F.col(revision)]
+    texts = ["action", "event_id", "target", "before", "after"]
+    order = [*(f"__rev{i}" for i in range(len(parts))), *texts]
+    rows = decisions.select(*keys, *(c.alias(f"__rev{i}") for i, c in enumerate(parts)), *(F.col(c).cast("string").alias(c) for c in texts))
+    kinds = ", ".join(f"`{k}` {decisions.schema[k].dataType.simpleString()}" for k in keys)
+
+    def fold(group: tuple, events: pd.DataFrame) -> pd.DataFrame:
+        events = events.sort_values(order, kind="stable", na_position="first")
+        plain = lambda x: None if pd.isna(x) else x
+        stack, value, violations = [], None, 0
+        for action, ident, target, before, after in zip(*(events[c] for c in ("action", "event_id", "target", "before", "after")), strict=True):
+            if action == "approve":
+                stack.append((plain(ident), plain(before)))
+                value = plain(after)
+            elif action == "reverse":
+                if stack and stack[-1][0] == plain(target):
+                    value = stack.pop()[1]
+                else:
+                    violations += 1
+        return pd.DataFrame([(*group, value, len(stack), violations)], columns=[*keys, "value", "depth", "violations"])
+
+    # a key's decisions are one order and so one task's work, linear in their number
+    return rows.groupBy(*keys).applyInPandas(fold, f"{kinds}, value string, depth long, violations long")
 
 
 def preferred(events: DataFrame, keys: list[str], actor_col: str, order: list[str], human: str = "human") -> DataFrame:
@@ -85,26 +95,28 @@ def forbidden_transitions(rows: DataFrame, keys: list[str], order: list[str], st
     return stepped.join(F.broadcast(allowed.withColumnRenamed("after", state)), ["before", state], "left_anti")  # a fixed table of states
 
 
-def fixed_windows(events: DataFrame, key: str, at: str, seconds: int, most: int) -> DataFrame:
-    """Rate limit: a key's window opens with its first event and the next one with the first event after it has closed.
+def fixed_windows(events: DataFrame, key: str, at: str, ident: str, seconds: int, most: int) -> DataFrame:
+    """(key, ident, window_start, allowed): a key's window opens with its first event and the next one with the first event after
+    it has closed; the first ``most`` events of a window are allowed. Events of one instant go by ``ident``.
 
-    allowed: the event is among the first ``most`` of its window. A key's events are folded in order by Spark's aggregate;
-    times are read as seconds.
+    Where a window ends depends on where it began, so a key's events are one task's work; it steps from window to window,
+    not from event to event.
     """
-    second = F.unix_micros(F.col(at).cast("timestamp"))
-    events = events.withColumn("__at", second)
-    kind = "array<struct<at:bigint,ident:bigint,window_start:bigint,place:int>>"
-    start = F.struct(F.lit(None).cast("long").alias("open"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        fresh = s["open"].isNull() | (e["at"] >= s["open"] + seconds * 1_000_000)
-        begin, n = F.when(fresh, e["at"]).otherwise(s["open"]), F.when(fresh, 1).otherwise(s["n"] + 1)
-        return F.struct(begin.alias("open"), n.alias("n"), F.array_append(s["out"], F.struct(e["at"].alias("at"), e["ident"].alias("ident"), begin.alias("window_start"), n.alias("place"))).alias("out"))
-
-    ident = [c for c in events.columns if c.endswith("_id") and c != key][0]
-    folded = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("__at").alias("at"), F.col(ident).alias("ident")))).alias("all"))
-    out = folded.select(key, F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("x"))
-    return out.select(key, F.col("x.ident").alias(ident), F.timestamp_micros("x.window_start").alias("window_start"), (F.col("x.place") <= most).alias("allowed"))
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, ident)}
+    rows = events.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("__at"), ident)
+
+    def windows(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["__at", ident], kind="stable")
+        times = rows["__at"].to_numpy()
+        start, place, i = np.empty_like(times), np.empty_like(times), 0
+        while i < len(times):
+            end = int(np.searchsorted(times, times[i] + seconds * 1_000_000))
+            start[i:end], place[i:end] = times[i], np.arange(end - i)
+            i = end
+        return pd.DataFrame({key: group[0], ident: rows[ident].to_numpy(), "start": start, "allowed": place < most})
+
+    out = rows.where("__at is not null").groupBy(key).applyInPandas(windows, f"`{key}` {kinds[key]}, `{ident}` {kinds[ident]}, start long, allowed boolean")
+    return out.select(key, ident, F.timestamp_micros("start").alias("window_start"), "allowed")
 
 
 def fence(view: DataFrame, counts: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.operators import ledger, lines
@@ -41,6 +42,19 @@ def field_state_fold(spark, sf):
     return ledger.field_states(d, ["user_id"])
 
 
+@query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_type IN ('purchase', 'signup', 'click') THEN 'approve' WHEN event_type = 'error' THEN 'reverse' ELSE 'reject' END AS action FROM events),
+n AS (SELECT *, lead(action) OVER w AS next, lag(action) OVER w AS last FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT user_id, arg_max(event_id, event_id) FILTER (action = 'approve') AS id, arg_max(next, event_id) FILTER (action = 'approve') AS after FROM (SELECT user_id, event_id, action, coalesce(next, 'end') AS next FROM n) GROUP BY 1)
+SELECT user_id, CASE WHEN after = 'reverse' THEN 'b' || id ELSE 'a' || id END AS value, count_if(action = 'approve' AND coalesce(next, '') <> 'reverse')::BIGINT AS depth, count_if(action = 'reverse' AND coalesce(last, '') <> 'approve')::BIGINT AS violations FROM n JOIN s USING (user_id) GROUP BY ALL""")
+def field_state_reversals(spark, sf):
+    """Errors reverse the event before them: an approval is taken back, anything else is a violation."""
+    before = F.lag("event_id").over(W.partitionBy("user_id").orderBy("event_id"))
+    text = lambda p: F.concat(F.lit(p), F.col("event_id").cast("string"))
+    action = F.when(F.col("event_type").isin("purchase", "signup", "click"), "approve").when(F.col("event_type") == "error", "reverse").otherwise("reject")
+    rows = table(spark, sf, "events").select("user_id", F.col("event_id").alias("revision"), "event_id", action.alias("action"), before.alias("target"), text("b").alias("before"), text("a").alias("after"))
+    return ledger.field_states(rows, ["user_id"])
+
+
 @query("""SELECT user_id, coalesce(arg_max(event_id, (ts, event_id)) FILTER (event_type = 'purchase'), arg_max(event_id, (ts, event_id))) AS event_id FROM events GROUP BY 1""")
 def human_over_automatic(spark, sf):
     events = table(spark, sf, "events").withColumn("actor", F.when(F.col("event_type") == "purchase", "human").otherwise("rule"))
@@ -91,7 +105,7 @@ w AS (SELECT user_id, event_id, i, t, t AS opened, 1 AS place FROM e WHERE i = 1
   UNION ALL SELECT e.user_id, e.event_id, e.i, e.t, CASE WHEN e.t >= w.opened + 86400000000 THEN e.t ELSE w.opened END, CASE WHEN e.t >= w.opened + 86400000000 THEN 1 ELSE w.place + 1 END FROM e JOIN w ON e.user_id = w.user_id AND e.i = w.i + 1)
 SELECT user_id, event_id, place <= 2 AS allowed FROM w""")
 def rate_limit(spark, sf):
-    return ledger.fixed_windows(table(spark, sf, "events"), "user_id", "ts", 86400, 2).select("user_id", "event_id", "allowed")
+    return ledger.fixed_windows(table(spark, sf, "events"), "user_id", "ts", "event_id", 86400, 2).select("user_id", "event_id", "allowed")
 
 
 @query("""SELECT p_name AS key, count(*) AS requests, count(DISTINCT p_type) AS fingerprints, count(DISTINCT p_type) > 1 AS conflict FROM part GROUP BY 1""")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +35,8 @@ def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Dat
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._stored_at = path
+    for made in _scopes[-1:]:
+        made.append(table)
     if instead_of is not None:
         removed(instead_of)
     return table
@@ -42,3 +47,27 @@ def removed(table: DataFrame) -> None:
     spark = table.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is stored inside goes at the end, but for tables that are passed to the function that this gives: for work whose
+    result is written inside. One scope at a time counts, the innermost."""
+    made: list[DataFrame] = []
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table._stored_at)
+        return table
+
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        for table in made:
+            if table._stored_at in kept:
+                for outer in _scopes[-1:]:
+                    outer.append(table)
+            else:
+                removed(table)

@@ -106,6 +106,21 @@ def test_delivery_is_resumed(spark, tmp_path):
     assert sum(n for _, n in got) == 5
 
 
+def test_a_scope_removes_what_is_not_kept(spark):
+    with stored.scope() as keep:
+        a, b = stored.stored(spark.range(3), "a"), keep(stored.stored(spark.range(4), "b"))
+        stored.removed(stored.stored(spark.range(1), "c"))
+    assert b.count() == 4
+    with pytest.raises(Exception, match="(?i)not exist|FAILED_READ_FILE|not found"):
+        a.count()
+    with pytest.raises(ValueError):
+        with stored.scope():
+            c = stored.stored(spark.range(3), "c")
+            raise ValueError
+    with pytest.raises(Exception, match="(?i)not exist|FAILED_READ_FILE|not found"):
+        c.count()
+
+
 def test_tables_are_stored(spark):
     df = tables.table(spark, "/root/testdata/sf0.001", "region")
     assert stored.stored(df, "t").exceptAll(df).isEmpty()
