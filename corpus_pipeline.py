@@ -19,7 +19,7 @@ from tesserae.llm.jaccard_join import jaccard_join
 from tesserae.llm.ordinal_quality import fitted, graded, toxicity_grade
 from tesserae.llm.packing import pack
 from tesserae.llm.secrets import redacted
-from tesserae.sources.stored import stored
+from tesserae.sources.stored import removed, scope, stored
 from tesserae.sources.tables import table
 
 #: Steps of learning, hashing and packing are not SQL; tests hold the stages against brute force.
@@ -65,10 +65,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's result written to the shared folder and read again."""
+    """All stages over ``documents``, each stage's result written to the shared folder and read again.
+
+    A stage's own tables, and the result that it worked on, go when its result is written; the last stage's stay, as its rows
+    are read by the caller."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with scope() as keep:
+            docs = keep(stored(stage(spark, before, sf_dir), f"stage{i}"))
+        if i:
+            removed(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
