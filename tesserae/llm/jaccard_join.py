@@ -112,9 +112,9 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 #: Of a chunk: its documents (fragment below 0: nodes and set sizes), what they hold of each fragment (place of the document in
 #: the chunk and n-gram), how many of them hold its frequent n-grams (``times``), and who holds these (fragment below 0, ``own``).
 _PACKED = pa.schema([("fragment", pa.int64()), ("chunk", pa.int64()), ("docs", pa.binary()), ("grams", pa.binary()), ("often", pa.binary()), ("times", pa.binary()), ("own", pa.bool_())])
-#: Back at the chunk: documents (heads), shared n-grams with their holders and counts, counts of frequent ones (no docs), and holders of
-#: frequent ones (no counts).
-_SHARED = pa.schema([("chunk", pa.int64()), ("heads", pa.bool_()), ("docs", pa.binary()), ("grams", pa.binary()), ("found", pa.binary())])
+#: Back at the chunk: documents (heads), shared n-grams with their holders and counts (found), counts of frequent ones (no docs), and
+#: frequent ones with how many hold each (times) and their holders in that order.
+_SHARED = pa.schema([("chunk", pa.int64()), ("heads", pa.bool_()), ("docs", pa.binary()), ("grams", pa.binary()), ("found", pa.binary()), ("times", pa.binary())])
 _NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("centre", pa.float64()), ("shared", pa.int64()), ("parts", pa.list_(pa.binary())), ("prefix", pa.list_(pa.int64()))])
 
 
@@ -146,7 +146,7 @@ def _deal(k: int, bits: int, flush_at: int, chunk_docs: int, often: int):
                 hot, hot_times = grams[first[many]], times[many]
                 if len(hot):
                     held_often = np.repeat(many, times)
-                    rows.append((-1 - chunk % 1024, chunk, _raw(doc[held_often]), _raw(grams[held_often]), None, None, True))
+                    rows.append((-1 - chunk % 1024, chunk, _raw(doc[held_often]), _raw(hot), None, _raw(hot_times, np.uint32), True))
                     grams, doc = grams[~held_often], doc[~held_often]
                 cut = lambda x: np.searchsorted(x >> _U(64 - bits), np.arange(1 << bits, dtype=np.uint64))
                 at, hot_at = np.append(cut(grams), len(grams)), np.append(cut(hot), len(hot))
@@ -180,7 +180,7 @@ def _count(bits: int):
         fragment = table["fragment"][0].as_py()
         chunks, docs = table["chunk"].to_pylist(), table["docs"].to_pylist()
         if fragment < 0:
-            return pa.Table.from_batches([_rows([(c, not own, d, g, None) for c, d, g, own in zip(chunks, docs, table["grams"].to_pylist(), table["own"].to_pylist(), strict=True)], _SHARED)])
+            return pa.Table.from_batches([_rows([(c, not own, d, g, None, t) for c, d, g, t, own in zip(chunks, docs, *(table[n].to_pylist() for n in ("grams", "times", "own")), strict=True)], _SHARED)])
         high = fragment << (64 - bits)
         parts = [_whole(x, high) for x in table["grams"].to_pylist()]
         often = [_whole(x, high) for x in table["often"].to_pylist()]
@@ -199,10 +199,10 @@ def _count(bits: int):
             at += len(part)
             keep = own > 1
             if keep.any():
-                rows.append((chunk, False, _raw(np.frombuffer(doc, np.uint16)[keep]), _raw(part[keep]), _raw(own[keep])))
+                rows.append((chunk, False, _raw(np.frombuffer(doc, np.uint16)[keep]), _raw(part[keep]), _raw(own[keep]), None))
         for chunk, part in zip(chunks, often, strict=True):
             if len(part):
-                rows.append((chunk, False, None, _raw(part), _raw(found[at : at + len(part)])))
+                rows.append((chunk, False, None, _raw(part), _raw(found[at : at + len(part)]), None))
             at += len(part)
         return pa.Table.from_batches([_rows(rows, _SHARED)])
 
@@ -214,7 +214,7 @@ def _assemble(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         heads = table["heads"].to_pylist()
-        columns = [table[n].to_pylist() for n in ("docs", "grams", "found")]
+        columns = [table[n].to_pylist() for n in ("docs", "grams", "found", "times")]
         nodes, sizes = next((np.frombuffer(d, np.int64), np.frombuffer(g, np.int32)) for h, d, g in zip(heads, *columns[:2], strict=True) if h)
         if all(heads):
             return pa.Table.from_batches([_rows([], _NODES)])
@@ -223,7 +223,8 @@ def _assemble(percent: int):
         shared, told, holders = [r for r in rest if r[0] is not None and r[2] is not None], [r for r in rest if r[0] is None], [r for r in rest if r[2] is None]
         docs, grams, found = joined(shared, 0, np.uint16), joined(shared, 1, np.uint64), joined(shared, 2, np.uint32)
         if holders:
-            known, totals, own = joined(told, 1, np.uint64), joined(told, 2, np.uint32), joined(holders, 1, np.uint64)
+            known, totals = joined(told, 1, np.uint64), joined(told, 2, np.uint32)
+            own = np.repeat(joined(holders, 1, np.uint64), joined(holders, 3, np.uint32))
             order = np.argsort(known)
             docs, grams = np.concatenate([docs, joined(holders, 0, np.uint16)]), np.concatenate([grams, own])
             found = np.concatenate([found, totals[order][np.searchsorted(known[order], own)]])
