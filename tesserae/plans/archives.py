@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import matching, queue, ranking, roster
+from tesserae.operators import matching, queue, ranking, relationships, roster
 from tesserae.operators.census import Registry
 from tesserae.operators.facade import SnapshotQuery
 from tesserae.plans.registry import query
@@ -156,3 +156,43 @@ def roster_rules(spark, sf):
     )
     routes = table(spark, sf, "customer").where("c_custkey % 13 <> 0").select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "sha").alias("receipt"))
     return roster.lead_problems(leads, routes, "2026-06-01T00:00:00Z").select(F.col("id").cast("long").alias("o_orderkey"), "problem")
+
+
+@query("""WITH o AS (SELECT concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT) AS ref, l_orderkey AS source, l_linenumber AS line, l_returnflag AS text, l_linestatus AS parser, l_partkey % 2 AS parsed FROM lineitem WHERE l_linenumber > 1),
+h AS (SELECT source, line, text, parser, parsed, min(ref) AS ref FROM o GROUP BY ALL)
+SELECT h.ref AS "left", o.ref AS "right", 'source-duplicate' AS kind FROM o JOIN h USING (source, line, text, parser, parsed) WHERE o.ref <> h.ref
+UNION SELECT a.ref, b.ref, CASE WHEN a.text <> b.text THEN 'unknown' WHEN a.parser <> b.parser THEN 'parser-revision' ELSE 'unknown' END FROM h a JOIN h b ON a.source = b.source AND a.line = b.line AND a.ref < b.ref""")
+def classified_rows(spark, sf):
+    """Order lines as observations of one place (order and line number): return flags as texts, statuses as parsers, parts as what was read."""
+    text = lambda c: F.col(c).cast("string")
+    ref = F.concat_ws("/", text("l_orderkey"), text("l_linenumber"), text("l_partkey"), text("l_suppkey"), F.col("l_quantity").cast("long").cast("string"))
+    observations = table(spark, sf, "lineitem").select(
+        ref.alias("ref"), text("l_orderkey").alias("source_sha256"), F.lit(1).alias("page"), (F.col("l_linenumber") - 1).cast("int").alias("line"), F.col("l_returnflag").alias("source_text"), F.lit("e").alias("event_key"), F.lit("d").alias("discipline"), F.lit(None).cast("string").alias("day"),
+        F.col("l_linestatus").alias("parser_version"), F.create_map(F.lit("part"), (F.col("l_partkey") % 2).cast("string")).alias("parsed"),
+    )
+    return relationships.automatic_edges(observations).select("left", "right", "kind").distinct()
+
+
+@query("""SELECT 'incomplete-event' AS rule, 'e' || n_nationkey AS id FROM nation WHERE n_nationkey % 7 = 3 UNION ALL SELECT 'event-dates', 'e' || n_nationkey FROM nation WHERE n_nationkey % 5 = 4
+UNION ALL SELECT 'unknown-event', 's' || s_suppkey FROM supplier WHERE s_suppkey % 6 = 5 UNION ALL SELECT 'source-media', 's' || s_suppkey FROM supplier WHERE s_suppkey % 4 = 3 UNION ALL SELECT 'provenance-without-gap', 's' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 2
+UNION ALL SELECT 'unknown-source', 'p' || l_orderkey FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber = 1) WHERE l_suppkey % 10 = 9 UNION SELECT 'duplicate-positions', 'p' || l_orderkey FROM lineitem WHERE l_linenumber = 1 GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'gap-unknown-source', 'g' || c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 10 = 8 UNION ALL SELECT 'incomplete-gap', 'g' || c_custkey FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT 'relationship-kind', 'x' || o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION SELECT 'unknown-position', 'x' || o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)""")
+def census_rules(spark, sf):
+    """Nations as events, suppliers as sources, first order lines as positions, customers as gaps, orders as relationships."""
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    n, s, c = F.col("n_nationkey"), F.col("s_suppkey"), F.col("c_custkey")
+    lit = F.lit
+    refs = F.array().cast("array<struct<job_id:string,ordinal:int,artifact_sha256:string,parser_version:string,citation:string>>")
+    tables = {
+        "events": table(spark, sf, "nation").select(text("e", "n_nationkey").alias("id"), lit("F").alias("federation"), F.when(n % 7 != 3, F.col("n_name")).alias("name"), F.when(n % 5 == 4, "2025-06-31").otherwise("2025-06-01").alias("held_from"), lit("2025-06-02").alias("held_to")),
+        "sources": table(spark, sf, "supplier").select(
+            text("s", "s_suppkey").alias("id"), F.array(F.when(s % 6 == 5, "gone").otherwise(text("e", "s_nationkey"))).alias("event_ids"), lit("official").alias("authority"), F.when(s % 4 == 3, "tape").otherwise("pdf").alias("media"), F.sha2("s_name", 256).alias("original_sha256"),
+            F.when(s % 3 == 0, lit("q")).otherwise(F.lit(None).cast("string")).alias("acquisition_id"), lit("2025-01-01T00:00:00Z").alias("retrieved_at"), lit("u").alias("discovery_url"), lit("u").alias("final_url"), lit("v").alias("view_state"), lit("r").alias("view_ref"),
+            F.when(s % 3 == 1, F.array(lit("lost"))).otherwise(F.array().cast("array<string>")).alias("provenance_gaps"),
+        ),
+        "positions": table(spark, sf, "lineitem").where("l_linenumber = 1").select(text("p", "l_orderkey").alias("id"), F.when(F.col("l_suppkey") % 10 == 9, "gone").otherwise(text("s", "l_suppkey")).alias("source_id"), lit("line").alias("locator"), lit("parsed").alias("status"), lit("{}").alias("raw_fields"), F.lit(None).cast("string").alias("unresolved_reason"), refs.alias("observation_refs")),
+        "gaps": table(spark, sf, "customer").select(text("g", "c_custkey").alias("id"), F.when(c % 2 == 0, "source").otherwise("search").alias("scope"), F.when(c % 10 == 8, "gone").otherwise("s0").alias("ref"), F.when(F.col("c_acctbal") < 0, "?").otherwise("checked").alias("status"), lit("r").alias("reason")),
+        "relationships": table(spark, sf, "orders").select(text("x", "o_orderkey").alias("id"), text("p", "o_orderkey").alias("left"), text("p", "o_orderkey").alias("right"), F.when(F.col("o_orderstatus") == "P", "unknown").otherwise("same-attempt").alias("kind"), lit("exact").alias("status"), lit("b").alias("basis")),
+    }
+    return relationships.census_violations(tables)
