@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tesserae.operators import grid
 from tesserae.plans.registry import query
-from tesserae.sources import layouts
+from tesserae.sources import flow, layouts
+from tesserae.sources.stored import shared_folder
 from tesserae.sources.tables import table
+from tesserae.sources.versions import Store
 
 
 def _lines_of(orders, line):
@@ -47,6 +51,20 @@ def layout_accounts(spark, sf):
     return layouts.reconciled(lines, docs, "doc", "body").select("doc", "layout", "lines", "rows", "unparsed", "sections", "coverage")
 
 
+@query(_DOCS + """ SELECT doc, CASE WHEN NOT doubled AND NOT plain THEN ['ranking', 'entries', 'report'][kind + 1] END AS layout, CASE WHEN NOT doubled AND NOT plain THEN n - bad ELSE 0 END::BIGINT AS rows, CASE WHEN NOT doubled AND NOT plain THEN n ELSE 0 END::BIGINT AS observations,
+  CASE WHEN doubled THEN 'ambiguous' WHEN plain THEN 'unsupported' WHEN bad = 0 THEN 'complete' ELSE 'partial' END AS coverage FROM d""")
+def evidence_flow(spark, sf):
+    """The printed documents arrive in two batches that overlap, and go through archive, extraction, ingestion and readiness."""
+    docs = _documents(spark, sf)
+    store = Store(spark, f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}")
+    flow.flow(store, docs.where("doc % 2 = 0").withColumnRenamed("body", "text"), layouts.EXAMPLES, "v1")
+    last = flow.flow(store, docs.withColumnRenamed("body", "text"), layouts.EXAMPLES, "v1")
+    seen = last.table("observations").groupBy("job_id").agg(F.count("*").alias("observations"))
+    job = F.sha2(F.concat_ws("\x1f", F.sha2("body", 256), F.lit("v1")), 256).alias("job_id")
+    ready = docs.select("doc", job).join(last.table("readiness"), "job_id").join(seen, "job_id", "left")
+    return ready.select("doc", "layout", "rows", F.coalesce("observations", F.lit(0).cast("long")).alias("observations"), "coverage")
+
+
 @query("""SELECT o_custkey::VARCHAR AS doc, ['ranking', 'entries', 'report'][o_custkey % 3 + 1] AS layout, o_orderkey AS number, CASE WHEN o_orderstatus = 'P' THEN 'unparsed' ELSE 'row' END AS role,
   CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 5 = 0 THEN 'BO' END AS status, CASE WHEN o_custkey % 3 = 1 THEN 'Name of ' || o_orderpriority || CASE WHEN o_orderkey % 5 = 0 THEN ' continued' ELSE '' END END AS name,
   CASE WHEN o_orderstatus = 'P' AND o_custkey % 3 <> 1 THEN 'none' WHEN o_orderstatus <> 'P' THEN CASE WHEN o_custkey % 3 = 2 THEN (o_orderkey % 100)::VARCHAR ELSE o_orderkey % 60 || ':' || lpad((o_orderkey % 61)::VARCHAR, 2, '0') END END AS result

@@ -80,6 +80,30 @@ def test_derivations_are_computed_once(spark, store):
     assert {r["error"] for r in derived.derive(store, rows, ["id"], "p/4", "s", lambda jobs: twice(jobs).limit(0))[1].collect()} == {"no-result"}
 
 
+def test_flow_takes_in_what_is_new(spark, store):
+    from tesserae.sources import flow
+    from tesserae.sources.layouts import EXAMPLES
+    from tests.test_grid import PAGES
+
+    heard = []
+    texts = lambda pages: spark.createDataFrame([(t,) for _, t in pages], "text string")
+    run = lambda pages, parser="v1": flow.flow(store, texts(pages), EXAMPLES, parser, lambda stage, n: heard.append((stage, n)))
+    first = run(PAGES[:3] * 2)
+    assert heard == [("archive", 3), ("extraction", 3), ("ingestion", 3), ("readiness", 3)]
+    again = run(PAGES[:3])
+    assert again.number == first.number and heard[4:] == [(s, 0) for s in flow.STAGES]
+    last = run(PAGES)
+    assert [n for _, n in heard[8:]] == [3, 3, 0, 3]  # documents that no layout reads have no observations
+    ready = last.table("readiness")
+    assert ready.count() == 6 and {r["coverage"] for r in ready.collect()} == {"complete", "partial", "unsupported", "ambiguous", "needs-ocr"} - ({"complete"} if not ready.where("coverage = 'complete'").count() else set())
+    seen = last.table("observations")
+    assert seen.groupBy("job_id").agg(F.max("ordinal").alias("m"), F.count("*").alias("n")).where("m + 1 <> n").isEmpty()
+    assert seen.count() == ready.agg(F.sum(F.col("rows") + F.col("unparsed"))).first()[0]
+    # a run that is lost after extraction goes on from there; another parser reads all objects again
+    other = run(PAGES, "v2")
+    assert other.table("readiness").count() == 12 and other.rows("objects") == 6
+
+
 DECISIONS = "result_id string, revision long, action string, score int"
 
 
