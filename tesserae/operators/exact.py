@@ -205,3 +205,25 @@ def selection_problems(members: DataFrame, selected: DataFrame, previous: DataFr
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
+
+
+def _printed(source: Column, coordinates: Column, line: Column, fields: Column) -> Column:
+    """The exact key of a printed row; null where its line or fields are unknown. Variants are written with sorted keys."""
+    whole = source.isNotNull() & line.isNotNull() & fields.isNotNull()
+    return F.when(whole, F.sha2(F.concat_ws("\x1f", source, F.coalesce(F.to_json(coordinates), F.lit("null")), line, F.to_json(fields)), 256))
+
+
+def retained_matches(candidates: DataFrame, positions: DataFrame) -> DataFrame:
+    """(candidate_id, position_id, status) of retained candidates (candidate_id, source_sha256, coordinates, line, fields) against imported positions
+    (position_id, the same): exact by source, coordinates, printed line and fields.
+
+    ``matched`` needs one position of that key which no other candidate has; else ``unmatched``, ``incomplete`` (no printed line or fields),
+    ``ambiguous-position`` (several positions) or ``position-reused`` (several candidates).
+    """
+    key = _printed(F.col("source_sha256"), F.col("coordinates"), F.col("line"), F.col("fields"))
+    held = positions.withColumn("__key", key).where("__key is not null").groupBy("__key").agg(F.count("*").alias("__n"), F.min("position_id").alias("position_id"))
+    own = candidates.select("candidate_id", key.alias("__key"))
+    uses = own.groupBy("__key").agg(F.count("*").alias("__uses"))
+    joined = own.join(held, "__key", "left").join(uses, "__key", "left")
+    status = F.when(F.col("__key").isNull(), "incomplete").when(F.col("__n").isNull(), "unmatched").when(F.col("__n") > 1, "ambiguous-position").when(F.col("__uses") > 1, "position-reused").otherwise("matched")
+    return joined.select("candidate_id", F.when(status == "matched", F.col("position_id")).alias("position_id"), status.alias("status"))

@@ -155,3 +155,51 @@ def census_violations(tables: dict[str, DataFrame]) -> DataFrame:
         lost(relations.where("right is not null"), "unknown-position", "right", positions),
     ]
     return functools.reduce(DataFrame.unionByName, parts).distinct()
+
+
+def audit_problems(observations: DataFrame, edges: DataFrame, routes: DataFrame, route_edges_: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(problem, left, right) of a ledger of relationships that was handed in.
+
+    ``edges`` is (left, right, kind, fields: array of names that are claimed to be equal) between observations, ``route_edges_`` (left, right, kind, basis_sha256) between
+    routes (route_id, source_sha256), ``recorded`` (scope, kind, edges) the counts that it states. Ends must be known and two, a pair stands once,
+    duplicates and revisions are of one place, text and scope (read alike, or by other parsers), attempts agree in event, discipline, day and three
+    fields or more, route duplicates have the bytes that they name, and the counts are right. Unknown edges need known ends only.
+    """
+    kind = F.col("kind")
+    known = observations.select("ref", F.struct(*(c for c in observations.columns if c != "ref")).alias("o"))
+    joined = beside(beside(edges, known.withColumnsRenamed({"ref": "left", "o": "a"}), ["left"]), known.withColumnsRenamed({"ref": "right", "o": "b"}), ["right"])
+    a, b = F.col("a"), F.col("b")
+    one_source, one_text = a["source_sha256"] == b["source_sha256"], a["source_text"] == b["source_text"]
+    scope = a["event_key"].eqNullSafe(b["event_key"]) & a["discipline"].eqNullSafe(b["discipline"]) & a["day"].eqNullSafe(b["day"])
+    both = _cited(a) & _cited(b)
+    same = F.coalesce(both & one_source & (a["page"] == b["page"]) & (a["line"] == b["line"]) & one_text & scope, F.lit(False))
+    parsers, parsed = a["parser_version"].eqNullSafe(b["parser_version"]), _ordered(a["parsed"]).eqNullSafe(_ordered(b["parsed"]))
+    fields = (F.size("fields") >= 3) & (F.size(F.array_distinct("fields")) == F.size("fields")) & F.forall("fields", lambda f: F.coalesce(F.try_element_at(a["parsed"], f) == F.try_element_at(b["parsed"], f), F.lit(False)))
+    # an unknown day proves nothing across sources
+    dated = F.coalesce(a["day"] == b["day"], F.lit(False)) | one_source
+    attempt = both & _text(a["event_key"]) & (a["event_key"] == b["event_key"]) & _text(a["discipline"]) & (a["discipline"] == b["discipline"]) & dated & fields
+    unknown_end = a.isNull() | b.isNull() | F.col("left").eqNullSafe(F.col("right"))
+    wrong = (
+        F.when(unknown_end, "unknown-end")
+        .when(~F.coalesce(kind.isin(*KINDS), F.lit(False)), "unknown-kind")
+        .when((kind == "source-duplicate") & ~(same & parsed), "no-duplicate")
+        .when((kind == "parser-revision") & ~(same & ~parsers), "no-revision")
+        .when((kind == "same-attempt") & ~F.coalesce(attempt, F.lit(False)), "no-same-attempt")
+    )
+    pair = (F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"))
+    repeated = lambda rows: rows.select(*pair).groupBy("left", "right").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated-pair").alias("problem"), "left", "right")
+    by_route = routes.select("route_id", "source_sha256", F.lit(True).alias("__in"))
+    r = beside(beside(route_edges_, by_route.toDF("left", "sha_a", "in_a"), ["left"]), by_route.toDF("right", "sha_b", "in_b"), ["right"])
+    bytes_ok = F.coalesce((F.col("sha_a") == F.col("sha_b")) & (F.col("sha_a") == F.col("basis_sha256")), F.lit(False))
+    wrong_route = (
+        F.when(F.col("in_a").isNull() | F.col("in_b").isNull() | F.col("left").eqNullSafe(F.col("right")), "unknown-end")
+        .when(~F.coalesce(kind.isin("source-duplicate", "unknown"), F.lit(False)), "unknown-kind")
+        .when((kind == "source-duplicate") & ~bytes_ok, "no-duplicate")
+    )
+    counted = edges.select(F.lit("observation").alias("scope"), "kind").unionByName(route_edges_.select(F.lit("source-route").alias("scope"), "kind")).groupBy("scope", "kind").agg(F.count("*").alias("__n"))
+    counts = recorded.join(counted, ["scope", "kind"], "left").where(F.col("edges") != F.coalesce("__n", F.lit(0)))
+    parts = (
+        joined.select(wrong.alias("problem"), "left", "right").where("problem is not null"), repeated(edges), r.select(wrong_route.alias("problem"), "left", "right").where("problem is not null"), repeated(route_edges_),
+        counts.select(F.lit("count-mismatch").alias("problem"), F.col("scope").alias("left"), F.col("kind").alias("right")),
+    )
+    return functools.reduce(DataFrame.unionByName, parts).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import labels
-from tesserae.operators import comparing, exact, inspector
+from tesserae.operators import comparing, exact, inspector, refresh
 from tesserae.plans.registry import query
 from tesserae.plans.stores import public_results_current
 from tesserae.sources import contexts
@@ -173,3 +173,33 @@ def public_coverage(spark, sf):
     """The facade over the results that may be shown now."""
     shown = public_results_current(spark, sf).withColumn("identity_id", F.substring("result_id", -1, 1))
     return inspector.PublicResults(shown.withColumn("source_name", F.lit("n"))).coverage()
+
+
+@query("""WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, count(*) OVER (PARTITION BY l_partkey, l_linenumber, l_returnflag, l_quantity) AS uses FROM lineitem WHERE l_linenumber <= 2),
+p AS (SELECT l_partkey, l_linenumber, l_returnflag, l_quantity, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 AND l_partkey % 4 <> 0 GROUP BY ALL)
+SELECT status, count(*) AS candidates FROM (SELECT CASE WHEN l_suppkey % 5 = 0 THEN 'incomplete' WHEN p.n IS NULL THEN 'unmatched' WHEN p.n > 1 THEN 'ambiguous-position' WHEN uses_kept > 1 THEN 'position-reused' ELSE 'matched' END AS status
+  FROM (SELECT *, count(*) FILTER (l_suppkey % 5 <> 0) OVER (PARTITION BY l_partkey, l_linenumber, l_returnflag, l_quantity) AS uses_kept FROM k) k LEFT JOIN p USING (l_partkey, l_linenumber, l_returnflag, l_quantity)) GROUP BY status""")
+def retained_positions(spark, sf):
+    """Order lines as retained candidates, keyed by part (source), line number (coordinates), return flag (printed line) and quantity (fields)."""
+    lines = table(spark, sf, "lineitem").where("l_linenumber <= 2")
+    number = F.col("l_quantity").cast("long").cast("string")
+    kept = [F.col("l_partkey").cast("string").alias("source_sha256"), F.parse_json(F.concat(F.lit('{"row": '), F.col("l_linenumber").cast("string"), F.lit("}"))).alias("coordinates"), F.col("l_returnflag").alias("line"), F.parse_json(F.concat(F.lit('{"b": '), number, F.lit(', "a": 1}'))).alias("fields")]
+    ident = F.concat_ws("/", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")))
+    candidates = lines.select(ident.alias("candidate_id"), *kept).withColumn("line", F.when(F.split("candidate_id", "/")[3].cast("long") % 5 != 0, F.col("line")))
+    positions = lines.where("l_partkey % 4 <> 0").select(ident.alias("position_id"), *kept)
+    return exact.retained_matches(candidates, positions).groupBy("status").agg(F.count("*").alias("candidates"))
+
+
+@query("""WITH o AS (SELECT *, o_orderdate::DATE AS day, o_orderkey % 4 AS k FROM orders), x AS (SELECT *, DATE '2001-06-01' - day AS age, k = 0 AS provisional, CASE WHEN k = 0 THEN 1 WHEN k = 3 OR DATE '2001-06-01' - day <= 30 THEN 7 ELSE 90 END AS interval FROM o)
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0 WHEN k <> 3 AND day > DATE '2001-06-01' THEN NULL ELSE interval END AS interval_days,
+  CASE WHEN o_orderstatus = 'P' THEN 'index_each_run' WHEN k <> 3 AND day > DATE '2001-06-01' THEN 'publication-in-the-future' WHEN o_custkey % 6 = 0 THEN 'never_checked'
+    ELSE CASE WHEN k = 0 THEN 'provisional' WHEN k = 3 OR age <= 30 THEN 'recent_or_undated' ELSE 'stable' END || CASE WHEN o_custkey % 100 >= interval THEN '_due' ELSE '_not_due' END END AS reason FROM x""")
+def refresh_plans(spark, sf):
+    """Orders as results of publishers, pending ones as indexes; their last check lies up to 99 days back."""
+    k, owner = F.col("o_orderkey") % 4, F.col("o_custkey")
+    checked = F.date_format(F.date_sub(F.lit("2001-06-01").cast("date"), (owner % 100).cast("int")), "yyyy-MM-dd")
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "P", "index").otherwise("result").alias("kind"), F.when(k != 3, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("publication_date"), (k == 0).alias("provisional"),
+        F.when(owner % 6 != 0, F.when(owner % 2 == 0, checked).otherwise(F.concat(checked, F.lit("T08:00:00Z")))).alias("last_check"),
+    )
+    return refresh.planned(rows, "2001-06-01").select("o_orderkey", "interval_days", "reason")

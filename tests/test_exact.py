@@ -232,3 +232,26 @@ def test_workbook_rows_and_packets(spark, tmp_path):
     objects = spark.createDataFrame([("h", "p", 1), ("g", "q", 2)], "sha256 string, path string, bytes int")
     got = contexts.inspected(objects, spark.createDataFrame([("h", "a2"), ("h", "a1"), ("g", "a3")], "sha256 string, acquisition_id string"), "h").collect()
     assert [r["acquisition_id"] for r in got] == ["a1", "a2"]
+
+
+def test_retained_matches(spark):
+    rows = [("k1", "s", '{"page": 1, "line": 2}', "a", '{"x": 1, "y": 2}'), ("k2", "s", '{"page": 1, "line": 3}', "a", '{"x": 1}'), ("k3", "s", None, "a", '{"x": 1}'), ("k4", "s", '{"page": 9}', None, '{"x": 1}'), ("k5", "t", '{"page": 1}', "b", "{}"), ("k6", "t", '{"page": 1}', "b", "{}"), ("k7", "u", '{"page": 1}', "b", "{}")]
+    kept = [("p1", "s", '{"line": 2, "page": 1}', "a", '{"y": 2, "x": 1}'), ("p2", "s", '{"page": 1, "line": 3}', "A", '{"x": 1}'), ("p3", "s", None, "a", '{"x": 1}'), ("p5", "t", '{"page": 1}', "b", "{}"), ("p7", "u", '{"page": 1}', "b", "{}"), ("p8", "u", '{"page": 1}', "b", "{}")]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} string, source_sha256 string, coordinates string, line string, fields string").withColumns({c: F.parse_json(c) for c in ("coordinates", "fields")})
+    out = {r["candidate_id"]: (r["position_id"], r["status"]) for r in exact.retained_matches(frame(rows, "candidate_id"), frame(kept, "position_id")).collect()}
+    assert out == {"k1": ("p1", "matched"), "k2": (None, "unmatched"), "k3": ("p3", "matched"), "k4": (None, "incomplete"), "k5": (None, "position-reused"), "k6": (None, "position-reused"), "k7": (None, "ambiguous-position")}
+
+
+def test_refresh_plans(spark):
+    from tesserae.operators import refresh
+
+    cases = [
+        (("index", None, None, None), (True, "index_each_run", 0)), (("result", None, None, None), (True, "never_checked", 7)), (("result", "2026-05-20", False, "2026-05-30"), (False, "recent_or_undated_not_due", 7)), (("result", "2026-05-20", False, "2026-05-25T10:00:00+02:00"), (True, "recent_or_undated_due", 7)),
+        (("result", "2025-05-20", False, "2026-05-01"), (False, "stable_not_due", 90)), (("result", "2025-05-20", True, "2026-05-31"), (True, "provisional_due", 1)), (("result", "2026-02-30", False, None), (None, "invalid-publication-date", None)), (("result", "2027-01-01", False, None), (None, "publication-in-the-future", None)),
+        (("result", None, False, "2026-05-01T10:00:00"), (None, "invalid-check", None)), (("result", None, False, "2026-06-02"), (None, "check-in-the-future", None)), (("page", None, False, None), (None, "unknown-kind", None)),
+    ]
+    frame = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, kind string, publication_date string, provisional boolean, last_check string")
+    out = {r["i"]: (r["due"], r["reason"], r["interval_days"]) for r in refresh.planned(frame, "2026-06-01").collect()}
+    assert [out[i] for i in range(len(cases))] == [w for _, w in cases]
+    with pytest.raises(ValueError):
+        refresh.Policy(recent=200)

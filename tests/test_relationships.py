@@ -116,3 +116,18 @@ def test_census_rules(spark):
         ("unknown-event", "s3"), ("provenance-without-gap", "s3"), ("unknown-source", "p3"), ("incomplete-position", "p4"), ("position-status", "p4"), ("unresolved-without-reason", "p4"), ("malformed-observation", "p4"), ("conflicting-observation", "p1"), ("conflicting-observation", "p2"), ("conflicting-observation", "p4"),
         ("gap-unknown-event", "g3"), ("gap-unknown-source", "g4"), ("gap-scope", "g5"), ("incomplete-gap", "g5"), ("relationship-kind", "x2"), ("unknown-position", "x2"), ("relationship-kind", "x3"), ("incomplete-relationship", "x3"),
     }
+
+
+def test_audit_of_a_ledger(spark):
+    obs = [("a", "s", 1, 1, "t", "e", "d", None, "v1", {"x": "1", "y": "2", "z": "3"}), ("b", "s", 1, 1, "t", "e", "d", None, "v2", {"x": "1", "y": "2", "z": "3"}), ("c", "u", 1, 1, "t", "e", "d", None, "v1", {"x": "1", "y": "2", "z": "3"}), ("d", "u", 1, 2, "q", "e", "d", "1", "v1", {"x": "1", "y": "2", "z": "9"}), ("f", "w", 1, 2, "q", "e", "d", "1", "v1", {"x": "1", "y": "2", "z": "9"})]
+    three = ["x", "y", "z"]
+    edges = [("a", "b", "source-duplicate", None), ("b", "a", "unknown", None), ("a", "c", "source-duplicate", None), ("c", "d", "parser-revision", None), ("a", "zz", "unknown", None), ("c", "c", "unknown", None), ("b", "d", "odd", None), ("b", "c", "same-attempt", three), ("d", "f", "same-attempt", three), ("c", "f", "unknown", None), ("a", "d", "same-attempt", three)]
+    routes = [("r1", "h"), ("r2", "h"), ("r3", "g")]
+    links = [("r1", "r2", "source-duplicate", "h"), ("r1", "r3", "source-duplicate", "h"), ("r2", "r9", "unknown", None), ("r2", "r3", "same-attempt", None), ("r2", "r1", "unknown", None)]
+    recorded = [("observation", "same-attempt", 3), ("observation", "unknown", 9), ("source-route", "unknown", 2), ("source-route", "parser-revision", 1)]
+    make = spark.createDataFrame
+    out = relationships.audit_problems(make(obs, OBS), make(edges, "left string, right string, kind string, fields array<string>"), make(routes, "route_id string, source_sha256 string"), make(links, "left string, right string, kind string, basis_sha256 string"), make(recorded, "scope string, kind string, edges long"))
+    assert {tuple(r) for r in out.collect()} == {
+        ("repeated-pair", "a", "b"), ("no-duplicate", "a", "c"), ("no-revision", "c", "d"), ("unknown-end", "a", "zz"), ("unknown-end", "c", "c"), ("unknown-kind", "b", "d"), ("no-same-attempt", "b", "c"), ("no-same-attempt", "a", "d"), ("no-duplicate", "r1", "r3"), ("unknown-end", "r2", "r9"), ("unknown-kind", "r2", "r3"),
+        ("repeated-pair", "r1", "r2"), ("count-mismatch", "observation", "unknown"), ("count-mismatch", "source-route", "parser-revision"),
+    }
