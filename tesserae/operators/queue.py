@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SAME_RESULT = ("duplicate_rendering", "supporting_overlap", "matching_timing_view")
 SEMANTICS = ("unsupported_image_results", "supplemental_aggregate", "supplemental_combined_ranking")
 REVISIONS = ("source_revision", "publisher_revision", "same_result")
+#: The source and collection whose records are unmatched attempts.
+UNMATCHED = ("ffessm-correspondences", "unmatched_daily")
 GROUPS = ("source_revision_same_result", "same_attempt_relationship", "extraction_source_semantics", "event_publication", "coverage_finality")
 #: Groups whose items also lack an approval until one is recorded.
 APPROVED = ("source_revision_same_result", "event_publication")
@@ -28,7 +30,7 @@ def queue_group(kind: Column, source: Column, collection: Column, raw: Column) -
     return (
         F.when(kind == "relationship", by_relationship)
         .when(collection == "unparsed_rows", GROUPS[2])
-        .when((source == "ffessm-correspondences") & (collection == "unmatched_daily"), GROUPS[1])
+        .when((source == UNMATCHED[0]) & (collection == UNMATCHED[1]), GROUPS[1])
         .when(collection == "source_relationship_gaps", GROUPS[3])
         .when(collection == "retained_only_artifacts", GROUPS[2])
         .when(disposition.isin(*SAME_RESULT), GROUPS[0])

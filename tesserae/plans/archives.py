@@ -119,7 +119,7 @@ def review_queue(spark, sf):
     relation = F.when(d == 0, "same_result").when(d == 1, "same_attempt").otherwise("other")
     raw = F.concat(F.lit("{"), F.concat_ws(", ", field(size % 3 == 0, "reason", F.col("p_name")), field(size % 2 == 0, "basis", F.col("p_brand")), field(c == 0, "relationship_type", relation), assessment), F.lit("}"))
     rows = table(spark, sf, "part").select(
-        F.col("p_partkey").cast("string").alias("record_id"), F.when(c == 0, "relationship").otherwise("gap").alias("kind"), F.lit("ffessm-correspondences").alias("source_name"), F.element_at(F.array(*map(F.lit, _GROUPS)), (c + 1).cast("int")).alias("collection"), F.parse_json(raw).alias("raw")
+        F.col("p_partkey").cast("string").alias("record_id"), F.when(c == 0, "relationship").otherwise("gap").alias("kind"), F.lit(queue.UNMATCHED[0]).alias("source_name"), F.element_at(F.array(*map(F.lit, _GROUPS)), (c + 1).cast("int")).alias("collection"), F.parse_json(raw).alias("raw")
     )
     return queue.queue_items(rows).select("id", "group", "trigger", F.array_join("supporting", ",").alias("supporting"), F.size("unknown").alias("unknown"))
 

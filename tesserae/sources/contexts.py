@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|$)", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Classes of elements whose images name the event.
+#: Classes of elements whose images name the event.
 BRANDING = ("site-header__branding", "site-header__branding2")
 
 

@@ -12,7 +12,7 @@ from tesserae.plans import registry
 def test_queue_items(spark):
     rows = [
         ("relationship", "x", "c", {"relationship_type": "publisher_revision", "basis": "b"}, "source_revision_same_result"), ("relationship", "x", "c", {"relationship_type": "same_attempt"}, "same_attempt_relationship"), ("relationship", "x", "c", {"relationship_type": "other"}, None),
-        ("gap", "x", "unparsed_rows", {"reason": "r", "value": "v"}, "extraction_source_semantics"), ("gap", "ffessm-correspondences", "unmatched_daily", {"value": 5}, "same_attempt_relationship"), ("gap", "x", "unmatched_daily", {"assessment": {"disposition": "supporting_overlap", "evidence": ["e"], "contrary_evidence": "c"}}, "source_revision_same_result"),
+        ("gap", "x", "unparsed_rows", {"reason": "r", "value": "v"}, "extraction_source_semantics"), ("gap", *queue.UNMATCHED, {"value": 5}, "same_attempt_relationship"), ("gap", "x", "unmatched_daily", {"assessment": {"disposition": "supporting_overlap", "evidence": ["e"], "contrary_evidence": "c"}}, "source_revision_same_result"),
         ("gap", "x", "source_relationship_gaps", {"assessment": {"failure_reason": "f"}}, "event_publication"), ("gap", "x", "retained_only_artifacts", {}, "extraction_source_semantics"), ("gap", "x", "z", {"assessment": {"disposition": "supplemental_aggregate"}}, "extraction_source_semantics"), ("gap", "x", "z", {"reason": "", "contrary_evidence": []}, "coverage_finality"),
     ]
     frame = spark.createDataFrame([(f"r{i}", k, s, c, json.dumps(raw)) for i, (k, s, c, raw, _) in enumerate(rows)], "record_id string, kind string, source_name string, collection string, raw string").withColumn("raw", F.parse_json("raw"))
