@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import textkernel as tk
+from tesserae.operators.ordering import beside, numbered
 from tesserae.sources.stored import stored
 
 SEED = 32
@@ -407,22 +408,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     bytes that remain.
 
     Texts are UTF-8 bytes, null is empty; matches never cross documents. Equal rows that repeat an id count as one document
-    and each gets its result; of rows that repeat an id with different texts, those of the least text hash do, the others are
-    not searched and stay whole, as does a row with a null id. Other columns are ignored; an empty table gives no rows.
+    and each gets its result. Rows that repeat an id with different texts are documents in the order of their text hashes; rows without an
+    id come after all others, in that order too. Other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    by_id = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least"), F.max(F.xxhash64("text")).alias("most"), F.sum(F.octet_length("text")).alias("n"))
-    n_bytes, doubtful = by_id.agg(F.sum("n"), F.count_if(F.col("least") != F.col("most"))).first()
+    by_id = rows.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least"), F.max(F.xxhash64("text")).alias("most"), F.sum(F.octet_length("text")).alias("n"))
+    n_bytes, doubtful = by_id.agg(F.sum("n"), F.count_if((F.col("least") != F.col("most")) | F.col("doc_id").isNull())).first()
     if not doubtful:
-        return _deduped(rows, rows.where("doc_id is not null"), length, with_bytes, hot_bytes, n_bytes or 0)
-    one = by_id.where("least <> most").select("doc_id", "least")
-    marked = stored(rows.join(one, "doc_id", "left").select("doc_id", "text", (F.col("doc_id").isNotNull() & (F.col("least").isNull() | (F.col("least") == F.xxhash64("text")))).alias("searched")), "searched")
-    searched = marked.where("searched").select("doc_id", "text")
-    rest = marked.where("not searched").select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("doc_id").alias("id"))
-    out = _deduped(searched, searched, length, with_bytes, hot_bytes, n_bytes)
-    whole = _unsearched(rest, with_bytes).withColumn("doc_id", F.col("id"))
-    return out.unionByName(whole.select(out.columns))
+        return _deduped(rows, rows, length, with_bytes, hot_bytes, n_bytes or 0)
+    # each text of an id gets a number that stands for it
+    own = rows.withColumn("body", F.sha2("text", 256))
+    numbers = stored(numbered(own.select("doc_id", "body").distinct(), [], [F.asc_nulls_last("doc_id"), F.col("body")], "number"), "numbers")
+    named = stored(beside(own, numbers, ["doc_id", "body"]).select(F.col("number").alias("doc_id"), "text"), "numbered")
+    out = _deduped(named, named, length, with_bytes, hot_bytes, n_bytes or 0)
+    known = numbers.select(F.col("doc_id").alias("id"), F.col("number").alias("doc_id"))
+    return out.join(known, "doc_id").select(F.col("id").alias("doc_id"), *(c for c in out.columns if c != "doc_id"))
 
 
 def _unsearched(rows: DataFrame, with_bytes: bool) -> DataFrame:
