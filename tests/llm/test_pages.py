@@ -40,6 +40,23 @@ def test_odd_urls(spark):
     assert url_filters.filtered(df).count() == len(rows) and url_filters.filtered(df.limit(0)).count() == 0
 
 
+def test_rules_of_any_urls(spark):
+    draw = random.Random(6)
+    part = lambda pool, n: "".join(draw.choice(pool) for _ in range(draw.randrange(n)))
+    host = lambda: part(["\0", "\n", "é", "\x7f", "%", ".", "a", "\U0001f600", " ", "@", ":"], 4) + draw.choice(["", ".", "\0."]) + draw.choice(["com", "Example.com", "net", "example.NET", "org", "com\0", "\0com"])
+    urls = [part(["h", ":", "\0"], 3) + "://" + host() + draw.choice(["/en/", "/en/7", "/de/", "/de/8", "/es/", "/\0en/", "\0/en/"]) + part(["\0", "\n", "?", "#", "x", "/", "é"], 5) for _ in range(3000)]
+    rules = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+    out = {r["page_id"]: r for r in url_filters.filtered(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    for i, url in enumerate(urls):
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [(len(h + p), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (out[i]["host"], out[i]["path"], out[i]["rule"]) == (host, path, max(fits)[2] if fits else None), url
+        assert not fits or out[i]["verdict"] == max(fits)[1]
+
+
 def test_many_rules_equal_expressions(spark):
     """A table of thousands of rules, more than one automaton holds, against one expression a rule."""
     import random
