@@ -86,7 +86,7 @@ def aligned_rows(spark, sf):
     number = F.when(F.col("o_custkey") % 2 == 0, F.lpad(key, 12, " ")).otherwise(wide(key, 12))  # to the right or left
     owner = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey").cast("string")).otherwise("")
     row = F.concat(indent, number, F.lit("   "), wide(F.col("o_orderpriority"), 18), wide(F.col("o_orderstatus"), 9), wide(F.date_format("o_orderdate", "yyyy-MM-dd"), 13), wide(owner, 11), F.lit("end"))
-    crowded = F.when((F.col("o_custkey") % 11 == 0), F.regexp_replace(row, r"-(\S+) +(\S) +", "-$1 ------------------$2 ")).otherwise(row)
+    crowded = F.when((F.col("o_custkey") % 11 == 0), F.regexp_replace(row, r"-(\S+(?: \S+)*) +(\S) +", "-$1 ------------------$2 ")).otherwise(row)
     rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("line"), crowded.alias("text"))
     pages = table(spark, sf, "orders").select("o_custkey").distinct().where("o_custkey % 7 <> 0")
     heading = F.concat(indent, F.when(F.col("o_custkey") % 2 == 0, F.lpad(F.lit("Order"), 12, " ")).otherwise(F.rpad(F.lit("Order"), 12, " ")), F.lit("   "), wide(F.lit("Priority"), 18), wide(F.lit("State"), 9), wide(F.lit("Day"), 13), wide(F.lit("Customer"), 11), F.lit("End"))

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import grid
+from tesserae.plans import registry
 from tesserae.sources import layouts
+from tests.compare import bag, connection
 
 
 def test_islands_equal_brute_force(spark):
@@ -149,3 +151,11 @@ def test_bound_layouts_need_their_source(spark):
     bound = layouts.Layout("bound", ("Pairs",), (layouts.Rule("start", ".*", "skip", "start"),), ("ab",))
     docs = spark.createDataFrame([("d", "Pairs", "ab"), ("e", "Pairs", "cd")], "id string, body string, sha string")
     assert {r["doc"]: r["role"] for r in layouts.laid_out(docs, [bound], "id", "body", "sha").collect()} == {"d": "skip", "e": "unsupported"}
+
+
+def test_crowded_pages_of_one_priority(spark, tmp_path):
+    """A page that is to be crowded holds only priorities of two words."""
+    orders = [(1, 22, "O", "4-NOT SPECIFIED"), (2, 22, "F", "4-NOT SPECIFIED"), (3, 23, "F", "4-NOT SPECIFIED"), (4, 33, "P", "1-URGENT"), (5, 33, "P", "4-NOT SPECIFIED")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").withColumn("o_orderdate", F.lit("1995-01-02").cast("timestamp")).write.parquet(str(tmp_path / "orders.parquet"))
+    found, wanted = registry.queries()["aligned_rows"](spark, str(tmp_path)).toPandas(), connection(tmp_path).sql(registry.oracle_sql()["aligned_rows"]).df()
+    assert bag(found) == bag(wanted)
