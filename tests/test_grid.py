@@ -159,3 +159,10 @@ def test_crowded_pages_of_one_priority(spark, tmp_path):
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").withColumn("o_orderdate", F.lit("1995-01-02").cast("timestamp")).write.parquet(str(tmp_path / "orders.parquet"))
     found, wanted = registry.queries()["aligned_rows"](spark, str(tmp_path)).toPandas(), connection(tmp_path).sql(registry.oracle_sql()["aligned_rows"]).df()
     assert bag(found) == bag(wanted)
+
+
+def test_patterns_are_made_once_and_lines_handed_on_together(spark):
+    assert layouts._by_state(layouts.RANKING) is layouts._by_state(layouts.RANKING)
+    docs = spark.createDataFrame([(str(i), f"Report of the jury\n-----\nSea {i} | M | {i}\n-----") for i in range(6000)], "id string, body string").coalesce(1)
+    lines = layouts.laid_out(docs, layouts.EXAMPLES, "id", "body")
+    assert lines.count() == 4 * 6000 and lines.where("role = 'row' and fields['result'] = ' ' || doc").count() == 6000
