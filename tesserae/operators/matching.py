@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.names import folded, token_order, tokens
+from tesserae.sources.stored import stored
+
+#: So many pairs, about, are one task's work.
+PAIRS = 2_000_000
 
 
 def name_groups(people: DataFrame, id_col: str, name_col: str, source_col: str) -> DataFrame:
@@ -115,11 +119,43 @@ def near_misses(left: DataFrame, right: DataFrame, exact: list[str], loose: list
     return found.select(left_id, "match", F.lit(None).cast(rest.schema["near"].dataType).alias("near")).unionByName(rest)
 
 
+def crossed(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``left`` and ``right`` with equal ``keys``, as an inner join; no other column is in both.
+
+    For keys that many rows of both sides share. Pairs are counted by key first: tasks are as many as the pairs need, and a key of
+    more than ``PAIRS`` pairs is cut into cells, each with a part of its left rows.
+    """
+    sizes = left.groupBy(*keys).agg(F.count("*").alias("__l")).join(right.groupBy(*keys).agg(F.count("*").alias("__r")), keys)
+    work = stored(sizes.select(*keys, F.ceil(F.col("__l") * F.col("__r") / PAIRS).alias("__cells"), (F.col("__l") * F.col("__r")).alias("__pairs")), "work")
+    tasks = 1 + (work.agg(F.sum("__pairs")).first()[0] or 0) // PAIRS
+    hot = work.where("__cells > 1").select(*keys, "__cells")
+    cells = F.coalesce("__cells", F.lit(1).cast("long"))
+    l = left.join(hot, keys, "left").withColumn("__cell", F.pmod(F.xxhash64(*left.columns), cells)).drop("__cells")
+    r = right.join(hot, keys, "left").withColumn("__cell", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1))).drop("__cells")
+    on = [*keys, "__cell"]
+    return l.repartition(tasks, *on).join(r.repartition(tasks, *on).hint("merge"), on).drop("__cell")
+
+
 def routes(index: DataFrame, asked: DataFrame) -> DataFrame:
     """(id, found, routes): what an inverted index (route, key, id) holds for the keys (route, key, id) of each asked id, with
     the routes that led there, sorted."""
-    hits = asked.select("route", "key", F.col("id").alias("asked")).join(index.select("route", "key", F.col("id").alias("found")), ["route", "key"]).where("asked <> found")
-    return hits.groupBy("asked", "found").agg(F.array_join(F.array_sort(F.collect_set("route")), ",").alias("routes"))
+    # keys of both sides are numbered; both sides know all numbers of their id, so a pair is given once, by its least shared number,
+    # and pairs are not shuffled
+    known = lambda rows: rows.where("route is not null and key is not null and id is not null").select("route", "key", "id").distinct()
+    shared_keys = known(asked).select("route", "key").distinct().join(known(index).select("route", "key").distinct(), ["route", "key"])
+    numbers = stored(shared_keys.withColumn("__key", F.monotonically_increasing_id()), "keys")
+
+    def entries(rows: DataFrame, name: str) -> DataFrame:
+        numbered = known(rows).join(numbers, ["route", "key"])
+        return numbered.groupBy(F.col("id").alias(name)).agg(F.collect_list(F.struct("__key", "route")).alias(f"__{name}"))
+
+    left = entries(asked, "asked").select("asked", "__asked", F.col("__asked")["__key"].alias("__mine"), F.inline("__asked"))
+    right = entries(index, "found").select("found", F.col("__found")["__key"].alias("__theirs"), F.explode(F.col("__found")["__key"]).alias("__key"))
+    hits = crossed(left, right, ["__key"]).where("asked <> found").withColumn("__both", F.array_intersect("__mine", "__theirs"))
+    least = hits.where((F.size("__both") == 1) | (F.array_min("__both") == F.col("__key")))
+    several = F.transform(F.filter("__asked", lambda x: F.array_contains("__both", x["__key"])), lambda x: x["route"])
+    names = F.when(F.size("__both") == 1, F.col("route")).otherwise(F.array_join(F.array_sort(F.array_distinct(several)), ","))
+    return least.select("asked", "found", names.alias("routes"))
 
 
 def compared(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -141,11 +177,23 @@ def same_rows(left: DataFrame, right: DataFrame) -> bool:
 
 def overlapping_leads(rows: DataFrame, id_col: str, source_col: str, names_col: str, date_col: str) -> DataFrame:
     """(left, right, name): ids of different sources that share a name and whose dates do not contradict."""
-    named = rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(date_col).alias("date"), F.explode(F.array_distinct(names_col)).alias("name"))
-    l, r = named.alias("l"), named.alias("r")
-    agree = F.col("l.date").isNull() | F.col("r.date").isNull() | (F.col("l.date") == F.col("r.date"))
-    pairs = l.join(r, (F.col("l.name") == F.col("r.name")) & (F.col("l.source") != F.col("r.source")) & (F.col("l.id") < F.col("r.id"))).where(agree)
-    return pairs.groupBy(F.col("l.id").alias("left"), F.col("r.id").alias("right")).agg(F.min("l.name").alias("name"))
+    listed = rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(date_col).alias("date"), F.array_distinct(names_col).alias("names")).where("id is not null")
+    repeated = stored(listed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        sides = [df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns), F.explode("names").alias("name")) for side, df in (("l", left), ("r", right))]
+        agree = F.col("l_date").isNull() | F.col("r_date").isNull() | (F.col("l_date") == F.col("r_date"))
+        return crossed(*sides, ["name"]).where((F.col("l_source") != F.col("r_source")) & (F.col("l_id") < F.col("r_id")) & agree)
+
+    # ids of one row know all their names, so a pair of them is given once, by its least shared name, and is not shuffled
+    single = listed.join(repeated, "id", "left_anti")
+    least = (F.size("l_names") == 1) | (F.size("r_names") == 1) | (F.col("name") == F.array_min(F.array_intersect("l_names", "r_names")))
+    out = pairs(single, single).where(least).select(F.col("l_id").alias("left"), F.col("r_id").alias("right"), "name")
+    if repeated.isEmpty():
+        return out
+    several = listed.join(repeated, "id", "left_semi")
+    rest = pairs(several, listed).unionByName(pairs(single, several))
+    return out.unionByName(rest.groupBy(F.col("l_id").alias("left"), F.col("r_id").alias("right")).agg(F.min("name").alias("name")))
 
 
 def disjoint(left: DataFrame, right: DataFrame, key: str) -> bool:
