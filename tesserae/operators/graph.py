@@ -18,7 +18,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round takes the smallest label among a node and its neighbours, then replaces a label by the label of that
     label (pointer jumping), so that long chains close in about as many rounds as their length has bits. Labels are
-    rows of a table in the shared folder; only a count of changes reaches the driver. An empty table gives no rows.
+    rows of a table in the shared folder; only a count of changes reaches the driver (no join is a broadcast: a small file may
+    hold many labels, and each round would send them again). An empty table gives no rows.
     """
     both = stored(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct(),
@@ -26,11 +27,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("component")), "labels")
     while True:
-        around = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("component").alias("near"))
-        nearer = labels.join(around, labels.node == around.u).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        around = both.join(labels.hint("merge"), both.v == labels.node).groupBy("u").agg(F.min("component").alias("near"))
+        nearer = labels.join(around.hint("merge"), labels.node == around.u).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         of = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
         changes = Observation()
-        following = nearer.join(of, "component", "left").select("node", "old", F.least("component", F.coalesce("jump", "component")).alias("component"))
+        following = nearer.join(of.hint("merge"), "component", "left").select("node", "old", F.least("component", F.coalesce("jump", "component")).alias("component"))
         labels = stored(following.observe(changes, F.count_if(F.col("component") != F.col("old")).alias("n")).select("node", "component"), "labels", labels)
         if not changes.get["n"]:
             removed(both)
@@ -41,8 +42,8 @@ def key_groups(rows: DataFrame, id_col: str, keys_col: str) -> DataFrame:
     """(node, component) of ids that share any of their keys, directly or over others; every id has a row."""
     keyed = rows.select(F.col(id_col).alias("node"), F.explode(keys_col).alias("key")).where("key is not null")
     anchor = keyed.groupBy("key").agg(F.min("node").alias("anchor"))
-    linked = components(keyed.join(anchor, "key").select("anchor", "node"), "anchor", "node")
-    return rows.select(F.col(id_col).alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    linked = components(keyed.join(anchor.hint("merge"), "key").select("anchor", "node"), "anchor", "node")
+    return rows.select(F.col(id_col).alias("node")).distinct().join(linked.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def closure(edges: DataFrame, source: str, target: str, rounds: int = 64) -> DataFrame:
