@@ -1,8 +1,11 @@
 """Pairs of rows that share keys, against brute force, and how their plans deal them out."""
 
 import random
+import re
 
 from tesserae.operators import graph, matching
+from tesserae.plans import registry
+from tests.compare import DATA
 
 plan = lambda df: df._jdf.queryExecution().toString()
 
@@ -44,3 +47,10 @@ def test_labels_are_not_broadcast(spark):
     out = graph.key_groups(rows, "id", "keys")
     assert sorted(map(tuple, out.collect())) == [(1, 1), (2, 1), (3, 1), (4, 4)]
     assert "BroadcastHashJoin" not in plan(out)
+
+
+def test_facts_are_not_shuffled(spark):
+    query = registry.queries()["publication_bindings"](spark, DATA)
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", query._jdf.queryExecution().explainString(formatted))
+    assert inputs and not any(re.search(r"\bfacts#", columns) for columns in inputs)
