@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.sources.stored import stored
+from tesserae.sources.stored import removed, stored
 
 #: So many rows (of counts, not of data) may pass through one task.
 SMALL = 200_000
@@ -32,6 +32,20 @@ def beside(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "left"
     return rows.join(renamed, same, how).drop(*(f"__on_{k}" for k in keys))
 
 
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``keys`` (null equal to null) that stand in more than one row, written.
+
+    Hashes are counted first, so that all but the rows of repeated hashes are a number each in the shuffle; these rows are then
+    counted by the keys themselves, so hashes that meet by chance change nothing.
+    """
+    number = F.xxhash64(*keys)
+    twice = stored(rows.groupBy(number.alias("__hash")).agg(F.count("*").alias("__n")).where("__n > 1").select("__hash"), "hashes")
+    found = rows.select(*keys).join(twice, number == F.col("__hash"), "left_semi")
+    out = stored(found.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys), "repeated")
+    removed(twice)
+    return out
+
+
 def numbered(rows: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
     """``rows`` with their place from 1 within ``keys`` (the whole table if there are none) in a total order."""
     ranged = parted(rows, keys, order)

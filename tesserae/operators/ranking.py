@@ -8,17 +8,13 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.reasons import reasons, status
 from tesserae.functions.scalars import floor_to
-from tesserae.operators.ordering import beside, numbered, sums_before
+from tesserae.operators.ordering import beside, numbered, repeated, sums_before
+from tesserae.sources.stored import stored
 
 #: Points for each whole unit of a discipline's final (static time in seconds, distances in metres).
 INCREMENTS = {"sta": "0.2", "dynamic": "0.5", "depth": "1"}
 
 
-def duplicated(*keys: str) -> Column:
-    """Whether a row's key stands in more than one row; every copy says so."""
-    return F.count("*").over(W.partitionBy(*keys)) > 1
-
-
 def competition_rank(order: Column, *within: str) -> Column:
     """1, 1, 3: equals share the better rank."""
     window = W.partitionBy(*within).orderBy(order) if within else W.orderBy(order)
@@ -45,17 +41,14 @@ def global_rank(df: DataFrame, value: str, name: str, descending: bool = True) -
     return ranked(df, value, name, descending=descending)
 
 
-def comparison_score(attempts: DataFrame) -> DataFrame:
-    """Scores and ranks of attempts (id, discipline, unit, value decimal, reviewed boolean).
-
-    The score is the final in whole units times the discipline's increment. The common rank is on scores; the rank within
-    a discipline is on the exact final, and a discipline whose units are mixed has none (reason mixed-final-units). An
-    attempt with a reason, and every copy of a repeated id, is withheld: no score, no rank.
-    """
+def scores(attempts: DataFrame) -> DataFrame:
+    """``attempts`` (id, discipline, unit, value decimal, reviewed boolean, and whatever else) with reasons, ranked (whether there is
+    none) and the score of the ranked. Repeated ids and scores are all that is asked of other rows; no row is shuffled with its columns."""
     increment = F.lit(None).cast("decimal(4,1)")
     for discipline, points in INCREMENTS.items():
         increment = F.when(F.col("discipline") == discipline, F.lit(points).cast("decimal(4,1)")).otherwise(increment)
-    checked = attempts.withColumn("repeated", duplicated("id")).withColumn("increment", increment)
+    copies = repeated(attempts.select("id"), ["id"]).withColumn("repeated", F.lit(True))
+    checked = beside(attempts, copies, ["id"]).withColumn("increment", increment)
     found = reasons(
         ("duplicate-id", F.col("repeated")),
         ("unknown-discipline", F.col("increment").isNull()),
@@ -64,15 +57,26 @@ def comparison_score(attempts: DataFrame) -> DataFrame:
         ("final-not-positive", F.col("value") <= 0),
     )
     judged = checked.withColumn("reasons", found).withColumn("ranked", F.size("reasons") == 0)
-    scored = judged.withColumn("score", F.when(F.col("ranked"), (F.floor("value") * F.col("increment")).cast("decimal(18,1)")))
+    return judged.withColumn("score", F.when(F.col("ranked"), (F.floor("value") * F.col("increment")).cast("decimal(18,1)"))).drop("repeated", "increment")
+
+
+def comparison_score(attempts: DataFrame) -> DataFrame:
+    """Scores and ranks of attempts (id, discipline, unit, value decimal, reviewed boolean).
+
+    The score is the final in whole units times the discipline's increment. The common rank is on scores; the rank within
+    a discipline is on the exact final, and a discipline whose units are mixed has none (reason mixed-final-units). An
+    attempt with a reason, and every copy of a repeated id, is withheld: no score, no rank.
+    """
+    scored = scores(attempts)
+    # a row a discipline, written, so that attempts are not dealt by their discipline
+    units = stored(scored.where("ranked").groupBy("discipline").agg((F.min("unit") != F.max("unit")).alias("mixed")), "units")
     scored = global_rank(scored, "score", "common_rank")
     eligible = F.when(F.col("ranked"), F.col("unit"))
-    units = scored.where("ranked").groupBy("discipline").agg((F.min("unit") != F.max("unit")).alias("mixed"))
     scored = scored.join(units, "discipline", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)) & eligible.isNotNull())
     scored = ranked(scored, "value", "best", ("discipline", "ranked"))
     return scored.withColumn("discipline_rank", F.when(F.col("ranked") & ~F.col("mixed"), F.col("best"))).withColumn(
         "reasons", F.when(F.col("mixed"), F.array_append("reasons", F.lit("mixed-final-units"))).otherwise(F.col("reasons"))
-    ).drop("repeated", "increment", "mixed", "best")
+    ).drop("mixed", "best")
 
 
 def attempt_comparison(rows: DataFrame, rules: list[tuple[str, Column]], filters: list[tuple[str, Column]], value: str, order: list[str], *within: str) -> DataFrame:
