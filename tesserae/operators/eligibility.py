@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.facts import in_year
 from tesserae.functions.reasons import reasons, status
 from tesserae.functions.scalars import has_places
+from tesserae.operators.ordering import repeated
 
 #: Reasons that leave a row outside the comparison; any other reason withholds it.
 FILTERS = [
@@ -93,17 +94,18 @@ def eligibility(scope: Scope) -> Column:
     )
 
 
-def attempt_accounts(rows: DataFrame, scope: Scope, key: list[str], unselected: DataFrame | None = None) -> DataFrame:
+def attempt_accounts(rows: DataFrame, scope: Scope, key: list[str], unselected: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
     """Each row with reasons and status (excluded, withheld, ranked).
 
     ``key`` is a row's exact reference: rows that share one are all withheld as duplicate-reference. ``unselected`` (the same
-    key columns) lists references that a selection was made against: non-selected-source-claim. References are counted by
-    a partial aggregation and joined back, so copies of one reference do not meet in one task's window.
+    key columns) lists references that a selection was made against: non-selected-source-claim. Repeated references are found from
+    ``references`` (a table with one row for each of ``rows``, else ``rows`` itself) by their hashes and joined back, so copies of one
+    reference do not meet in one task's window.
     """
-    counted = rows.groupBy(*key).agg(F.count("*").alias("__n"))
-    repeated = counted.where("__n > 1").select(*(F.col(k).alias(f"__r_{k}") for k in key), F.lit(True).alias("__repeated"))
+    copies = repeated((rows if references is None else references).select(*key), key)
+    copies = copies.select(*(F.col(k).alias(f"__r_{k}") for k in key), F.lit(True).alias("__repeated"))
     same = lambda side: [F.col(k).eqNullSafe(F.col(f"{side}{k}")) for k in key]
-    out = rows.withColumn("reasons", eligibility(scope)).join(repeated, same("__r_"), "left")
+    out = rows.withColumn("reasons", eligibility(scope)).join(copies, same("__r_"), "left")
     if unselected is None:
         out = out.withColumn("__other", F.lit(False))
     else:

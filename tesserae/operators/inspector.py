@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators import eligibility, paging, ranking, sporting
+from tesserae.operators.ordering import repeated
 from tesserae.sources.stored import stored
 
 REFERENCE = ["job_id", "ordinal", "candidate_id", "source_sha256", "artifact_sha256"]
@@ -30,10 +31,12 @@ class Inspection:
 
 def bound(observations: DataFrame, claims: DataFrame) -> DataFrame:
     """``observations`` with the columns of CLAIM of their one claim by full reference, and ``claims``, how many there are."""
-    one = claims.groupBy(*REFERENCE).agg(F.count("*").alias("claims"), F.first(F.struct(*CLAIM)).alias("claim"))
-    joined = observations.join(one, REFERENCE, "left")
-    said = {c: F.when(F.col("claims") == 1, F.col(f"claim.{c}")) for c in CLAIM}
-    return joined.withColumns(said | {"claims": F.coalesce("claims", F.lit(0).cast("long"))}).drop("claim")
+    copies = repeated(claims, REFERENCE)
+    several = stored(claims.join(copies, REFERENCE, "left_semi").groupBy(*REFERENCE).agg(F.count("*").alias("__n")), "several")
+    one = claims.join(copies, REFERENCE, "left_anti").select(*REFERENCE, F.struct(*CLAIM).alias("claim"))
+    joined = observations.join(one, REFERENCE, "left").join(several, REFERENCE, "left")
+    number = F.when(F.col("claim").isNotNull(), 1).otherwise(F.coalesce("__n", F.lit(0))).cast("long")
+    return joined.withColumns({c: F.col(f"claim.{c}") for c in CLAIM} | {"claims": number}).drop("claim", "__n")
 
 
 def inspect(observations: DataFrame, claims: DataFrame, scope: eligibility.Scope, family: str, filters: dict[str, str | None] | None = None, limit: int = 50, offset: int = 0) -> Inspection:
@@ -47,18 +50,19 @@ def inspect(observations: DataFrame, claims: DataFrame, scope: eligibility.Scope
     filters = filters or {}
     if set(filters) - set(FILTERS):
         raise ValueError(f"unsupported filters: {sorted(set(filters) - set(FILTERS))}")
-    judged = stored(eligibility.attempt_accounts(bound(observations, claims), scope, REFERENCE), "judged")
+    accounts = eligibility.attempt_accounts(bound(observations, claims), scope, REFERENCE, references=observations)
+    # what is asked of an attempt from here on, and no other column of the observations
+    judged = stored(accounts.select(*REFERENCE, *FILTERS, "reasons", "status", "final_unit", "final_value", "country", "continent"), "judged")
     facets = judged.agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in FILTERS))
     kept = judged
     for column, value in filters.items():
         if value not in WILD:
             kept = kept.where(F.col(column) == value)
     ranked = F.col("status") == "ranked"
-    attempts = kept.select(F.col("candidate_id").alias("id"), F.lit(family).alias("discipline"), F.col("final_unit").alias("unit"), F.col("final_value").alias("value"), ranked.alias("reviewed"))
-    scored = ranking.comparison_score(attempts).where("score is not null").select(F.col("id").alias("candidate_id"), "score")
-    placed = sporting.sporting_ranks(
-        kept.join(scored, "candidate_id", "left").select(F.lit("scope").alias("cohort_id"), F.col("candidate_id").alias("result_id"), "score", "country", "continent", F.struct(*REFERENCE, *FILTERS, "reasons", F.col("status").alias("comparison")).alias("row"))
-    ).drop("status")
+    shown = F.struct(*REFERENCE, *FILTERS, "reasons", F.col("status").alias("comparison")).alias("row")
+    attempts = kept.select(F.col("candidate_id").alias("id"), F.lit(family).alias("discipline"), F.col("final_unit").alias("unit"), F.col("final_value").alias("value"), ranked.alias("reviewed"), "country", "continent", shown)
+    scored = ranking.scores(attempts).withColumn("score", F.when(F.col("id").isNotNull(), F.col("score")))
+    placed = sporting.sporting_ranks(scored.select(F.lit("scope").alias("cohort_id"), F.col("id").alias("result_id"), "score", "country", "continent", "row")).drop("status")
     out = placed.select("row.*", "score", "country", "continent", *(f"{s}_{c}" for s in sporting.SCOPES for c in ("rank", "peers")))
     count = lambda status: F.count_if(F.col("comparison") == status).alias(status)
     coverage = out.agg(F.count("*").alias("provided"), *(count(s) for s in ("ranked", "withheld", "excluded")))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import ordering, ranking
+from tesserae.operators import inspector, ordering, ranking
 
 
 def planned(df):
@@ -37,3 +37,18 @@ def test_scores_shuffle_no_attempts(spark, tmp_path):
     doubled = [r for r in rows if "duplicate-id" in r["reasons"]]
     assert len(rows) == 3000 and len(doubled) == 2 * (3000 // 14) and all(r["score"] is None and r["common_rank"] is None for r in doubled)
     assert all(r["discipline_rank"] is not None for r in rows if not r["reasons"])
+
+
+def test_claims_are_bound_by_one_shuffle_a_side(spark, tmp_path):
+    rows = spark.range(2000).select(F.lit("j").alias("job_id"), F.col("id").cast("int").alias("ordinal"), F.col("id").cast("string").alias("candidate_id"), F.lit("s").alias("source_sha256"), F.lit("a").alias("artifact_sha256"))
+    claims = rows.where("ordinal % 10 <> 0").select("*", *(F.lit("x").alias(c) for c in inspector.CLAIM)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("ordinal") % 10 == 1, 2).otherwise(0)))).drop("copy")
+    for name, df in (("rows", rows), ("claims", claims)):
+        df.write.parquet(str(tmp_path / name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8000")
+    try:
+        out = inspector.bound(*(spark.read.parquet(str(tmp_path / name)) for name in ("rows", "claims")))
+        assert planned(out).count("Exchange hashpartitioning") <= 2
+        found = {r["ordinal"]: (r["claims"], r["authority"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {i: {0: (0, None), 1: (3, None)}.get(i % 10, (1, "x")) for i in range(2000)}
