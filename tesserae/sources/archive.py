@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators.summaries import table_digest
+from tesserae.sources.stored import stored
 from tesserae.sources.versions import Store
 
 
@@ -29,11 +30,13 @@ def listing_mismatches(index: DataFrame, files: DataFrame) -> DataFrame:
 
 def imported(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Rows of ``batch`` to append: those of new keys. A key that exists must be repeated exactly, else an error."""
-    again = batch.join(existing.select(key).distinct(), key, "left_semi").select(existing.columns)
-    held = existing.join(batch.select(key).distinct(), key, "left_semi")
-    if not (again.exceptAll(held).isEmpty() and held.exceptAll(again).isEmpty()):
+    known, given = stored(existing.select(key).distinct(), "keys"), stored(batch.select(key).distinct(), "keys")
+    again = batch.join(known, key, "left_semi").select(*existing.columns, F.lit(1).alias("__side"))
+    held = existing.join(given, key, "left_semi").select(*existing.columns, F.lit(-1).alias("__side"))
+    # rows of both sides are dealt by all their columns and counted against each other, not gathered by key
+    if not again.unionByName(held).groupBy(*existing.columns).agg(F.sum("__side").alias("__n")).where("__n <> 0").isEmpty():
         raise ValueError("a job was imported before with other rows")
-    return batch.join(existing.select(key).distinct(), key, "left_anti").select(existing.columns)
+    return batch.join(known, key, "left_anti").select(existing.columns)
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:

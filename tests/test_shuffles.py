@@ -1,8 +1,10 @@
 """What queries shuffle: rows go to other tasks with what is asked of them there, and by no key of few values."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import inspector, ordering, ranking
+from tesserae.sources import archive
 
 
 def planned(df):
@@ -52,3 +54,18 @@ def test_claims_are_bound_by_one_shuffle_a_side(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found == {i: {0: (0, None), 1: (3, None)}.get(i % 10, (1, "x")) for i in range(2000)}
+
+
+def test_imports_are_not_gathered_by_key(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("lang", "doc_id", "text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        fresh = archive.imported(docs.where("lang = 'en'"), docs, "lang")
+        assert "hashpartitioning(lang" not in planned(fresh) and fresh.count() == docs.where("lang <> 'en'").count()
+        for other in (docs.where("doc_id <> 1 or lang <> 'en'"), docs.unionByName(docs.where("lang = 'en'").limit(1)), docs.withColumn("text", F.when(F.col("doc_id") % 50 != 0, F.col("text")))):
+            if other.where("lang = 'en'").exceptAll(docs).isEmpty() and docs.where("lang = 'en'").exceptAll(other).isEmpty():
+                continue
+            with pytest.raises(ValueError):
+                archive.imported(docs.where("lang = 'en'"), other, "lang")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
