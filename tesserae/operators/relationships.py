@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.ordering import beside
+from tesserae.sources.stored import stored
 
 KINDS = ("same-attempt", "source-duplicate", "parser-revision", "supporting-result", "unknown")
 #: What a census may say.
@@ -43,21 +44,26 @@ def automatic_edges(observations: DataFrame) -> DataFrame:
     Observations that agree in everything are a class: its members lead to their first by a star of source-duplicates; pairs are made between
     the first ones of the classes of a place only.
     """
-    whole = F.struct(*observations.columns)
-    cited = observations.withColumn("o", whole).where(_cited(F.col("o"))).withColumn("__parsed", _ordered(F.col("parsed")))
+    own = F.struct(*observations.columns)
     place = ["source_sha256", "page", "line"]
-    same = [*place, "source_text", "event_key", "discipline", "day", "parser_version", "__parsed"]
-    heads = cited.groupBy(*same).agg(F.min_by("o", "ref").alias("head"))
-    members = beside(cited.select("ref", "o", *same), heads, same).where(F.col("ref") != F.col("head.ref"))
+    same = [*place, "source_text", "event_key", "discipline", "day", "parser_version", "parsed"]
+    cited = observations.withColumn("o", own).where(_cited(F.col("o"))).withColumn("parsed", _ordered(F.col("parsed"))).select("ref", *same)
+    heads = stored(cited.groupBy(*same).agg(F.min("ref").alias("head"), F.max("ref").alias("last"), F.count("*").alias("n")), "heads")
+    # two members are known from the class alone; more are found by the hash of what they agree in, then by itself
+    number = F.xxhash64(*same)
+    many = heads.where("n > 2").select(*same, "head")
+    hashes = stored(many.select(number.alias("__hash")).distinct(), "hashes")
+    rest = beside(cited.join(hashes, number == F.col("__hash"), "left_semi"), many, same, "inner").select("head", F.col("ref").alias("last"), *same)
+    members = heads.where("n = 2").select("head", "last", *same).unionByName(rest).where("head <> last")
     # members of a class without a context of their own prove nothing
-    sure = _context(F.col("o"), F.col("o"))
-    stars = members.select(F.col("head.ref").alias("left"), F.col("ref").alias("right"), F.when(F.coalesce(sure, F.lit(False)), "source-duplicate").otherwise("unknown").alias("kind"))
-    a, b = heads.select(*place, F.col("head").alias("a")), heads.select(*place, F.col("head").alias("b"))
-    both = a.join(b, place).where("a.ref < b.ref")
+    sure = _context(*[F.struct("event_key", "discipline", "day")] * 2)
+    stars = members.select(F.col("head").alias("left"), F.col("last").alias("right"), F.when(F.coalesce(sure, F.lit(False)), "source-duplicate").otherwise("unknown").alias("kind"))
+    first = F.struct("head", *same[len(place) :])
+    both = heads.select(*place, first.alias("a")).join(heads.select(*place, first.alias("b")), place).where("a.head < b.head")
     x, y = F.col("a"), F.col("b")
     agree = F.coalesce(_context(x, y), F.lit(False)) & (x["source_text"] == y["source_text"])
-    kind = F.when(~agree, "unknown").when(~x["parser_version"].eqNullSafe(y["parser_version"]), "parser-revision").when(_ordered(x["parsed"]) == _ordered(y["parsed"]), "source-duplicate").otherwise("unknown")
-    pairs = both.select(F.col("a.ref").alias("left"), F.col("b.ref").alias("right"), kind.alias("kind"))
+    kind = F.when(~agree, "unknown").when(~x["parser_version"].eqNullSafe(y["parser_version"]), "parser-revision").when(x["parsed"] == y["parsed"], "source-duplicate").otherwise("unknown")
+    pairs = both.select(F.col("a.head").alias("left"), F.col("b.head").alias("right"), kind.alias("kind"))
     return stars.unionByName(pairs).withColumn("reason", F.lit(None).cast("string"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import inspector, ordering, ranking
+from tesserae.operators import inspector, ordering, ranking, relationships
 from tesserae.sources import archive
 
 
@@ -69,3 +69,23 @@ def test_imports_are_not_gathered_by_key(spark):
                 archive.imported(docs.where("lang = 'en'"), other, "lang")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_classes_of_rows_are_joined_only_where_they_are_many(spark, tmp_path):
+    """Classes of one, two and five members at places of one or two classes, some without a context."""
+    k = F.col("id")
+    rows = spark.range(6000).withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(k % 100 == 0, 5).when(k % 100 < 4, 2).otherwise(1)))).select(
+        F.concat_ws("/", k.cast("string"), "copy").alias("ref"), F.sha2(F.floor(k / 2).cast("string"), 256).alias("source_sha256"), F.lit(1).alias("page"), F.lit(1).alias("line"), (k % 2).cast("string").alias("source_text"),
+        F.when(k % 200 < 100, "e").alias("event_key"), F.lit("d").alias("discipline"), F.lit(None).cast("string").alias("day"), F.lit("v").alias("parser_version"), F.create_map(F.lit("x"), F.lit("1")).alias("parsed"),
+    )
+    rows.write.parquet(str(tmp_path / "rows"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        out = relationships.automatic_edges(spark.read.parquet(str(tmp_path / "rows")))
+        assert planned(out).count("SortMergeJoin") == 1  # pairs of a place
+        found = sorted(tuple(r)[:3] for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    stars = [(f"{i}/1", f"{i}/{c}", "source-duplicate" if i % 200 < 100 else "unknown") for i in range(6000) for c in range(2, 6 if i % 100 == 0 else 3 if i % 100 < 4 else 2)]
+    pairs = [(*sorted((f"{i}/1", f"{i + 1}/1")), "unknown") for i in range(0, 6000, 2)]
+    assert found == sorted(stars + pairs)
