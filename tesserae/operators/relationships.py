@@ -51,7 +51,7 @@ def automatic_edges(observations: DataFrame) -> DataFrame:
     heads = stored(cited.groupBy(*same).agg(F.min("ref").alias("head"), F.max("ref").alias("last"), F.count("*").alias("n")), "heads")
     # two members are known from the class alone; more are found by the hash of what they agree in, then by itself
     number = F.xxhash64(*same)
-    many = heads.where("n > 2").select(*same, "head")
+    many = stored(heads.where("n > 2").select(*same, "head"), "many")
     hashes = stored(many.select(number.alias("__hash")).distinct(), "hashes")
     rest = beside(cited.join(hashes, number == F.col("__hash"), "left_semi"), many, same, "inner").select("head", F.col("ref").alias("last"), *same)
     members = heads.where("n = 2").select("head", "last", *same).unionByName(rest).where("head <> last")
