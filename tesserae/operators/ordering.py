@@ -18,6 +18,11 @@ from tesserae.sources.stored import removed, stored
 SMALL = 200_000
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly to four tasks a core, for work whose time is not told by the bytes that it reads: a small file is one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def parted(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """``rows`` dealt to ranges and written, with the number of the range in ``__part``."""
     return stored(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import facts, names, scalars
 from tesserae.operators import records, snapshot
+from tesserae.operators.ordering import spread
 from tesserae.plans.registry import query
 from tesserae.sources import documents
 from tesserae.sources.tables import table
@@ -125,7 +126,7 @@ def record_kinds(spark, sf):
     disposition = F.when(F.col("p_brand") == "Brand#11", "summary").when(F.col("p_brand") == "Brand#12", "duplicate_render").otherwise("row")
     obj = F.parse_json(F.concat(F.lit('{"disposition":"'), disposition, F.lit('","kind":"'), F.when(F.col("p_size") % 3 == 0, "standings").otherwise("row"), F.lit('"}')))
     schema = F.when(F.col("p_size") % 2 == 0, records.SUPPLEMENT)
-    return table(spark, sf, "part").select("p_partkey", records.kind(collection, obj, F.lit(None).cast("variant"), schema).alias("kind"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")).select("p_partkey", records.kind(collection, obj, F.lit(None).cast("variant"), schema).alias("kind"))
 
 
 @query("""SELECT p_partkey, 'p' || p_partkey AS source_id, 'sha256:' || sha256(p_brand) AS source_object_id, CASE WHEN p_size % 2 = 0 THEN '2026-06-01' ELSE '2026-05-30' END AS event_date, '2026-06-01' AS date_from,
@@ -139,7 +140,7 @@ def record_normalised(spark, sf):
         F.lit('"]'), F.when(F.col("p_size") % 3 == 0, ', "session": "evening"').otherwise(""), F.lit(', "parsed_fields": {"category": {"value": "'), F.col("p_type"),
         F.lit('"}, "note": {"raw": 1}, "depth": '), size, F.lit('}, "raw_fields": {"b": "'), F.col("p_type"), F.lit('", "a": "x"}, "fields": {"c": 1}, "locator": {"page": '), size, F.lit(', "line": 1}, "coordinates": {"page": '), size, F.lit("}}"),
     )
-    rows = table(spark, sf, "part").select(
+    rows = spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size")).select(
         "p_partkey", F.parse_json(obj).alias("obj"), F.parse_json(F.lit('{"session": "noon", "event_date": "2026-05-30", "page": 9999}')).alias("parent"), F.parse_json(F.lit("{}")).alias("root"), F.lit("candidate_position").alias("kind")
     )
     kept = ["source_id", "source_object_id", "event_date", "date_from", "date_to", "session", "category", "page", "citation_json", "review_status", "raw_fields_json", "parsed_fields_json"]

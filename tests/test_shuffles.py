@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import inspector, ordering, ranking, relationships
+from tesserae.plans import registry
 from tesserae.sources import archive
 
 
@@ -89,3 +90,8 @@ def test_classes_of_rows_are_joined_only_where_they_are_many(spark, tmp_path):
     stars = [(f"{i}/1", f"{i}/{c}", "source-duplicate" if i % 200 < 100 else "unknown") for i in range(6000) for c in range(2, 6 if i % 100 == 0 else 3 if i % 100 < 4 else 2)]
     pairs = [(*sorted((f"{i}/1", f"{i + 1}/1")), "unknown") for i in range(0, 6000, 2)]
     assert found == sorted(stars + pairs)
+
+
+def test_records_of_a_small_file_are_read_by_all_cores(spark):
+    for name in ("record_normalised", "record_kinds"):
+        assert registry.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
