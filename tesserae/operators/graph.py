@@ -11,6 +11,8 @@ from tesserae.sources.stored import removed, stored
 
 #: So many tables of single rounds are kept before they are merged.
 MERGE = 8
+#: So many names a list of names that share aliases with one.
+LIST = 100_000
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -121,6 +123,15 @@ def leaks(rows: DataFrame, key: str, split: str) -> DataFrame:
 
 
 def bridged(aliases: DataFrame, name: str, alias: str) -> DataFrame:
-    """(left, right): names that share an alias (two hops), each unordered pair once."""
-    l, r = aliases.select(F.col(name).alias("left"), F.col(alias).alias("via")), aliases.select(F.col(name).alias("right"), F.col(alias).alias("via"))
-    return l.join(r, "via").where("left < right").select("left", "right").distinct()
+    """(left, right): names that share an alias (two hops), each unordered pair once.
+
+    The names of an alias are lists, so that a pair is one number in the list of its left name and no row before the result. Lists are parted by
+    the hash of the right name, so that none has many more than ``LIST`` names, whatever an alias or a name holds.
+    """
+    links = stored(aliases.select(F.col(name).alias("left"), F.col(alias).alias("via")).where("left is not null and via is not null").distinct(), "aliases")
+    sizes = links.groupBy("via").agg(F.count("*").alias("n"))
+    most = links.join(sizes, "via").groupBy("left").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("left"), F.lit(1 + most // LIST)).alias("part")
+    lists = links.groupBy("via", part).agg(F.collect_list("left").alias("names"))
+    ahead = links.join(lists, "via").select("left", "part", F.filter("names", lambda n: n > F.col("left")).alias("names")).where(F.size("names") > 0)
+    return ahead.groupBy("left", "part").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names")).select("left", F.explode("names").alias("right"))

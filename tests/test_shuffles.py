@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import inspector, ordering, ranking, relationships
+from tesserae.operators import graph, inspector, ordering, ranking, relationships
 from tesserae.plans import registry
 from tesserae.sources import archive
 
@@ -95,3 +95,16 @@ def test_classes_of_rows_are_joined_only_where_they_are_many(spark, tmp_path):
 def test_records_of_a_small_file_are_read_by_all_cores(spark):
     for name in ("record_normalised", "record_kinds"):
         assert registry.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_bridged_names_come_in_lists_of_bounded_length(spark, monkeypatch):
+    """One alias and one name of very many, null names and aliases, repeated rows; pairs are not grouped by themselves."""
+    rows = [(i, 0) for i in range(60)] + [(7, i) for i in range(1, 40)] + [(100 + i % 9, i % 40) for i in range(200)] + [(None, 0), (3, None), (4, None), (5, 0), (5, 0)]
+    table = spark.createDataFrame(rows, "name long, alias long")
+    held = {a: {n for n, b in rows if b == a and n is not None} for _, a in rows if a is not None}
+    wanted = sorted({(x, y) for names in held.values() for x in names for y in names if x < y})
+    for most in (100_000, 10):
+        monkeypatch.setattr(graph, "LIST", most)
+        out = graph.bridged(table, "name", "alias")
+        assert "keys=[left#" in planned(out) and "right#" not in "".join(x for x in planned(out).split("\n") if "Aggregate(keys" in x)
+        assert sorted(map(tuple, out.collect())) == wanted
