@@ -25,12 +25,17 @@ class _Machine(StatefulProcessor):
         self.seen = handle.getMapState("seen", "id string", "digest string, revision long, verdict string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        revision, state = self.now.get() if self.now.exists() else (0, self.begin)
+        # a key without state has seen no request, and what this batch has seen is at hand: the store is asked for the rest only
+        first, answered = not self.now.exists(), {}
+        revision, state = (0, self.begin) if first else self.now.get()
         events = pd.concat(list(rows)).sort_values("n", kind="stable")
         out = []
         for n, ident, base, action, digest in zip(events["n"], events["id"], events["base"], events["action"], events["digest"], strict=True):
-            if self.seen.containsKey((ident,)):
-                old_digest, old_revision, old_verdict = self.seen.getValue((ident,))
+            known = answered.get(ident)
+            if known is None and not first and self.seen.containsKey((ident,)):
+                known = self.seen.getValue((ident,))
+            if known is not None:
+                old_digest, old_revision, old_verdict = known
                 # a retry gets the first answer again; another request under its id gets none
                 verdict, at = (f"repeated-{old_verdict}", old_revision) if old_digest == digest else ("conflicting-id", revision)
             else:
@@ -39,7 +44,8 @@ class _Machine(StatefulProcessor):
                 if verdict == "accepted":
                     revision, state = revision + 1, move
                 at = revision
-                self.seen.updateValue((ident,), (digest, revision, verdict))
+                answered[ident] = (digest, int(revision), verdict)
+                self.seen.updateValue((ident,), answered[ident])
             out.append((key[0], int(n), ident, verdict, int(at), state))
         self.now.update((int(revision), state))
         yield pd.DataFrame(out, columns=[self.key, "n", "id", "verdict", "revision", "state"])

@@ -1,11 +1,13 @@
 """What queries shuffle: rows go to other tasks with what is asked of them there, and by no key of few values."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import graph, inspector, ordering, ranking, relationships
 from tesserae.plans import registry
 from tesserae.sources import archive
+from tesserae.streaming import machines
 
 
 def planned(df):
@@ -108,3 +110,40 @@ def test_bridged_names_come_in_lists_of_bounded_length(spark, monkeypatch):
         out = graph.bridged(table, "name", "alias")
         assert "keys=[left#" in planned(out) and "right#" not in "".join(x for x in planned(out).split("\n") if "Aggregate(keys" in x)
         assert sorted(map(tuple, out.collect())) == wanted
+
+
+class _Held:
+    """A value or map state of one key that counts what it is asked."""
+
+    def __init__(self):
+        self.map, self.value, self.asked = {}, None, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):  # noqa: N802
+        self.asked += 1
+        return key in self.map
+
+    def getValue(self, key):  # noqa: N802
+        return self.map[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.map[key] = value
+
+
+def test_a_new_key_asks_its_store_for_no_request():
+    machine = machines._Machine("k", "none", {("none", "a"): "a", ("a", "a"): "a"})
+    machine.now, machine.seen = _Held(), _Held()
+    rows = [(0, "r", 0, "a", "d"), (1, "r", 0, "a", "d"), (2, "r", 0, "a", "e"), (3, "s", 1, "a", "d"), (4, "t", 1, "a", "d"), (5, "u", 2, "b", "d")]
+    run = lambda part: [tuple(r) for f in machine.handleInputRows(("k",), iter([pd.DataFrame(part, columns=["n", "id", "base", "action", "digest"])]), None) for r in f[["n", "verdict", "revision"]].itertuples(index=False)]
+    assert run(rows) == [(0, "accepted", 1), (1, "repeated-accepted", 1), (2, "conflicting-id", 1), (3, "accepted", 2), (4, "stale", 2), (5, "invalid", 2)]
+    assert machine.seen.asked == 0 and len(machine.seen.map) == 4
+    assert run([(6, "t", 1, "a", "d"), (7, "v", 2, "a", "d"), (8, "v", 2, "a", "d")]) == [(6, "repeated-stale", 2), (7, "accepted", 3), (8, "repeated-accepted", 3)]
+    assert machine.seen.asked == 2
