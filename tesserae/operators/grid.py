@@ -33,18 +33,57 @@ def box_lines(boxes: DataFrame, keys: list[str], core: float = 0.5) -> DataFrame
     return islands(boxes, keys, F.when(sound, F.col("y0") + margin), F.when(sound, F.col("y1") - margin), "line")
 
 
-def box_cells(boxes: DataFrame, keys: list[str], space: float = 1.0) -> DataFrame:
-    """(keys, line, cell, x0, y0, x1, y1, text): words of a line that lie at most ``space`` of the line's lowest box height apart are a
-    cell, read from left to right."""
-    lined = box_lines(boxes, keys).where("line is not null")
-    each = W.partitionBy(*keys, "line")
-    height = F.min(F.col("y1") - F.col("y0")).over(each) * space
-    scaled = lined.withColumn("__unit", height)
+def _cut(ordered: Column, start: str, end: str, gap: float) -> Column:
+    """Places (from 1) in an array in order of ``start``, where an element begins beyond all ends before it by more than ``gap``."""
+    none = F.struct(F.lit(None).cast("double").alias("reach"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
+
+    def step(s: Column, x: Column) -> Column:
+        opens = s["reach"].isNull() | (x[start] - s["reach"] > gap)
+        at = F.when(opens, F.concat(s["at"], F.array(s["n"] + 1))).otherwise(s["at"])
+        return F.struct(F.greatest(s["reach"], x[end]).alias("reach"), (s["n"] + 1).alias("n"), at.alias("at"))
+
+    return F.aggregate(ordered, none, step, lambda s: s["at"])
+
+
+def _pieces(ordered: str, at: str) -> Column:
+    """The array ``ordered`` cut before each place of ``at``."""
+    after = lambda i: F.coalesce(F.get(at, i + 1), F.size(ordered) + 1)
+    return F.transform(at, lambda a, i: F.slice(ordered, a, after(i) - a))
+
+
+def page_cells(pages: DataFrame, keys: list[str], boxes: str, space: float = 1.0, core: float = 0.5) -> DataFrame:
+    """What ``box_cells`` returns, of pages that are one row each (keys, an array of structs x0, y0, x1, y1, text).
+
+    Lines and cells are cut inside the row, as ``box_lines`` and ``islands`` would: no row is shuffled or sorted.
+    """
+    sound = lambda b: (b["x1"] > b["x0"]) & (b["y1"] > b["y0"])
+    margin = lambda b: (b["y1"] - b["y0"]) * (1 - core) / 2
+    upright = F.transform(F.filter(boxes, sound), lambda b: F.struct((b["y0"] + margin(b)).alias("top"), (b["y1"] - margin(b)).alias("foot"), b.alias("box")))
+    down = pages.select(*keys, F.sort_array(upright).alias("__down"))
+    lines = down.select(*keys, "__down", _cut(F.col("__down"), "top", "foot", 0).alias("__at")).select(*keys, F.posexplode(_pieces("__down", "__at")).alias("line", "__words"))
     # in units of the line's height, so that one gap fits all lines
-    numbered = islands(scaled, [*keys, "line"], F.col("x0") / F.col("__unit"), F.col("x1") / F.col("__unit"), "cell", 1.0)
-    word = F.sort_array(F.collect_list(F.struct("x0", "y0", "x1", "text")))
+    unit = F.array_min(F.transform("__words", lambda w: w["box"]["y1"] - w["box"]["y0"])) * space
+    scaled = lambda w: F.struct((w["box"]["x0"] / F.col("__unit")).alias("left"), (w["box"]["x1"] / F.col("__unit")).alias("right"), w["box"].alias("box"))
+    across = lines.withColumn("__unit", unit).select(*keys, "line", F.sort_array(F.transform("__words", scaled)).alias("__across"))
+    cut = across.select(*keys, "line", "__across", _cut(F.col("__across"), "left", "right", 1.0).alias("__at"))
+    cells = cut.select(*keys, "line", F.posexplode(_pieces("__across", "__at")).alias("cell", "__words"))
+    side = lambda name: F.transform("__words", lambda w: w["box"][name])
+    word = F.sort_array(F.transform("__words", lambda w: F.struct(*(w["box"][n].alias(n) for n in ("x0", "y0", "x1", "text")))))
     text = F.array_join(F.transform(word, lambda w: w["text"]), " ")
-    return numbered.groupBy(*keys, "line", "cell").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), text.alias("text"))
+    ends = [F.array_min(side("x0")).alias("x0"), F.array_min(side("y0")).alias("y0"), F.array_max(side("x1")).alias("x1"), F.array_max(side("y1")).alias("y1")]
+    return cells.select(*keys, F.col("line").cast("long").alias("line"), F.col("cell").cast("long").alias("cell"), *ends, text.alias("text"))
+
+
+def box_cells(boxes: DataFrame, keys: list[str], space: float = 1.0) -> DataFrame:
+    """(keys, line, cell, x0, y0, x1, y1, text): words of a line that lie at most ``space`` of the line's lowest box height apart are a
+    cell, read from left to right.
+
+    The boxes of a page are brought together by one shuffle and cut into lines and cells in one row (``page_cells``), so a task
+    sorts them by page once, not by window after window. They are dealt before they are grouped, as a task that reads them cannot
+    know how many it holds, while partitions of a shuffle are sized by their bytes.
+    """
+    box = F.struct("x0", "y0", "x1", "y1", "text")
+    return page_cells(boxes.repartition(*keys).groupBy(*keys).agg(F.collect_list(box).alias("__boxes")), keys, "__boxes", space)
 
 
 def runs(lines: DataFrame, text: str, blanks: int = 2) -> DataFrame:

@@ -100,16 +100,22 @@ def aligned_rows(spark, sf):
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS line FROM orders)
 SELECT o_custkey AS page, line, cell, CASE cell WHEN 0 THEN 'order ' || o_orderkey WHEN 1 THEN o_orderstatus ELSE o_orderpriority || ' of ' || o_custkey END AS text FROM o, (VALUES (0), (1), (2)) v(cell)""")
 def boxes_to_cells(spark, sf):
-    """Every order is a line of a customer's page, printed as word boxes that jitter up and down."""
-    spaced = table(spark, sf, "orders").withColumn("base", F.col("o_orderkey").cast("double") * 12)
+    """Every order is a line of a customer's page, printed as word boxes that jitter up and down. The page is printed where its orders meet."""
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("page"), F.struct("o_orderkey", "o_orderstatus", "o_orderpriority").alias("order"))
+    pages = orders.repartition("page").groupBy("page").agg(F.collect_list("order").alias("orders"))
     words = [("order", 0, 0), (None, 0, 1), ("status", 1, 0), ("priority", 2, 0), ("of", 2, 1), ("customer", 2, 2)]
-    text = {"order": F.lit("order"), None: F.col("o_orderkey").cast("string"), "status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority"), "of": F.lit("of"), "customer": F.col("o_custkey").cast("string")}
-    box = [
-        F.struct((F.lit(100.0 * cell + 30 * n) + F.col("o_custkey") % 7).alias("x0"), (F.col("base") + (F.col("o_orderkey") + n) % 3).alias("y0"), (F.lit(100.0 * cell + 30 * n + 25) + F.col("o_custkey") % 7).alias("x1"), (F.col("base") + 10 + (F.col("o_orderkey") + n) % 3).alias("y1"), text[name].alias("text"))
-        for name, cell, n in words
-    ]
-    boxes = spaced.select(F.col("o_custkey").alias("page"), F.inline(F.array(*box)))
-    return grid.box_cells(boxes, ["page"]).select("page", "line", "cell", "text")
+
+    def printed(order):
+        key, page = order["o_orderkey"], F.col("page")
+        base = key.cast("double") * 12
+        text = {"order": F.lit("order"), None: key.cast("string"), "status": order["o_orderstatus"], "priority": order["o_orderpriority"], "of": F.lit("of"), "customer": page.cast("string")}
+        return F.array(*(
+            F.struct((F.lit(100.0 * cell + 30 * n) + page % 7).alias("x0"), (base + (key + n) % 3).alias("y0"), (F.lit(100.0 * cell + 30 * n + 25) + page % 7).alias("x1"), (base + 10 + (key + n) % 3).alias("y1"), text[name].alias("text"))
+            for name, cell, n in words
+        ))
+
+    boxes = pages.select("page", F.flatten(F.transform("orders", printed)).alias("boxes"))
+    return grid.page_cells(boxes, ["page"], "boxes").select("page", "line", "cell", "text")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 4 <> 3 THEN o_orderkey % 9 || ':10.00/' || CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 80 || '.5' ELSE '' END || '/' || CASE WHEN o_orderkey % 5 = 0 THEN 'PG' ELSE '' END

@@ -1,10 +1,14 @@
 """What queries shuffle: rows go to other tasks with what is asked of them there, and by no key of few values."""
 
+import random
+
 import pandas as pd
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tesserae.operators import graph, inspector, ordering, ranking, relationships
+from tesserae.operators import graph, grid, inspector, ordering, ranking, relationships
 from tesserae.plans import registry
 from tesserae.sources import archive
 from tesserae.streaming import machines
@@ -147,3 +151,25 @@ def test_a_new_key_asks_its_store_for_no_request():
     assert machine.seen.asked == 0 and len(machine.seen.map) == 4
     assert run([(6, "t", 1, "a", "d"), (7, "v", 2, "a", "d"), (8, "v", 2, "a", "d")]) == [(6, "repeated-stale", 2), (7, "accepted", 3), (8, "repeated-accepted", 3)]
     assert machine.seen.asked == 2
+
+
+def test_boxes_of_a_page_meet_once(spark):
+    """Lines and cells are cut in the row of a page, as windows over its boxes would; the query shuffles orders, not boxes."""
+    rng = random.Random(20)
+    side = lambda: rng.choice([None, *(float(rng.randint(0, 40)) for _ in range(30))])
+    boxes = [(rng.choice([None, 1, 2, 3]), side(), side(), side(), side(), rng.choice([None, "a", "b", "c"])) for _ in range(900)]
+    boxes += [(p, x, y, x + rng.randint(1, 9), y + rng.randint(1, 9), "w") for p, x, y, *_ in boxes if x is not None and y is not None]
+    frame = spark.createDataFrame([*boxes, *boxes[:30]], "page int, x0 double, y0 double, x1 double, y1 double, text string").repartition(4)
+    unit = F.min(F.col("y1") - F.col("y0")).over(W.partitionBy("page", "line"))
+    lined = grid.box_lines(frame, ["page"]).where("line is not null").withColumn("unit", unit)
+    word = F.sort_array(F.collect_list(F.struct("x0", "y0", "x1", "text")))
+    wanted = grid.islands(lined, ["page", "line"], F.col("x0") / F.col("unit"), F.col("x1") / F.col("unit"), "cell", 1.0)
+    wanted = wanted.groupBy("page", "line", "cell").agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.array_join(F.transform(word, lambda w: w["text"]), " "))
+    found = grid.box_cells(frame, ["page"])
+    told = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert told(found) == told(wanted) and len({r["line"] for r in found.collect()}) > 1
+    assert found.schema["line"].dataType == found.schema["cell"].dataType == T.LongType()
+    for df in (found, registry.queries()["boxes_to_cells"](spark, "/root/testdata/sf0.001")):
+        plan = planned(df).split("== Initial Plan ==")[-1]
+        assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "x0" not in plan.split("Exchange hashpartitioning")[1]
