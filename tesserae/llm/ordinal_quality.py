@@ -5,7 +5,8 @@ One weight vector over hashed text features is shared by all grades; ordered thr
 words and of word beginnings, and of bands that the shares of marks, capitals, digits and repeated words reach; the whole
 text is read.
 The model is fitted on a bounded sample of rated documents (``sample`` rows, those of smallest id hash) that travels to
-the driver as packed feature numbers (about 1 kB a row); every document is scored in place, without a shuffle.
+one executor as packed feature numbers (about 1 kB a row), the driver receives the weights; every document is scored in
+place, without a shuffle.
 """
 
 from __future__ import annotations
@@ -129,22 +130,38 @@ def _numbers(batches):
     tk.release()
 
 
+def _fit_in_task(n_grades: int):
+    """The sample, all of it in one task, -> the model as one row; none for an empty sample."""
+
+    def run(batches):
+        if parts := [b for b in batches if b.num_rows]:
+            rows = pa.Table.from_batches(parts).sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("found", "ascending")])
+            found = [np.cumsum(np.frombuffer(zstandard.decompress(x.as_py()), np.uint32), dtype=np.int32) for x in rows["found"]]
+            model = fit(found, rows["grade"].to_numpy().astype(np.int64), n_grades)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.weights, model.thresholds)], ["weights", "thresholds"])
+        tk.release()
+
+    return run
+
+
 def fitted(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The model of ``ratings`` (``doc_id``, ``grade`` from 0 to n_grades - 1), from ``sample`` rated documents at most.
 
     Ratings with a null in either column, or outside of these grades, are left out. Without any rated document all weights are 0.
     """
     chosen = ratings.where(f"doc_id is not null and grade between 0 and {n_grades - 1}").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
-    rows = (
+    models = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
         .select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
         .mapInArrow(_numbers, "doc_id long, grade int, found binary")
-        .toArrow()
-        .sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("found", "ascending")])
+        .repartition(1)  # the bounded sample: an executor fits it, so that the driver holds the weights and nothing else
+        .mapInArrow(_fit_in_task(n_grades), "weights binary, thresholds binary")
+        .collect()
     )
-    found = [np.cumsum(np.frombuffer(zstandard.decompress(x.as_py()), np.uint32), dtype=np.int32) for x in rows["found"]]
-    return fit(found, rows["grade"].to_numpy().astype(np.int64), n_grades)
+    for weights, thresholds in models:
+        return Model(np.frombuffer(bytes(weights), np.float32), np.frombuffer(bytes(thresholds), np.float64))
+    return fit([], np.zeros(0, np.int64), n_grades)
 
 
 def graded(docs: DataFrame, model: Model, text_col: str = "text", at_least: float = 0.5) -> DataFrame:

@@ -408,3 +408,20 @@ def test_rank_coder_gives_the_vocabularys_ids(text):
     files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     fast, slow = (list(packing.token_ids(pa.array([text]), files[0], r)) for r in (files[1], None))
     assert fast[0].tolist() == slow[0].tolist()
+
+
+def test_grades_are_fitted_outside_of_the_driver(spark, monkeypatch):
+    """The driver receives weights, not the sample; they are those of the same rows fitted here."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ratings = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", ordinal_quality.toxicity_grade().alias("grade"))
+    rows = sorted((r["doc_id"], r["grade"], r["text"]) for r in docs.select("doc_id", "text").join(ratings.where("grade is not null"), "doc_id").collect())
+    wanted = ordinal_quality.fit(list(ordinal_quality.features(pa.array([t for *_, t in rows]))), np.array([g for _, g, _ in rows]), 3)
+
+    def refused(*_):
+        raise AssertionError("the sample came to the driver")
+
+    monkeypatch.setattr(type(docs), "toArrow", refused)
+    found = ordinal_quality.fitted(docs, ratings, 3)
+    assert np.array_equal(found.weights, wanted.weights) and np.array_equal(found.thresholds, wanted.thresholds) and found.weights.any()
+    none = ordinal_quality.fitted(docs, ratings.where("false"), 3)
+    assert not none.weights.any() and len(none.thresholds) == 2
