@@ -20,20 +20,23 @@ SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 17 = 0 THEN 'missing-ev
 def publication_bindings(spark, sf):
     """Orders as published rows: evidence that is missing or names another version, rows that are gone, facts that cite another line."""
     key = F.col("o_orderkey")
-    orders = table(spark, sf, "orders")
     sha = lambda *c: F.sha2(F.concat_ws("/", *c), 256)
-    own, observed, source, artifact = sha(F.lit("result"), key.cast("string")), sha(F.lit("observation"), key.cast("string")), sha(F.lit("source"), F.col("o_custkey").cast("string")), sha(F.lit("artifact"), F.col("o_custkey").cast("string"))
+    reference = ["result_id", "observation_id", "ordinal", "source_sha256", "artifact_sha256"]
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderstatus", sha(F.lit("result"), key.cast("string")).alias("result_id"), sha(F.lit("observation"), key.cast("string")).alias("observation_id"), F.lit(0).alias("ordinal"),
+        sha(F.lit("source"), F.col("o_custkey").cast("string")).alias("source_sha256"), sha(F.lit("artifact"), F.col("o_custkey").cast("string")).alias("artifact_sha256"),
+    )
     line = key.cast("int")
-    fact = lambda name: F.struct(F.lit(name).alias("name"), own.alias("result_id"), F.lit("p").alias("policy"), source.alias("source_sha256"), artifact.alias("artifact_sha256"), F.lit(1).alias("page"), F.when(key % 13 == 0, -1).otherwise(line).alias("line"))
-    facts = F.when(key % 19 == 0, F.array(*map(fact, exact.FACTS[1:]))).otherwise(F.array(*map(fact, exact.FACTS)))
-    reference = [own.alias("result_id"), observed.alias("observation_id"), F.lit(0).alias("ordinal"), source.alias("source_sha256"), artifact.alias("artifact_sha256")]
+    fact = lambda name: F.struct(F.lit(name).alias("name"), "result_id", F.lit("p").alias("policy"), "source_sha256", "artifact_sha256", F.lit(1).alias("page"), F.when(key % 13 == 0, -1).otherwise(line).alias("line"))
+    stated = F.array(*map(fact, exact.FACTS))
+    facts = F.when(key % 19 == 0, F.slice(stated, 2, len(exact.FACTS))).otherwise(stated)
     place = [F.lit(1).alias("page"), line.alias("line"), F.lit(None).cast("int").alias("table"), F.lit(None).cast("int").alias("row")]
     retained = [_text("j", "o_orderkey").alias("job_id"), _text("c", "o_orderkey").alias("candidate_id")]
     rows = orders.select("o_orderkey", *reference, F.lit("AIDA").alias("federation"), F.lit("event").alias("event_id"), F.lit("view").alias("view_id"), facts.alias("facts"))
-    evidence = orders.where(key % 17 != 0).select(*reference[:1], F.when(key % 7 == 0, "other").otherwise(observed).alias("observation_id"), *reference[2:], *retained, F.lit("v1").alias("parser_version"), *place)
+    evidence = orders.where(key % 17 != 0).select("result_id", F.when(key % 7 == 0, "other").otherwise(F.col("observation_id")).alias("observation_id"), *reference[2:], *retained, F.lit("v1").alias("parser_version"), *place)
     context = orders.where(key % 11 != 0).select(*retained, *reference[2:], *place, F.when(F.col("o_orderstatus") == "P", "2025").otherwise("2026").alias("year"), F.lit(None).cast("string").alias("public_id"))
-    found = exact.publication_problems(rows.drop("o_orderkey"), evidence, context, {"year": "2026"}, "p")
-    return found.join(rows.select("result_id", "o_orderkey"), "result_id").select("o_orderkey", F.array_join("problems", ",").alias("problems"))
+    found = exact.publication_problems(rows, evidence, context, {"year": "2026"}, "p", named=("o_orderkey",))
+    return found.select("o_orderkey", F.array_join("problems", ",").alias("problems"))
 
 
 @query("""SELECT problem, count(*) AS refs, count_if(parser)::BIGINT AS parser_differs FROM (SELECT CASE WHEN l_partkey % 10 = 0 THEN 'missing-observation' WHEN l_partkey % 7 = 0 THEN 'mismatched-observation' WHEN l_partkey % 11 = 0 THEN 'source-differs' END AS problem, l_partkey % 10 <> 0 AND l_returnflag = 'N' AS parser

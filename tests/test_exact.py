@@ -55,6 +55,35 @@ def test_publication_problems_name_what_differs(spark):
     assert found == wanted
 
 
+def test_publication_facts_one_by_one(spark):
+    good = published(1)
+    facts = good[0][-1]
+    other = lambda **change: [*facts[:-1], tuple(change.get(n, v) for n, v in zip(("name", "result_id", "policy", "source_sha256", "artifact_sha256", "page", "line"), facts[-1], strict=True))]
+    cases = [
+        (facts[::-1], []), (other(name=None), ["missing-facts", "unsupported-facts"]), (other(result_id=None), ["fact-binding-changed"]), (other(policy="q"), ["fact-policy-changed"]), (other(artifact_sha256=None), ["fact-citation-changed"]),
+        (other(page=None), ["fact-citation-changed"]), (other(line=2), ["fact-citation-changed"]), (facts[1:] + facts[-1:], ["missing-facts", "repeated-facts"]), ([], ["missing-facts"]), (None, ["missing-facts"]),
+    ]
+    rows = [(n, *good[0][:-1], f) for n, (f, _) in enumerate(cases)]
+    for row in rows:  # each a publication of its own, so that none repeats another
+        out = exact.publication_problems(spark.createDataFrame([row], f"n int, {PUB}"), spark.createDataFrame([good[1]], EVI), spark.createDataFrame([good[2]], CON), SCOPED, "p", named=("n",))
+        assert [tuple(r) for r in out.collect()] == [(row[0], cases[row[0]][1])]
+
+
+def test_publication_rows_keep_their_names_and_do_not_depend_on_order(spark):
+    one, two, bare, void = published(1), published(2), published(3), published(4, row={"source_sha256": None}, proof={"source_sha256": None}, kept={"source_sha256": None})
+    other = published(2, proof={"line": 9, "job_id": "j9", "ordinal": 7})[1]  # a second evidence, without a context row
+    nowhere = (None, None, 0, B, C, None, None, None, None, "2026", "dnf", None)  # no evidence leads to it
+    rows = [(1, *one[0]), (2, *one[0]), (3, *two[0]), (4, *bare[0]), (5, *void[0])]
+    found = []
+    for turn in (1, -1):
+        frames = [spark.createDataFrame(x[::turn], schema).coalesce(1) for x, schema in ((rows, f"n int, {PUB}"), ([one[1], two[1], other, void[1]], EVI), ([one[2], two[2], void[2], nowhere], CON))]
+        found.append(sorted(map(tuple, exact.publication_problems(*frames, SCOPED, "p", named=("n",)).collect())))
+    assert found[0] == found[1]
+    told = dict(found[0])
+    assert len(found[0]) == 5 and told[1] == told[2] == ["duplicate-result", "duplicate-position"] and told[3][0] == "several-evidence" and told[4] == ["missing-evidence", "fact-citation-changed"]
+    assert told[5] == ["invalid-reference", "retained-reference-differs", "fact-citation-changed"]
+
+
 def test_revision_problems(spark):
     ref = "array<struct<job_id:string,ordinal:int,source_sha256:string,candidate_id:string>>"
     records = [("a", "s1", "p1", "c", [("j", 0, "s1", "x")]), ("b", "s1", "p9", "c", [("j", 0, None, "x"), ("j", 1, None, "y")]), ("d", "s2", "p1", "c", [("j", 2, None, "z")]), ("e", "s1", "p1", "c1", [("k", 0, None, "q")]), ("f", "s1", "p1", "c2", [("k", 0, None, "q")]), ("g", "s1", "p1", None, [("j", None, None, "x"), ("n", 0, None, "x"), ("j", 3, "s9", "w")]), ("h", "s1", "p1", "c", [])]

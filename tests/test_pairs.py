@@ -54,3 +54,11 @@ def test_facts_are_not_shuffled(spark):
     formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", query._jdf.queryExecution().explainString(formatted))
     assert inputs and not any(re.search(r"\bfacts#", columns) for columns in inputs)
+
+
+def test_bindings_shuffle_digests_once(spark):
+    query = registry.queries()["publication_bindings"](spark, DATA)
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", query._jdf.queryExecution().explainString(formatted))
+    assert 1 <= len(inputs) <= 5
+    assert not any(re.search(r"(result_id|observation_id|_sha256|job_id|candidate_id)#", columns) for columns in inputs)
